@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,29 +62,29 @@ def by_key(key: Column, values: dict, default=None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), key), fallback)
 
 
-def _present(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])
+def _sum_of(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _present(names) -> str:
+    return _sum_of(f"IF(`{c}` IS NULL, 0, 1)" for c in names)
 
 
-def row_mean(cols: list[Column]) -> Column:
+def row_mean(names) -> Column:
     """Mean of the non-null columns; null when all are null."""
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cols])
-    return F.try_divide(total, _present(cols))
+    total = _sum_of(f"coalesce(`{c}`, 0D)" for c in names)
+    return F.expr(f"try_divide({total}, {_present(names)})")
 
 
-def row_std(cols: list[Column]) -> Column:
-    """Sample deviation of the non-null columns; null below two values."""
-    mean = row_mean(cols)
-    squares = reduce(
-        lambda a, b: a + b, [F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in cols]
-    )
-    n = _present(cols)
-    return F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1)))
+def row_std(names, mean: str) -> Column:
+    """Sample deviation of the non-null columns around their mean; null below two values."""
+    squares = _sum_of(f"coalesce((`{c}` - `{mean}`) * (`{c}` - `{mean}`), 0D)" for c in names)
+    return F.expr(f"sqrt(try_divide({squares}, nullif({_present(names)} - 1, 0)))")
 
 
-def row_max(cols: list[Column]) -> Column:
-    return F.greatest(*cols) if len(cols) > 1 else cols[0]
+def row_max(names) -> Column:
+    return F.greatest(*names) if len(names) > 1 else F.col(names[0])
 
 
-def row_min(cols: list[Column]) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
+def row_min(names) -> Column:
+    return F.least(*names) if len(names) > 1 else F.col(names[0])

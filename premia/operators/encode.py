@@ -140,8 +140,18 @@ class TargetEncoding:
     columns: tuple[str, ...]
 
     def transform(self, df: DataFrame, name=_te_name) -> DataFrame:
+        """Encode long rows ``(insurer, categories...)``."""
         return _attach(df, self.table, self.columns, ["insurer"], self.means, name)
 
+    def transform_wide(self, df: DataFrame, column: str, name) -> DataFrame:
+        """Add one encoding of ``column`` per insurer to wide rows, with a single join."""
+        mine = self.table.where(F.col("column") == column)
+        wide = mine.groupBy(F.col("category").alias(column)).agg(
+            *[F.max(F.when(F.col("insurer") == i, F.col("_te"))).alias(name(i)) for i in self.means]
+        )
+        filled = {name(i): F.coalesce(F.col(name(i)), F.lit(m)) for i, m in self.means.items()}
+        return df.join(small_side(wide), column, "left").withColumns(filled)
+
 
 def fit_target_encoding(
     train: DataFrame, columns=TARGET_ENCODED, target: str = "y", smoothing: float = SMOOTHING

@@ -126,19 +126,11 @@ def _vehicle_features(has, full: bool) -> dict[str, Column]:
     return out
 
 
-def _deductible_stats(columns: list[str]) -> dict[str, Column]:
-    cols = [F.col(c) for c in columns]
-    return {
-        "mean_deductible": row_mean(cols),
-        "std_deductible": row_std(cols),
-        "max_deductible": row_max(cols),
-        "min_deductible": row_min(cols),
-    }
-
-
-def _composites(has, insurers, full: bool) -> dict[str, Column]:
+def _composites(has, insurers, deductibles, full: bool) -> dict[str, Column]:
     """Formulas over columns the earlier projections added."""
     out: dict[str, Column] = {}
+    if has("mean_deductible"):
+        out["std_deductible"] = row_std(deductibles, "mean_deductible")
     own = [(i, deductible_col(i)) for i in insurers if has(deductible_col(i))]
     if has("mean_deductible"):
         mean = F.col("mean_deductible")
@@ -178,7 +170,9 @@ def engineer_features(
     deductibles = [c for c in roles.deductibles if has(c)]
     derived = {**_driver_features(has, full), **_vehicle_features(has, full)}
     if deductibles:
-        derived.update(_deductible_stats(deductibles))
+        derived["mean_deductible"] = row_mean(deductibles)
+        derived["max_deductible"] = row_max(deductibles)
+        derived["min_deductible"] = row_min(deductibles)
     rich = dated.withColumns(derived)
-    extra = _composites(has_in(rich.columns), insurers, full)
+    extra = _composites(has_in([*dated.columns, *derived]), insurers, deductibles, full)
     return rich.withColumns(extra) if extra else rich

@@ -29,3 +29,8 @@ def to_wide(long: DataFrame, key: str, value: str, insurers=INSURERS, name=price
         *[F.max(F.when(F.col("insurer") == i, F.col(value))).alias(name(i)) for i in insurers]
     )
 
+
+
+def attach_columns(df: DataFrame, extra: DataFrame, keys=("quote_id", "insurer")) -> DataFrame:
+    """Add the columns of a table keyed like ``df``. Row-local columns need no join."""
+    return df.join(extra, list(keys), "left")

@@ -120,12 +120,13 @@ def decile_edges(quoted: DataFrame, target: str = "y") -> dict[str, tuple[float,
 def decile_bins(quoted: DataFrame, target: str = "y", edges=None) -> DataFrame:
     """Right-closed decile bin per insurer; equal edges are dropped, ties stay together."""
     edges = decile_edges(quoted, target) if edges is None else edges
-    y = F.col(target)
-    number = F.lit(None).cast("int")
+    if not edges:
+        return quoted.withColumn("bin", F.lit(None).cast("int"))
+    pairs = []
     for insurer, cuts in edges.items():
-        below = sum(((F.lit(e) < y).cast("int") for e in cuts), F.lit(0))
-        number = F.when(F.col("insurer") == insurer, below).otherwise(number)
-    return quoted.withColumn("bin", number)
+        pairs += [F.lit(insurer), F.lit(list(cuts)).cast("array<double>")]
+    cuts = F.element_at(F.create_map(*pairs), F.col("insurer"))
+    return quoted.withColumn("bin", F.size(F.filter(cuts, lambda e: e < F.col(target))))
 
 
 def salted_hash(key: str, *salt) -> Column:

@@ -14,9 +14,20 @@ from premia.roles import INSURERS, PRICE_COLS, deductible_col, price_col
 
 BLOCKS = ("block1", "block2", "block3")
 
+# Columns the view needs; a given schema saves a pass over the file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, "
+    "l_discount double",
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _line_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
