@@ -56,8 +56,6 @@ ACTUARIAL_QUERIES = {
 }
 INTEGER_OR_TEXT = {
     "has_second_driver",
-    "days_since_inspection",
-    "inspection_days_remaining",
     "contractor_age_bucket",
     "has_deficiencies",
     "coverage_x_age_bucket",
