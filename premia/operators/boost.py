@@ -12,16 +12,14 @@ import re
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from premia.functions.numbers import floor_price
 from premia.operators.quantiles import exact_quantiles
 from premia.session import write_table
 
@@ -103,16 +101,8 @@ class BoostedTrees:
     best_iteration: int
     history: tuple[dict, ...] = field(default=())
 
-    def raw(self) -> Column:
-        """Sum of the start value and all tree values, on the scale of the link."""
-        inputs = F.array(*[feature_value(c) for c in self.features])
-        return _scorer(self.trees, self.start, self.params.learning_rate)(inputs)
-
-    def price(self) -> Column:
-        return to_price(self.raw(), self.params)
-
     def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        return df.withColumn(name, self.price())
+        return df.withColumn(name, score_models({name: self})[name])
 
 
 def feature_value(name: str) -> Column:
@@ -125,31 +115,45 @@ def to_price(raw: Column, params: BoostParams) -> Column:
     return F.expm1(value) if params.log_target else value
 
 
-def _scorer(trees, start: float, rate: float):
-    packed = [
-        tuple(np.asarray(a) for a in (t.feature, t.threshold, t.left, t.right, t.value))
-        for t in trees
-    ]
-
-    @F.pandas_udf(T.DoubleType())
-    def score(rows: pd.Series) -> pd.Series:
-        total = np.full(len(rows), start)
-        if not len(rows):
-            return pd.Series(total)
-        x = np.vstack(rows.to_numpy())
-        at_row = np.arange(len(x))
-        for feature, threshold, left, right, value in packed:
-            node = np.zeros(len(x), dtype=np.int64)
-            while True:
-                goes_left = x[at_row, feature[node]] <= threshold[node]
-                below = np.where(goes_left, left[node], right[node])
-                if (below == node).all():
-                    break
-                node = below
-            total += rate * value[node]
-        return pd.Series(total)
-
-    return score
+def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
+    """Price expression per model; all models share one Arrow pass over the rows."""
+    inputs = list(dict.fromkeys(c for m in models.values() for c in m.features))
+    at = {c: n for n, c in enumerate(inputs)}
+    packed = []
+    for m in models.values():
+        place = np.array([at[c] for c in m.features])
+        trees = [
+            (place[np.array(t.feature)], *map(np.array, (t.threshold, t.left, t.right, t.value)))
+            for t in m.trees
+        ]
+        packed.append((m.start, m.params.learning_rate, trees))
+    width, height = len(inputs), len(packed)
+
+    @F.arrow_udf("array<double>")
+    def score(rows: pa.Array) -> pa.Array:
+        n = len(rows)
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        out = np.empty((n, height))
+        for m, (start, rate, trees) in enumerate(packed):
+            out[:, m] = start
+            for tree in trees:
+                out[:, m] += rate * _tree_values(x, *tree)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * height)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    raw = score(F.array(*[feature_value(c) for c in inputs]))
+    return {name: to_price(raw[n], m.params) for n, (name, m) in enumerate(models.items())}
+
+
+def _tree_values(x, feature, threshold, left, right, value):
+    """Leaf value of every row: all rows step down together."""
+    rows = np.arange(len(x))
+    node = np.zeros(len(x), dtype=np.int64)
+    while True:
+        below = np.where(x[rows, feature[node]] <= threshold[node], left[node], right[node])
+        if (below == node).all():
+            return value[node]
+        node = below
 
 
 _SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
@@ -459,6 +463,3 @@ def top_features(
     ]
     return spark.createDataFrame(rows, "insurer string, rank int, feature string, importance double")
 
-
-def score_prices(model: BoostedTrees) -> Column:
-    return floor_price(model.price())

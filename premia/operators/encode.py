@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from premia.functions.numbers import by_key
 from premia.operators.clean import string_columns
 from premia.operators.order import row_index
-from premia.operators.stats import small_side
+from premia.operators.stats import rows_per_column, small_side
 from premia.roles import ROLES, SMOOTHING, TARGET_ENCODED
 from premia.session import write_table
 
@@ -24,6 +24,7 @@ class LabelCodes:
 
     table: DataFrame
     columns: tuple[str, ...]
+    sizes: dict[str, int]
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """Replace (or, with a suffix, add) codes; unseen categories become -1."""
@@ -34,7 +35,7 @@ class LabelCodes:
             )
             # Null is a category of its own here.
             same = F.col(c).cast("string").eqNullSafe(F.col(f"_cat_{c}"))
-            out = out.join(small_side(one), same, "left").drop(f"_cat_{c}")
+            out = out.join(small_side(one, self.sizes.get(c, 0)), same, "left").drop(f"_cat_{c}")
         codes = {
             f"{c}{suffix}": F.coalesce(F.col(f"_code_{c}"), F.lit(UNSEEN_CODE)).cast("int")
             for c in self.columns
@@ -54,7 +55,7 @@ def fit_labels(train: DataFrame, columns, order_by=ROLES.order_key) -> LabelCode
     )
     indexed = row_index(firsts, order_by, ("column",), "code")
     table = write_table(indexed.select("column", "category", F.col("code").cast("int")), "labels")
-    return LabelCodes(table, columns)
+    return LabelCodes(table, columns, rows_per_column(table))
 
 
 def fit_all_labels(train: DataFrame, roles=ROLES) -> LabelCodes:
@@ -83,7 +84,7 @@ def _category_sums(train: DataFrame, columns, keys, target: str) -> DataFrame:
     )
 
 
-def _attach(df: DataFrame, table: DataFrame, columns, keys, means, name) -> DataFrame:
+def _attach(df: DataFrame, table: DataFrame, sizes, columns, keys, means, name) -> DataFrame:
     """Join each column's encoding; a category without one gets the insurer's mean."""
     prior = by_key(F.col("insurer"), means)
     out = df
@@ -91,7 +92,7 @@ def _attach(df: DataFrame, table: DataFrame, columns, keys, means, name) -> Data
         one = table.where(F.col("column") == c).select(
             *keys, F.col("category").alias(c), F.col("_te").alias(name(c))
         )
-        out = out.join(small_side(one), [*keys, c], "left")
+        out = out.join(small_side(one, sizes.get(c, 0)), [*keys, c], "left")
     encoded = {name(c): F.coalesce(F.col(name(c)), prior) for c in columns}
     return out.withColumns(encoded).select(*df.columns, *encoded)
 
@@ -128,7 +129,8 @@ def oof_target_encode(
     prior = by_key(F.col("insurer"), means)
     te = others.withColumn("_te", _smoothed(F.col("_sum"), F.col("_n"), prior, smoothing))
     table = write_table(te.drop("_sum", "_n"), "oof_encoding")
-    return _attach(train, table, columns, ["insurer", "fold"], means, name)
+    sizes = rows_per_column(table)
+    return _attach(train, table, sizes, columns, ["insurer", "fold"], means, name)
 
 
 @dataclass(frozen=True)
@@ -138,10 +140,13 @@ class TargetEncoding:
     table: DataFrame
     means: dict[str, float]
     columns: tuple[str, ...]
+    sizes: dict[str, int]
 
     def transform(self, df: DataFrame, name=_te_name) -> DataFrame:
         """Encode long rows ``(insurer, categories...)``."""
-        return _attach(df, self.table, self.columns, ["insurer"], self.means, name)
+        return _attach(
+            df, self.table, self.sizes, self.columns, ["insurer"], self.means, name
+        )
 
     def transform_wide(self, df: DataFrame, column: str, name) -> DataFrame:
         """Add one encoding of ``column`` per insurer to wide rows, with a single join."""
@@ -150,7 +155,7 @@ class TargetEncoding:
             *[F.max(F.when(F.col("insurer") == i, F.col("_te"))).alias(name(i)) for i in self.means]
         )
         filled = {name(i): F.coalesce(F.col(name(i)), F.lit(m)) for i, m in self.means.items()}
-        return df.join(small_side(wide), column, "left").withColumns(filled)
+        return df.join(small_side(wide, self.sizes.get(column, 0)), column, "left").withColumns(filled)
 
 
 def fit_target_encoding(
@@ -162,7 +167,7 @@ def fit_target_encoding(
     prior = by_key(F.col("insurer"), means)
     te = sums.withColumn("_te", _smoothed(F.col("_sum"), F.col("_n"), prior, smoothing))
     table = write_table(te.drop("_sum", "_n"), "target_encoding")
-    return TargetEncoding(table, means, columns)
+    return TargetEncoding(table, means, columns, rows_per_column(table))
 
 
 def insample_target_encode(train: DataFrame, columns=TARGET_ENCODED, **kw) -> DataFrame:

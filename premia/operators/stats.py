@@ -18,9 +18,15 @@ from premia.roles import CLIP_QUANTILE, FREQUENCY_ENCODED, SEED
 from premia.session import BROADCAST_ROWS, write_table
 
 
-def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a fitted table when it is counted and found small; else join by shuffle."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+def small_side(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a fitted table when its counted size is small; else join by shuffle."""
+    rows = table.limit(limit + 1).count() if rows is None else rows
+    return F.broadcast(table) if rows <= limit else table
+
+
+def rows_per_column(table: DataFrame) -> dict[str, int]:
+    """Size of each column's part of a fitted table, counted once at fitting."""
+    return {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
 
 
 @dataclass(frozen=True)
@@ -48,6 +54,7 @@ class Frequencies:
 
     table: DataFrame
     columns: tuple[str, ...]
+    sizes: dict[str, int]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``<column>_freq``; a missing or unseen category counts as 1."""
@@ -56,7 +63,7 @@ class Frequencies:
             one = self.table.where(F.col("column") == c).select(
                 F.col("category").alias(c), F.col("n").alias(f"{c}_freq")
             )
-            out = out.join(small_side(one), c, "left")
+            out = out.join(small_side(one, self.sizes.get(c, 0)), c, "left")
         filled = {f"{c}_freq": F.coalesce(F.col(f"{c}_freq"), F.lit(1)) for c in self.columns}
         return out.withColumns(filled).select(*df.columns, *filled)
 
@@ -72,7 +79,8 @@ def fit_frequencies(train: DataFrame, columns=FREQUENCY_ENCODED) -> Frequencies:
         .groupBy("column", "category")
         .agg(F.count("*").alias("n"))
     )
-    return Frequencies(write_table(counts, "frequencies"), columns)
+    table = write_table(counts, "frequencies")
+    return Frequencies(table, columns, rows_per_column(table))
 
 
 @dataclass(frozen=True)

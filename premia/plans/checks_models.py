@@ -1 +1,258 @@
-"""Registered queries that train boosted trees or clusters."""
+"""Registered queries that train boosted trees, clusters or components.
+
+Rounds and depth are cut to what a check needs; every query trains on whole tables.
+Results are rows of metrics or checked invariants.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from premia.operators import boost, order, stack, stats
+from premia.operators.features import engineer_features
+from premia.plans import bias, blend, fitting, mixed, stacking, standard
+from premia.plans.registry import query
+from premia.roles import PRICE_COLS
+from premia.session import scratch_path, write_table
+from premia.sources.quotes import block, quotes
+from premia.sources.submissions import PredictionStore
+
+SHORT = {"rounds": 2, "max_depth": 3, "max_bins": 32, "learning_rate": 0.3, "early_stop": 0}
+# Prices here are far larger than real premiums; the quadratic zone grows with them.
+HUBER_DELTA = 15000.0
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quote blocks as files, the form in which a training run finds them."""
+    return write_table(quotes(spark, sf_dir), "blocks")
+
+
+@query("fit_mae")
+def fit_mae(spark, sf_dir):
+    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT)).metrics()
+
+
+@query("fit_rmse")
+def fit_rmse(spark, sf_dir):
+    params = boost.preset("rmse", **SHORT)
+    return standard.fit(_blocks(spark, sf_dir), params, family="blend").metrics()
+
+
+@query("fit_huber")
+def fit_huber(spark, sf_dir):
+    params = boost.preset("huber", huber_delta=HUBER_DELTA, **SHORT)
+    return standard.fit(_blocks(spark, sf_dir), params, family="blend").metrics()
+
+
+@query("fit_l1_quick")
+def fit_l1_quick(spark, sf_dir):
+    params = boost.preset("l1_quick", **SHORT)
+    prepared, models = standard.quick_baseline(_blocks(spark, sf_dir), params)
+    later = prepared.later.where(F.col("block") == "block2")
+    return fitting.score_block(models, later)
+
+
+@query("fit_tweedie_a")
+def fit_tweedie_a(spark, sf_dir):
+    params = boost.preset("tweedie_a", **SHORT)
+    return standard.fit(_blocks(spark, sf_dir), params, family="full").metrics()
+
+
+@query("fit_tweedie_b")
+def fit_tweedie_b(spark, sf_dir):
+    params = boost.preset("tweedie_b", **SHORT)
+    return standard.fit(_blocks(spark, sf_dir), params, family="full").metrics()
+
+
+@query("fit_mae_fold")
+def fit_mae_fold(spark, sf_dir):
+    params = boost.preset("mae_fold", **SHORT)
+    return standard.fit(_blocks(spark, sf_dir), params, family="full").metrics()
+
+
+@query("boosted_trees")
+def boosted_trees(spark, sf_dir):
+    """Training loss per round of every objective, for all prices of a block in one model."""
+    df = write_table(_one_price(_blocks(spark, sf_dir)), "one_price")
+    features = [c for c in df.columns if c not in ("quote_id", "y")]
+
+    def run(objective: str):
+        params = boost.BoostParams(
+            objective, 3, 0.3, 3, max_bins=32, huber_delta=HUBER_DELTA, row_share=0.9
+        )
+        return boost.fit_boosted(df, features, params)
+
+    models = fitting.per_insurer(boost.OBJECTIVES, run)
+    rows = [
+        (o, h["round"], h["loss"], n == 0 or h["loss"] < m.history[n - 1]["loss"])
+        for o, m in sorted(models.items())
+        for n, h in enumerate(m.history)
+    ]
+    return spark.createDataFrame(rows, "objective string, round int, loss double, falls boolean")
+
+
+def _one_price(df: DataFrame) -> DataFrame:
+    """Lowest price of each quoted request with its numeric features."""
+    rich = engineer_features(block(df, "block1"), "blend")
+    names = ["contractor_age", "vehicle_power", "vehicle_age", "value_per_age", "mean_deductible"]
+    return rich.select("quote_id", F.least(*PRICE_COLS).alias("y"), *names).where("y IS NOT NULL")
+
+
+@query("fit_tweedie_bagged")
+def fit_tweedie_bagged(spark, sf_dir):
+    """Two bags of one fold, averaged: error of the bags and of their mean."""
+    df = _one_price(_blocks(spark, sf_dir)).withColumn("insurer", F.lit("lowest"))
+    folded = write_table(order.stratified_folds(order.decile_bins(df)), "folded")
+    train, valid = order.fold_split(folded, 0)
+    features = [c for c in df.columns if c not in ("quote_id", "y", "insurer")]
+    params = boost.preset("tweedie_bagged", **SHORT)
+    models = {}
+    for bag in range(2):
+        rows = order.bag_sample(train, bag=bag).withColumn("held", F.lit(False))
+        both = rows.unionByName(valid.withColumn("held", F.lit(True)))
+        models[f"bag{bag}"] = boost.fit_boosted(both, features, params, valid=F.col("held"))
+    scored = boost.score_models(models)
+    scored["mean"] = stack.mean_of(list(scored.values()))
+    return valid.select("y", *[p.alias(n) for n, p in scored.items()]).agg(
+        F.count("*").alias("n"),
+        *[F.avg(F.abs(F.col(n) - F.col("y"))).alias(f"mae_{n}") for n in scored],
+    )
+
+
+@query("fit_insample")
+def fit_insample(spark, sf_dir):
+    """Actual and in-sample predicted price of every training quote and insurer."""
+    return bias.bias_table(
+        _blocks(spark, sf_dir),
+        params_a=boost.preset("insample_a", **SHORT),
+        params_b=boost.preset("insample_b", **SHORT),
+        zones=None,
+    )
+
+
+@query("select_features")
+def select_features(spark, sf_dir):
+    """Scout importances per insurer: the chosen features in order."""
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("scout", **SHORT), family="blend")
+    return boost.top_features(spark, fitted.models, 100)
+
+
+@query("feature_importance_top")
+def feature_importance_top(spark, sf_dir):
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT))
+    return boost.top_features(spark, fitted.models, 20)
+
+
+@query("score_all_rows")
+def score_all_rows(spark, sf_dir):
+    """Boosted price of every later quote and insurer."""
+    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT)).score()
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Largest difference between scores of the fitted and the stored models."""
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("rmse", **SHORT))
+    path = scratch_path(spark, "models")
+    boost.save_models(spark, fitted.models, path)
+    again = boost.load_models(spark, path)
+    both = {("was", i): m for i, m in fitted.models.items()}
+    both |= {("is", i): m for i, m in again.items()}
+    scored = boost.score_models(both)
+    rows = fitted.prepared.later.select(
+        *[scored["was", i].alias(f"was_{i}") for i in fitted.models],
+        *[scored["is", i].alias(f"is_{i}") for i in fitted.models],
+    )
+    gaps = [F.max(F.abs(F.col(f"was_{i}") - F.col(f"is_{i}"))).alias(i) for i in fitted.models]
+    return rows.agg(*gaps).unpivot([], list(fitted.models), "insurer", "largest_gap")
+
+
+@query("ensemble_blend")
+def ensemble_blend(spark, sf_dir):
+    """Blended prices of the later blocks for the three blended insurers."""
+    fitted = blend.fit(
+        _blocks(spark, sf_dir),
+        boost.preset("rmse", **SHORT),
+        boost.preset("huber", huber_delta=HUBER_DELTA, **SHORT),
+    )
+    return fitted.score()
+
+
+@query("mixed_models")
+def mixed_models(spark, sf_dir):
+    fitted = mixed.fit(
+        _blocks(spark, sf_dir), boost.preset("mae", **SHORT), boost.preset("rmse", **SHORT)
+    )
+    return fitted.score()
+
+
+@query("holdout_eval")
+def holdout_eval(spark, sf_dir):
+    """Every insurer's stored log-target model on the last fifth of block1."""
+    df = _blocks(spark, sf_dir)
+    params = boost.preset("rmse", log_target=True, **SHORT)
+    fitted = standard.fit(df, params, family="blend")
+    path = scratch_path(spark, "models")
+    boost.save_models(spark, fitted.models, path)
+    parts = [
+        mixed.holdout_eval(spark, path, df, i).withColumn("insurer", F.lit(i)) for i in ("J", "A")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("stacking")
+def stacking_run(spark, sf_dir):
+    """Stacked prices of the later blocks; two folds of short models for all insurers."""
+    settings = stacking.Settings(
+        boost.preset("tweedie_a", **SHORT),
+        boost.preset("tweedie_b", **SHORT),
+        boost.preset("scout", **{**SHORT, "rounds": 1}),
+        folds=2,
+        zones=20,
+        top_n=20,
+    )
+    path = scratch_path(spark, "stacking")
+    schema = spark.createDataFrame([], stacking.PREDICTION_SCHEMA).schema
+    store = PredictionStore(spark, path, schema)
+    stacking.run(_blocks(spark, sf_dir), store, settings)
+    return store.predictions().select("block", "quote_id", "insurer", "price")
+
+
+@query("risk_zones")
+def risk_zones(spark, sf_dir):
+    """Zones of all blocks and how many quotes lie in a zone other than the nearest centre."""
+    df = quotes(spark, sf_dir)
+    fitted = stats.fit_risk_zones(block(df, "block1"), 100)
+    centres = fitted.centres()
+    columns = list(fitted.medians.values)
+    point = [F.coalesce(F.col(c), F.lit(fitted.medians.values[c])) for c in columns]
+    distances = F.array(
+        *[
+            sum(((p - F.lit(x)) * (p - F.lit(x)) for p, x in zip(point, centre)), F.lit(0.0))
+            for centre in centres
+        ]
+    )
+    zoned = fitted.transform(df).withColumn("_d", distances)
+    mine = F.get("_d", F.col("risk_zone").cast("int"))
+    far = mine > F.array_min("_d") + 1e-9
+    return zoned.groupBy("risk_zone").agg(
+        F.count("*").alias("n"), F.sum(far.cast("int")).alias("not_nearest")
+    )
+
+
+@query("pca_features")
+def pca_features(spark, sf_dir):
+    """Variance of each component over block1 and its share of the first."""
+    df = engineer_features(block(quotes(spark, sf_dir), "block1"))
+    columns = [
+        c
+        for c, t in df.dtypes
+        if t in ("double", "int") and not c.endswith("_price") and c != "quote_id"
+    ]
+    fitted = stats.fit_pca(df.select("quote_id", *columns), columns)
+    scored = fitted.transform(df.select("quote_id", *columns))
+    names = [f"pca_{n}" for n in range(len(fitted.signs))]
+    spread = scored.agg(*[F.var_pop(c).alias(c) for c in names])
+    return spread.unpivot([], names, "component", "variance")
+
