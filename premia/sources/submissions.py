@@ -44,8 +44,9 @@ def read_metrics(spark: SparkSession, path: str, schema) -> DataFrame:
 class PredictionStore:
     """Predictions per insurer that survive an aborted run.
 
-    Each insurer is one partition folder and replaced as a whole. An insurer counts as
-    done once its completion record is written, which happens after its predictions.
+    Each insurer has a folder of its own, replaced as a whole, so insurers can be saved at
+    the same time. One counts as done once its completion record is written, which happens
+    after its predictions.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
@@ -54,15 +55,11 @@ class PredictionStore:
         self.schema = schema
 
     def save(self, insurer: str, preds: DataFrame) -> None:
-        (
-            preds.where(F.col("insurer") == insurer)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("insurer")
-            .parquet(f"{self.path}/predictions")
-        )
-        record = self.spark.createDataFrame([(insurer,)], "insurer string")
-        record.coalesce(1).write.mode("append").json(f"{self.path}/completed")
+        own = preds.where(F.col("insurer") == insurer).drop("insurer")
+        own.write.mode("overwrite").parquet(f"{self.path}/predictions/insurer={insurer}")
+        rows = self.spark.read.parquet(f"{self.path}/predictions/insurer={insurer}")
+        record = rows.agg(F.count("*").alias("n_rows"))
+        record.write.mode("overwrite").json(f"{self.path}/completed/insurer={insurer}")
 
     def _exists(self, folder: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -73,7 +70,10 @@ class PredictionStore:
     def completed(self) -> DataFrame:
         if not self._exists("completed"):
             return self.spark.createDataFrame([], "insurer string")
-        return self.spark.read.json(f"{self.path}/completed", schema="insurer string").distinct()
+        records = self.spark.read.json(
+            f"{self.path}/completed", schema="n_rows long, insurer string"
+        )
+        return records.select("insurer").distinct()
 
     def pending(self, insurers: DataFrame) -> DataFrame:
         """Insurers (with any further columns) that still have to be predicted."""
