@@ -106,8 +106,8 @@ class BoostedTrees:
 
 
 def feature_value(name: str) -> Column:
-    value = F.col(name).cast("double")
-    return F.coalesce(F.nanvl(value, F.lit(MISSING_VALUE)), F.lit(MISSING_VALUE))
+    value = f"CAST(`{name}` AS DOUBLE)"
+    return F.expr(f"coalesce(nanvl({value}, {MISSING_VALUE}D), {MISSING_VALUE}D)")
 
 
 def to_price(raw: Column, params: BoostParams) -> Column:
@@ -204,10 +204,9 @@ def _gradients(params: BoostParams) -> tuple[Column, Column, Column]:
     return high - y * low, (2 - p) * high - (1 - p) * y * low, loss
 
 
-def _start_value(train: DataFrame, params: BoostParams) -> float:
+def _start_value(train: DataFrame, mean: float, params: BoostParams) -> float:
     if params.objective == "absolute":
         return exact_quantiles(train, "_y", [0.5])[()].values[0]
-    mean = train.agg(F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w"))).first()[0]
     return float(np.log(mean)) if params.objective == "tweedie" else float(mean)
 
 
@@ -224,6 +223,28 @@ def _in_bag(params: BoostParams, round_: int) -> Column:
     return ~F.col("_valid") & (part < int(params.row_share * 10_000))
 
 
+def assemble(
+    df: DataFrame,
+    features,
+    label: str = "y",
+    weight: str | None = None,
+    key: str = "quote_id",
+    keep=(),
+) -> DataFrame:
+    """Training rows with one feature vector, written and kept for several fits."""
+    inputs = [feature_value(c).alias(f"_in{n}") for n, c in enumerate(features)]
+    flat = df.where(F.col(label).isNotNull()).select(
+        F.col(key).alias("_key"),
+        F.col(label).cast("double").alias("_y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+        *keep,
+        *inputs,
+    )
+    names = [f"_in{n}" for n in range(len(features))]
+    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(flat).drop(*names)
+    return write_table(rows, "boost").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_boosted(
     df: DataFrame,
     features,
@@ -233,32 +254,49 @@ def fit_boosted(
     valid: Column | None = None,
     key: str = "quote_id",
 ) -> BoostedTrees | None:
-    """Train on the rows where ``valid`` is not true; none if there are no such rows.
+    """Train on the rows where ``valid`` is not true; none if there are no such rows."""
+    held = F.coalesce(valid if valid is not None else F.lit(False), F.lit(False))
+    rows = assemble(df.withColumn("_held", held), features, label, weight, key, ("_held",))
+    model = fit_assembled(rows, features, params, F.col("_held"))
+    rows.unpersist()
+    return model
+
+
+def fit_assembled(
+    rows: DataFrame, features, params: BoostParams, valid: Column | None = None
+) -> BoostedTrees | None:
+    """Train on rows from ``assemble``.
 
     With validation rows the model stops early and keeps the rounds of lowest mean
     absolute error on the price scale.
     """
     features = tuple(features)
-    y = F.col(label).cast("double")
-    inputs = [feature_value(c).alias(f"_in{n}") for n, c in enumerate(features)]
-    flat = df.where(F.col(label).isNotNull()).select(
-        F.col(key).alias("_key"),
+    y = F.col("_y")
+    stored = rows.select(
+        "_key",
         (F.log1p(y) if params.log_target else y).alias("_y"),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
+        "_w",
         F.coalesce(valid if valid is not None else F.lit(False), F.lit(False)).alias("_valid"),
-        *inputs,
+        "_x",
     )
-    assembler = VectorAssembler(inputCols=[f"_in{n}" for n in range(len(features))], outputCol="_x")
-    assembled = assembler.transform(flat).select("_key", "_y", "_w", "_valid", "_x")
-    stored = write_table(assembled, "boost").persist(StorageLevel.MEMORY_AND_DISK)
+    # The rows given stay; only score tables written below are released here.
+    written: DataFrame | None = None
     train = stored.where(~F.col("_valid"))
-    counts = {r[0]: r[1] for r in stored.groupBy("_valid").count().collect()}
-    if not counts.get(False):
-        stored.unpersist()
+    summary = {
+        r["_valid"]: (r["n"], r["mean"])
+        for r in stored.groupBy("_valid")
+        .agg(
+            F.count("*").alias("n"),
+            F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("mean"),
+        )
+        .collect()
+    }
+    if False not in summary:
         return None
+    counts = {k: n for k, (n, _) in summary.items()}
 
     g, h, loss = _gradients(params)
-    start = _start_value(train, params)
+    start = _start_value(train, summary[False][1], params)
     state = stored.withColumn("_f", F.lit(start))
     trees, history = [], []
     importances = np.zeros(len(features))
@@ -333,12 +371,13 @@ def fit_boosted(
         )
         if (round_ + 1) % params.write_every == 0 and round_ + 1 < params.rounds:
             fresh = write_table(state, "boost").persist(StorageLevel.MEMORY_AND_DISK)
-            fresh.count()
-            stored.unpersist()
-            state = stored = fresh
+            if written is not None:
+                written.unpersist()
+            state = written = fresh
     if not stopped:
         note(state.agg(*scores).collect(), len(trees))
-    stored.unpersist()
+    if written is not None:
+        written.unpersist()
 
     keep = best[1] if has_valid else len(trees)
     total = importances.sum()

@@ -204,10 +204,11 @@ def holdout_eval(spark, sf_dir):
 @query("stacking")
 def stacking_run(spark, sf_dir):
     """Stacked prices of the later blocks; two folds of short models for all insurers."""
+    one = {**SHORT, "rounds": 1}
     settings = stacking.Settings(
-        boost.preset("tweedie_a", **SHORT),
-        boost.preset("tweedie_b", **SHORT),
-        boost.preset("scout", **{**SHORT, "rounds": 1}),
+        boost.preset("tweedie_a", **one),
+        boost.preset("tweedie_b", **one),
+        boost.preset("scout", **one),
         folds=2,
         zones=20,
         top_n=20,

@@ -13,7 +13,7 @@ from premia.operators.prepare import fit_nn_prep, with_log_target
 from premia.plans import standin
 from premia.plans.registry import query, r4, rounded
 from premia.roles import DEDUCTIBLE_COLS, INSURERS, PRICE_COLS
-from premia.session import scratch_path
+from premia.session import scratch_path, write_table
 from premia.sources import blocks, submissions
 from premia.sources.quotes import block, quotes
 
@@ -157,7 +157,8 @@ def profile(spark, sf_dir):
 
 @query("infer_numeric")
 def infer_numeric(spark, sf_dir):
-    df = quotes(spark, sf_dir)
+    columns = ["quote_id", "vehicle_engine_size", "vehicle_width_note"]
+    df = quotes(spark, sf_dir).select(*columns)
     typed = clean.infer_numeric(df).transform(df)
     return typed.select(
         "quote_id", (F.col("vehicle_engine_size") + 0.5).alias("engine_size"), "vehicle_width_note"
@@ -204,16 +205,16 @@ def _first_seen(df):
 @query("label_encode")
 def label_encode(spark, sf_dir):
     columns = ["vehicle_maker", "vehicle_model", "coverage"]
-    df = clean.fill_categorical(quotes(spark, sf_dir), columns).select(
-        "quote_id", "quote_ts", "block", *columns
-    )
+    df = clean.fill_categorical(quotes(spark, sf_dir), columns)
+    df = write_table(df.select("quote_id", "quote_ts", "block", *columns), "blocks")
     return fit_labels(_first_seen(df), columns).transform(df).select("quote_id", *columns)
 
 
 @query("auto_categorical")
 def auto_categorical(spark, sf_dir):
     df = quotes(spark, sf_dir)
-    df = df.drop("second_driver_birthdate")
+    text = [c for c in clean.string_columns(df) if c not in ("block", "second_driver_birthdate")]
+    df = write_table(df.select("quote_id", "quote_ts", "block", *text), "blocks")
     codes = fit_all_labels(_first_seen(df))
     return codes.transform(df).select("quote_id", *codes.columns)
 
@@ -278,7 +279,8 @@ def log_target(spark, sf_dir):
 
 @query("nn_prep")
 def nn_prep(spark, sf_dir):
-    df = engineer_features(quotes(spark, sf_dir)).select("quote_id", "block", "Insurer_A_price", *NN_COLUMNS)
+    rich = engineer_features(quotes(spark, sf_dir))
+    df = write_table(rich.select("quote_id", "block", "Insurer_A_price", *NN_COLUMNS), "blocks")
     features = clean.FeatureList(NN_COLUMNS, ())
     prep = fit_nn_prep(block(df, "block1"), features)
     done = with_log_target(prep.transform(df), "Insurer_A_price")

@@ -6,11 +6,19 @@ from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
 from premia.operators import encode, evaluate, order, stack, stats, submit
-from premia.operators.longform import quoted_rows, to_wide
+from premia.operators.longform import quoted_rows, to_long, to_wide
 from premia.plans import standin
 from premia.plans.registry import query, r4, rounded
-from premia.roles import DISPLAY_PRICE_COLS, INSURERS, PRICE_COLS, ROLES, display_price_col, price_col
-from premia.session import scratch_path
+from premia.roles import (
+    DISPLAY_PRICE_COLS,
+    FREQUENCY_ENCODED,
+    INSURERS,
+    PRICE_COLS,
+    ROLES,
+    display_price_col,
+    price_col,
+)
+from premia.session import scratch_path, write_table
 from premia.sources import submissions
 from premia.sources.quotes import block, quotes
 
@@ -27,34 +35,41 @@ PLAIN_INSURERS = ("A", "H", "J")
 
 @query("high_crime_area")
 def high_crime_area(spark, sf_dir):
-    df = quotes(spark, sf_dir)
+    df = _stored(spark, sf_dir, "municipality_crimes_per_1000")
     fitted = stats.fit_high_crime_area(block(df, "block1"))
     return fitted.transform(df).select("quote_id", "high_crime_area")
 
 
 @query("frequency_encode")
 def frequency_encode(spark, sf_dir):
-    df = quotes(spark, sf_dir)
+    df = _stored(spark, sf_dir, *FREQUENCY_ENCODED)
     fitted = stats.fit_frequencies(block(df, "block1"))
     return fitted.transform(df).select("quote_id", *[f"{c}_freq" for c in fitted.columns])
 
 
 @query("median_impute")
 def median_impute(spark, sf_dir):
-    df = quotes(spark, sf_dir).select("quote_id", "block", *IMPUTED)
+    df = _stored(spark, sf_dir, *IMPUTED)
     filled = stats.fit_medians(block(df, "block1"), IMPUTED).transform(df)
     return rounded(filled, *IMPUTED).drop("block")
 
 
 @query("standard_scale")
 def standard_scale(spark, sf_dir):
-    df = quotes(spark, sf_dir).select("quote_id", "block", *SCALED)
+    df = _stored(spark, sf_dir, *SCALED)
     scaled = stats.fit_scaling(block(df, "block1"), SCALED).transform(df)
     return rounded(scaled, *SCALED).drop("block")
 
 
-def _quoted(spark, sf_dir, *columns):
-    return quoted_rows(standin.training_block(spark, sf_dir), [*ROLES.order_key, *columns])
+def _quoted(spark, sf_dir):
+    """Quoted cells of block1, written once: most operators here pass over them repeatedly."""
+    cells = quoted_rows(standin.training_block(spark, sf_dir), ROLES.order_key)
+    return write_table(cells, "quoted")
+
+
+def _stored(spark, sf_dir, *columns):
+    """Some columns of all blocks, written once."""
+    return write_table(quotes(spark, sf_dir).select("quote_id", "block", *columns), "blocks")
 
 
 @query("target_clip")
@@ -75,7 +90,7 @@ def global_row_index(spark, sf_dir):
 
 @query("quote_recency")
 def quote_recency(spark, sf_dir):
-    keys = quotes(spark, sf_dir).select("block", *ROLES.order_key)
+    keys = _stored(spark, sf_dir, "quote_ts")
     parts = [order.quote_recency(block(keys, "block1"))]
     parts += [order.later_recency(block(keys, b), b) for b in ("block2", "block3")]
     rows = [p.select("quote_id", r4("quote_recency").alias("quote_recency")) for p in parts]
@@ -90,7 +105,8 @@ def recency_weight(spark, sf_dir):
 
 @query("temporal_split")
 def temporal_split(spark, sf_dir):
-    return order.temporal_split(standin.training_block(spark, sf_dir)).select("quote_id", "split")
+    first = block(_stored(spark, sf_dir, "quote_ts"), "block1")
+    return order.temporal_split(first).select("quote_id", "split")
 
 
 @query("decile_bins")
@@ -130,8 +146,6 @@ def oof_target_encode(spark, sf_dir):
 
 @query("test_target_encode")
 def test_target_encode(spark, sf_dir):
-    from premia.operators.longform import to_long
-
     rows = standin.blocks(spark, sf_dir)
     fitted = encode.fit_target_encoding(standin.folded_training(rows))
     later = to_long(
@@ -153,8 +167,10 @@ def insample_target_encode(spark, sf_dir):
 
 def _models(spark, sf_dir):
     """All blocks, folded training rows, fitted stand-in models."""
-    rows = standin.blocks(spark, sf_dir)
-    folded = standin.folded_training(rows, [*standin.MODEL_COLUMNS.values(), "coverage_x_age_bucket"])
+    columns = [*standin.MODEL_COLUMNS.values(), "coverage_x_age_bucket"]
+    rows = standin.blocks(spark, sf_dir).select("block", *ROLES.order_key, *columns, *PRICE_COLS)
+    rows = write_table(rows, "blocks")
+    folded = standin.folded_training(rows, columns)
     return rows, folded, standin.fit_models(folded)
 
 

@@ -92,28 +92,27 @@ def stack_inputs(df: DataFrame, settings: Settings, insurers=INSURERS) -> StackI
     return StackInputs(prepared, write_table(wide, "stack"), prepared.later, encoding, encoded)
 
 
-def _fold_models(own: DataFrame, features, params, fold: int, settings: Settings, bagged: bool):
+def _fold_models(rows: DataFrame, features, params, fold: int, settings: Settings, bagged: bool):
     """Models of one fold: one per bag, or a single one on all of its rows."""
-    train, valid = order.fold_split(own, fold)
+    valid = F.col("fold") == fold
     if not bagged:
-        return [_fit(train, valid, features, params)]
-    tagged = train.withColumn("insurer", F.lit(""))
+        return [boost.fit_assembled(rows, features, params, valid)]
+    train, held = order.fold_split(rows, fold)
     models = []
     for bag in range(settings.bags):
-        rows = order.bag_sample(
-            tagged, share=settings.bag_share, seed=params.seed, bag=bag, fold=fold
-        ).drop("insurer")
-        models.append(_fit(rows, valid, features, params))
+        sample = order.bag_sample(
+            train.withColumn("insurer", F.lit("")),
+            "_key",
+            settings.bag_share,
+            params.seed,
+            bag,
+            fold,
+        )
+        both = sample.drop("insurer").unionByName(held)
+        models.append(boost.fit_assembled(both, features, params, valid))
     return models
 
 
-def _fit(train, valid, features, params):
-    both = train.withColumn("_held", F.lit(False)).unionByName(
-        valid.withColumn("_held", F.lit(True))
-    )
-    return boost.fit_boosted(both, features, params, weight="weight", valid=F.col("_held"))
-
-
 @dataclass(frozen=True)
 class InsurerStack:
     """All level-one models of an insurer and the level-two weights."""
@@ -194,12 +193,16 @@ def fit_insurer(inputs: StackInputs, insurer: str, settings: Settings) -> Insure
         valid=F.col("fold") == 0,
     )
     folds = range(settings.folds)
+    # Assembled once: every fold and learner trains on it.
+    rows = boost.assemble(own, features, weight="weight", keep=("fold",))
     models_a = {
-        f: _fold_models(own, features, settings.params_a, f, settings, bagged=True) for f in folds
+        f: _fold_models(rows, features, settings.params_a, f, settings, bagged=True) for f in folds
     }
     models_b = {
-        f: _fold_models(own, features, settings.params_b, f, settings, bagged=False) for f in folds
+        f: _fold_models(rows, features, settings.params_b, f, settings, bagged=False)
+        for f in folds
     }
+    rows.unpersist()
     oof = write_table(oof_predictions(own, insurer, models_a, models_b), "oof")
     meta = stack.fit_ridge_meta(oof)
     y = F.col("y")
