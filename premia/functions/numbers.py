@@ -79,7 +79,8 @@ def row_mean(names) -> Column:
 def row_std(names, mean: str) -> Column:
     """Sample deviation of the non-null columns around their mean; null below two values."""
     squares = _sum_of(f"coalesce((`{c}` - `{mean}`) * (`{c}` - `{mean}`), 0D)" for c in names)
-    return F.expr(f"sqrt(try_divide({squares}, nullif({_present(names)} - 1, 0)))")
+    n = _present(names)
+    return F.expr(f"sqrt({squares} / IF({n} > 1, {n} - 1, NULL))")
 
 
 def row_max(names) -> Column:

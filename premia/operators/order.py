@@ -17,6 +17,8 @@ from premia.roles import N_FOLDS, ROLES, SEED
 from premia.session import write_table
 
 LATER_RECENCY = {"block2": 1.0, "block3": 1.2}
+# Rows one task sorts at most, about.
+BUCKET_ROWS = 250_000
 DECILES = tuple(k * 0.1 for k in range(1, 10))
 
 
@@ -135,15 +137,26 @@ def salted_hash(key: str, *salt) -> Column:
     return F.md5(F.concat(F.lit(prefix + "|"), F.col(key).cast("string")))
 
 
+def bucket_digits(df: DataFrame, groups, rows: int = BUCKET_ROWS) -> int:
+    """Leading digest digits that cut the largest group into buckets of about ``rows``."""
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    digits = 0
+    while largest > rows * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_rank(
-    df: DataFrame, group_by, key: str, salt, name: str = "rank", digits: int = 3
+    df: DataFrame, group_by, key: str, salt, name: str = "rank", digits: int | None = None
 ) -> DataFrame:
     """0-based rank of each row in digest order within its group.
 
     A group is cut into ``16 ** digits`` equal buckets by the leading digits, so no task
-    sorts a whole group. Ranking and the count of earlier buckets share one shuffle.
+    sorts a whole large group. Ranking and bucket sizes are keyed alike.
     """
     groups = list(group_by)
+    digits = bucket_digits(df, groups) if digits is None else digits
     bucketed = df.withColumn("_h", salted_hash(key, *salt)).withColumn(
         "_b", F.substring("_h", 1, digits)
     )
@@ -174,7 +187,7 @@ def bag_sample(
     bag: int = 0,
     fold: int = 0,
     group_by=("insurer",),
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exactly ``floor(share * n)`` rows of every group, without replacement.
 
@@ -183,6 +196,7 @@ def bag_sample(
     """
     groups = list(group_by)
     (group,) = groups
+    digits = bucket_digits(df, groups) if digits is None else digits
     digest = salted_hash(key, seed, bag, fold)
     hashed = df.select(group, digest.alias("_h"), F.col(key).alias("_k")).withColumn(
         "_b", F.substring("_h", 1, digits)
