@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from premia.functions.numbers import by_key
 from premia.operators.clean import string_columns
 from premia.operators.order import row_index
-from premia.operators.stats import rows_per_column, small_side
+from premia.operators.stats import rows_per_column
 from premia.roles import ROLES, SMOOTHING, TARGET_ENCODED
-from premia.session import write_table
+from premia.session import small_side, write_table
 
 UNSEEN_CODE = -1
 

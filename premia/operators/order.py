@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from premia.functions.numbers import by_key
 from premia.operators.quantiles import exact_quantiles
 from premia.roles import N_FOLDS, ROLES, SEED
-from premia.session import write_table
+from premia.session import small_side, write_table
 
 LATER_RECENCY = {"block2": 1.0, "block3": 1.2}
 # Rows one task sorts at most, about.
@@ -44,7 +44,6 @@ def row_index(
     table = write_table(
         ranged.select("*", F.spark_partition_id().alias("_part"), in_part.alias("_pos")), "ordered"
     )
-    # At most one row per partition plus one per group.
     spans = table.groupBy(*groups, "_part").agg(
         F.min("_pos").alias("_first"), F.count("*").alias("_n")
     )
@@ -56,7 +55,9 @@ def row_index(
         "_part",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    joined = table.join(starts, [*groups, "_part"])
+    # One row per partition, plus one per group: broadcast, after a count if groups are open.
+    side = small_side(starts) if groups else F.broadcast(starts)
+    joined = table.join(side, [*groups, "_part"])
     return joined.select(*df.columns, (F.col("_pos") + F.col("_shift")).alias(name))
 
 

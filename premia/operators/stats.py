@@ -15,13 +15,7 @@ from pyspark.sql import functions as F
 from premia.functions.numbers import at_most, by_key, flag
 from premia.operators.quantiles import column_quantiles, exact_quantiles
 from premia.roles import CLIP_QUANTILE, FREQUENCY_ENCODED, SEED
-from premia.session import BROADCAST_ROWS, write_table
-
-
-def small_side(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a fitted table when its counted size is small; else join by shuffle."""
-    rows = table.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(table) if rows <= limit else table
+from premia.session import small_side, write_table
 
 
 def rows_per_column(table: DataFrame) -> dict[str, int]:
@@ -194,22 +188,29 @@ def fit_risk_zones(
     """k-means over the coordinates; never more clusters than distinct points."""
     medians = fit_medians(train, columns)
     names = [f"_{c}" for c in medians.values]
-    coords = train.select(
-        *[
-            F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(f"_{c}")
-            for c, m in medians.values.items()
-        ]
+    # Many quotes share a postal code: cluster the distinct points, weighted by their rows.
+    points = (
+        train.select(
+            *[
+                F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(f"_{c}")
+                for c, m in medians.values.items()
+            ]
+        )
+        .groupBy(*names)
+        .agg(F.count("*").cast("double").alias("_weight"))
     )
-    points = coords.distinct().limit(k).count()
+    points = write_table(points, "points")
+    distinct = points.limit(k).count()
     assembler = VectorAssembler(inputCols=names, outputCol="_point")
     kmeans = KMeans(
-        k=max(2, min(k, points)),
+        k=max(2, min(k, distinct)),
         seed=seed,
         maxIter=max_iter,
         featuresCol="_point",
         predictionCol="_zone",
+        weightCol="_weight",
     )
-    return RiskZones(medians, Pipeline(stages=[assembler, kmeans]).fit(coords))
+    return RiskZones(medians, Pipeline(stages=[assembler, kmeans]).fit(points))
 
 
 @dataclass(frozen=True)

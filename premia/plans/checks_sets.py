@@ -18,7 +18,7 @@ from premia.roles import (
     display_price_col,
     price_col,
 )
-from premia.session import scratch_path, write_table
+from premia.session import scratch_path, small_side, write_table
 from premia.sources import submissions
 from premia.sources.quotes import block, quotes
 
@@ -263,7 +263,7 @@ def fold_average(spark, sf_dir):
         *[F.max(F.when(F.col("insurer") == i, F.col("value"))).alias(price_col(i)) for i in means]
     )
     later = rows.where("block <> 'block1'").select("quote_id", "vehicle_maker")
-    joined = later.join(stats.small_side(wide), "vehicle_maker", "left")
+    joined = later.join(small_side(wide), "vehicle_maker", "left")
     preds = {i: F.coalesce(F.col(price_col(i)), F.lit(m)) for i, m in means.items()}
     return rounded(stack.assemble_wide(joined, preds), *PRICE_COLS)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A quote block has 155 columns and gains about 70: whole-stage codegen is given up
 # above this many fields, and its default of 100 is too low for that.
@@ -68,6 +69,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a table when its counted size is small; else it is joined by shuffle."""
+    rows = table.limit(limit + 1).count() if rows is None else rows
+    return F.broadcast(table) if rows <= limit else table
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete the intermediates this application wrote; returns how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

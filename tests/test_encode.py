@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from premia import session
 from premia.operators import encode, stats
 from premia.operators.prepare import fit_nn_prep
 from premia.operators.clean import FeatureList
@@ -84,7 +85,7 @@ def test_wide_encoding_equals_long(spark, train):
 
 def test_large_tables_join_by_shuffle(spark, train, monkeypatch):
     df, frame = train
-    monkeypatch.setattr(stats.small_side, "__defaults__", (None, 1))
+    monkeypatch.setattr(session.small_side, "__defaults__", (None, 1))
     encoded = encode.oof_target_encode(df, ["maker"])
     assert "ResolvedHint" not in encoded._jdf.queryExecution().analyzed().toString()
     got = encoded.toPandas().set_index("quote_id")["maker_te"]
