@@ -36,9 +36,11 @@ def insample_predictions(
             return None
         rows = encoding.transform(prepared.train.join(mine, "quote_id"), _te_name)
         own = write_table(rows.select("quote_id", "insurer", "y", *names), "own")
+        vectors = boost.assemble(own, names)
         models = {
-            n: boost.fit_boosted(own, names, p) for n, p in (("a", params_a), ("b", params_b))
+            n: boost.fit_assembled(vectors, names, p) for n, p in (("a", params_a), ("b", params_b))
         }
+        vectors.unpersist()
         scored = boost.score_models(models)
         mean = stack.simple_average(scored["a"], scored["b"])
         return own.select("quote_id", "insurer", "y", mean.alias("pred"))

@@ -125,8 +125,8 @@ def fit_insample(spark, sf_dir):
     """Actual and in-sample predicted price of every training quote and insurer."""
     return bias.bias_table(
         _blocks(spark, sf_dir),
-        params_a=boost.preset("insample_a", **SHORT),
-        params_b=boost.preset("insample_b", **SHORT),
+        params_a=boost.preset("insample_a", **{**SHORT, "rounds": 1}),
+        params_b=boost.preset("insample_b", **{**SHORT, "rounds": 1}),
         zones=None,
     )
 
@@ -195,16 +195,13 @@ def holdout_eval(spark, sf_dir):
     fitted = standard.fit(df, params, family="blend")
     path = scratch_path(spark, "models")
     boost.save_models(spark, fitted.models, path)
-    parts = [
-        mixed.holdout_eval(spark, path, df, i).withColumn("insurer", F.lit(i)) for i in ("J", "A")
-    ]
-    return parts[0].unionByName(parts[1])
+    return mixed.holdout_eval(spark, path, df, fitted.models)
 
 
 @query("stacking")
 def stacking_run(spark, sf_dir):
     """Stacked prices of the later blocks; two folds of short models for all insurers."""
-    one = {**SHORT, "rounds": 1}
+    one = {**SHORT, "rounds": 1, "max_depth": 2}
     settings = stacking.Settings(
         boost.preset("tweedie_a", **one),
         boost.preset("tweedie_b", **one),

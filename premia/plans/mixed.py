@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
@@ -55,19 +55,22 @@ def fit(
 
 
 def holdout_eval(
-    spark, path: str, df: DataFrame, insurer: str, family: str = "blend"
+    spark: SparkSession, path: str, df: DataFrame, insurers, family: str = "blend"
 ) -> DataFrame:
-    """Error of a stored model on the last fifth of block1, with rebuilt features."""
-    model = boost.load_models(spark, path, [insurer])[insurer]
-    prepared = fitting.prepare(df, family, (insurer,))
+    """Error of stored models on the last fifth of block1, with rebuilt features."""
+    models = boost.load_models(spark, path, insurers)
+    prepared = fitting.prepare(df, family, INSURERS)
     split = order.temporal_split(prepared.train).where(F.col("split") == "valid")
-    features = clean.FeatureList(model.features, ())
-    aligned = clean.align_schema(
-        split.where(F.col(price_col(insurer)).isNotNull()),
-        features,
-        keep=("quote_id", price_col(insurer)),
+    names = tuple(dict.fromkeys(c for m in models.values() for c in m.features))
+    prices = [price_col(i) for i in models]
+    aligned = clean.align_schema(split, clean.FeatureList(names, ()), keep=tuple(prices))
+    scored = boost.score_models(models)
+    cells = aligned.select(
+        *prices, *[p.alias(f"pred_{i}") for i, p in scored.items()]
     )
-    scored = aligned.select(
-        F.col(price_col(insurer)).alias("y"), boost.score_models({insurer: model})[insurer].alias("p")
+    errors = {i: F.abs(F.col(f"pred_{i}") - F.col(price_col(i))) for i in models}
+    totals = cells.agg(
+        *[F.struct(F.count(e).alias("n"), F.avg(e).alias("mae")).alias(i) for i, e in errors.items()]
     )
-    return scored.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"))
+    rows = F.array(*[F.struct(F.lit(i).alias("insurer"), f"{i}.n", f"{i}.mae") for i in models])
+    return totals.select(F.inline(rows))
