@@ -129,6 +129,17 @@ def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
         packed.append((m.start, m.params.learning_rate, trees))
     width, height = len(inputs), len(packed)
 
+    # Nested, so that it travels with the query and workers need no copy of this package.
+    def tree_values(x, feature, threshold, left, right, value):
+        """Leaf value of every row: all rows step down together."""
+        rows = np.arange(len(x))
+        node = np.zeros(len(x), dtype=np.int64)
+        while True:
+            below = np.where(x[rows, feature[node]] <= threshold[node], left[node], right[node])
+            if (below == node).all():
+                return value[node]
+            node = below
+
     @F.arrow_udf("array<double>")
     def score(rows: pa.Array) -> pa.Array:
         n = len(rows)
@@ -137,7 +148,7 @@ def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
         for m, (start, rate, trees) in enumerate(packed):
             out[:, m] = start
             for tree in trees:
-                out[:, m] += rate * _tree_values(x, *tree)
+                out[:, m] += rate * tree_values(x, *tree)
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * height)
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
@@ -145,17 +156,6 @@ def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
     return {name: to_price(raw[n], m.params) for n, (name, m) in enumerate(models.items())}
 
 
-def _tree_values(x, feature, threshold, left, right, value):
-    """Leaf value of every row: all rows step down together."""
-    rows = np.arange(len(x))
-    node = np.zeros(len(x), dtype=np.int64)
-    while True:
-        below = np.where(x[rows, feature[node]] <= threshold[node], left[node], right[node])
-        if (below == node).all():
-            return value[node]
-        node = below
-
-
 _SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 
 
