@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.session import apply_settings, scratch_path, write_table
+from premia.session import apply_settings, write_table
 
 __all__ = [
-    "LOWER", "WordHashes", "column", "join_texts", "minimisers", "mixed", "read", "rows", "scratch_path",
-    "settings", "windows", "write_table",
+    "LOWER", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "read", "rows",
+    "settings", "write_table",
 ]
 
 # Per-document side tables up to this many bytes are sent to all executors; larger ones are joined by shuffle.
@@ -55,20 +55,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(codes: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Hash of every ``length`` consecutive codes; ``seed`` (odd) selects an independent hash."""
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    base = np.uint64(seed)
-    inverse = np.uint64(pow(seed, -1, 1 << 64))
-    down = np.full(len(codes), inverse)
-    down[0] = 1
-    up = np.full(n, base)
-    up[0] = 1
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * np.multiply.accumulate(down), out=sums[1:])
-    return mixed((sums[length:] - sums[:n]) * np.multiply.accumulate(up))
+class Stretches:
+    """Hashes of any stretch of consecutive codes; ``seed`` (odd) selects an independent hash."""
+
+    def __init__(self, codes: np.ndarray, seed: int):
+        n = len(codes)
+        down = np.full(n, np.uint64(pow(seed, -1, 1 << 64)))
+        down[:1] = 1
+        self.up = np.full(n + 1, np.uint64(seed))
+        self.up[:1] = 1
+        self.up = np.multiply.accumulate(self.up)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * np.multiply.accumulate(down), out=self.sums[1:])
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.up[starts])
+
+    def every(self, length: int) -> np.ndarray:
+        """Of every ``length`` consecutive codes."""
+        n = max(0, len(self.sums) - length)
+        return mixed((self.sums[length : length + n] - self.sums[:n]) * self.up[:n])
 
 
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -100,11 +106,16 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def join_texts(texts: DataFrame, per_document: DataFrame, size: int, how: str) -> DataFrame:
-    """Join whole texts with one row per document, by ``doc_id``.
+def join_texts(texts: DataFrame, per_document: DataFrame, size: int, how: str, on=("doc_id", "print")) -> DataFrame:
+    """Join whole texts with one row per document.
 
     ``size`` is the counted size of ``per_document`` in bytes. Up to SENT_BYTES it is sent to
     all executors and the texts stay where they are; beyond that both sides are shuffled.
     """
     side = F.broadcast(per_document) if size <= SENT_BYTES else per_document
-    return texts.join(side, "doc_id", how)
+    return texts.join(side, list(on), how)
+
+
+def printed(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and a fingerprint of the text, which tells apart rows that share an id."""
+    return documents.select(F.col("doc_id").cast("long"), F.col("text"), F.hash("text").alias("print"))
