@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, minhash, substrings
+from premia.llm import bpe, decontaminate, minhash, preferences, substrings, toxicity, urls
 from premia.llm.common import read, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,12 +30,68 @@ def bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# The rules of the URL query, as host, path and verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every page's URL."""
+    return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles are at least 85 % alike."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completions of conversations that open alike, as digests."""
+    made = preferences.format_pairs(preferences.pair_conversations(read(spark, sf_dir, "conversations")))
+
+    def text(side: str, trained: bool):
+        pieces = F.filter(side, lambda x: x["trained"]) if trained else F.col(side)
+        return F.sha2(F.array_join(F.transform(pieces, lambda x: x["text"]), "").cast("binary"), 256)
+
+    return made.select(
+        "chosen_id",
+        "rejected_id",
+        F.col("n_common").cast("long").alias("n_common"),
+        F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"),
+        text("chosen", False).alias("chosen_sha256"),
+        text("chosen", True).alias("chosen_trained_sha256"),
+        text("rejected", False).alias("rejected_sha256"),
+        text("rejected", True).alias("rejected_trained_sha256"),
+    )
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages of ten words, and a digest of the items."""
+    found = decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, how many an earlier document's windows cover, and a digest of the rest."""
