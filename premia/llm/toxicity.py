@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from premia.llm.common import column, join_texts, rows, write_table
 
 # Bytes of a spelling (the byte and its context), and of the shared back-off.
-ORDER, SHARED = 6, 3
+ORDER, SHARED = 7, 3
 DISCOUNT = 0.75
-# The scoring table sent to executors has this many slots (a prime), 4 bytes each, whatever the input.
-SLOTS = 4_194_301
+# The scoring table sent to executors has this many slots (a prime), 2 bytes each, whatever the input.
+SLOTS = 8_388_593
 # Labelled documents the logistic curve is fitted on, at most; all counts cover all documents.
 CURVE_ROWS = 20_000
 # Lower-cases A to Z and makes all ASCII white space one space.
@@ -45,7 +45,7 @@ def spellings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.zeros(len(at), np.uint64)
     for k in range(ORDER):
         number |= data[at - k].astype(np.uint64) << np.uint64(8 * k)
-    number &= (np.uint64(1) << (known * np.uint64(8))) - np.uint64(1)
+    number &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - known * np.uint64(8))
     ends = ORDER + np.cumsum([len(c) for c in coded])
     return number, np.searchsorted(at, starts), np.searchsorted(ends, starts, "right")
 
@@ -115,7 +115,7 @@ def differences(counts: DataFrame) -> DataFrame:
         "full": {"toxic": F.col("toxic_0") + F.col("toxic_1"), "ordinary": F.col("ordinary_0") + F.col("ordinary_1")},
     }
     seen = {f"{m}_{c}": count for m, classes in both.items() for c, count in classes.items()}
-    counted = counts.select("spelling", "n", low.alias("low"), F.shiftright("spelling", 8).alias("context"),
+    counted = counts.select("spelling", "n", low.alias("low"), F.shiftrightunsigned("spelling", 8).alias("context"),
                             *(count.alias(name) for name, count in seen.items()))
     contexts = counted.groupBy(F.col("context").alias("of_context")).agg(
         *(F.sum(name).alias(f"{name}_all") for name in seen),
@@ -136,14 +136,15 @@ def differences(counts: DataFrame) -> DataFrame:
 
 def slots(difference: DataFrame) -> np.ndarray:
     """Two tables of SLOTS differences, by spelling modulo SLOTS; the more frequent spelling has the slot."""
-    best = difference.groupBy((F.col("spelling") % SLOTS).cast("int").alias("slot")).agg(
+    # What no labelled document holds says nothing.
+    best = difference.where("part != 0 or full != 0").groupBy(F.pmod("spelling", F.lit(SLOTS)).cast("int").alias("slot")).agg(
         F.max(F.struct("n", "spelling", "part", "full")).alias("b")
     )
     found = best.select("slot", F.col("b.part").cast("float").alias("part"), F.col("b.full").cast("float").alias("full"))
-    table = np.zeros((2, SLOTS), np.float32)
+    table = np.zeros((2, SLOTS), np.float16)
     got = found.toPandas()
     for i, name in enumerate(("part", "full")):
-        table[i, got["slot"].to_numpy(np.int64)] = got[name].to_numpy(np.float32)
+        table[i, got["slot"].to_numpy(np.int64)] = got[name].to_numpy(np.float16)
     return table
 
 
@@ -161,7 +162,7 @@ def strongest_words(documents: DataFrame, table: np.ndarray, keep: list[str]) ->
                 number, words, text = spellings(texts)
                 best = np.zeros(len(texts))
                 if len(words):
-                    sums = np.add.reduceat(values[(number % np.uint64(SLOTS)).astype(np.int64)].astype(np.float64), words)
+                    sums = np.add.reduceat(values[number.view(np.int64) % SLOTS].astype(np.float64), words)
                     mean = sums / np.diff(np.append(words, len(number)))
                     first = np.flatnonzero(np.diff(text, prepend=-1))
                     best[text[first]] = np.maximum.reduceat(mean, first)
