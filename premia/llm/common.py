@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.session import apply_settings, write_table
 
 __all__ = [
-    "LOWER", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "read", "rows",
+    "LOWER", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "printed", "read", "rows",
     "settings", "write_table",
 ]
 
@@ -116,6 +116,6 @@ def join_texts(texts: DataFrame, per_document: DataFrame, size: int, how: str, o
     return texts.join(side, list(on), how)
 
 
-def printed(documents: DataFrame) -> DataFrame:
+def printed(documents: DataFrame, *more: Column) -> DataFrame:
     """``doc_id``, ``text`` and a fingerprint of the text, which tells apart rows that share an id."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text"), F.hash("text").alias("print"))
+    return documents.select(F.col("doc_id").cast("long"), F.col("text"), F.hash("text").alias("print"), *more)

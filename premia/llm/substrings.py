@@ -131,16 +131,18 @@ def repeated_spans(documents: DataFrame, length: int = 50) -> tuple[DataFrame, i
     return per_document(spans, "spans", F.struct("start", "end"), 16)
 
 
-def remove_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the words that windows of an earlier document cover.
 
     Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space).
     Words are runs of characters other than ASCII white space. A null text has no words, a text of fewer
     than ``length`` words keeps all. Equal windows inside one document, or in rows that share a ``doc_id``,
     do not count; repeated rows are answered each. Rows with a null ``doc_id`` keep all their words and
-    take none from others. Other columns are ignored; an empty table gives an empty result.
+    take none from others. Of other columns those named in ``carry`` come along, the rest is ignored; an
+    empty table gives an empty result.
     """
     spans, size = repeated_spans(documents, length)
+    kept_fields = [documents.schema[c] for c in carry]
 
     def work(batches):
         for batch in batches:
@@ -156,9 +158,11 @@ def remove_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
                 out.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode()))
             names = ["doc_id", "n_words", "n_removed", "kept"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names
-            )
-
-    joined = join_texts(printed(documents), spans, size, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string")
+            made = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
+            carried = [batch.column(batch.schema.get_field_index(f"_{c}")) for c in carry]
+            yield pa.RecordBatch.from_arrays([*made, *carried], [*names, *carry])
+
+    source = printed(documents, *(F.col(f"`{c}`").alias(f"_{c}") for c in carry))
+    joined = join_texts(source, spans, size, "left").drop("print")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
+    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string" + more)
