@@ -298,6 +298,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     # Buckets of several classes, each list of members once, with the registers of its members.
     keys = write_table(band_keys(sets), "bands")
     many = keys.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
+    many = write_table(many, "shared-bands")
     bucketed = in_blocks(write_table(keys.join(many, "key").distinct(), "buckets"), "key")
     lists = bucketed.groupBy("key", "pair").agg(
         F.sort_array(F.collect_set(F.struct("doc_id", "kind", "side"))).alias("members")

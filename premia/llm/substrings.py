@@ -101,6 +101,12 @@ def per_document(df: DataFrame, name: str, item, width: int) -> tuple[DataFrame,
     return table, count
 
 
+def held_by_several(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that several documents hold, with the smallest of them as ``holder``."""
+    found = df.groupBy(*keys).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+    return found.where("holder < last").drop("last")
+
+
 def repeated_spans(documents: DataFrame, length: int = 50) -> tuple[DataFrame, int]:
     """Spans of words to remove: ``doc_id``, ``print``, ``spans`` (start and end); and their size.
 
@@ -108,23 +114,21 @@ def repeated_spans(documents: DataFrame, length: int = 50) -> tuple[DataFrame, i
     """
     texts = printed(documents).where("doc_id is not null and text is not null")
     halves = write_table(level_half(texts, length), "halves")
-    shared = halves.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last_holder"))
-    shared = shared.where("holder < last_holder").select("key", "holder")
+    shared = write_table(held_by_several(halves, ["key"]), "shared").select("key")
     open_, size = per_document(halves.join(shared, "key").select("doc_id", "print", "key"), "keys", F.col("key"), 8)
 
     stretches = write_table(level_stretch(join_texts(texts, open_, size, "inner"), length), "stretches")
-    holders = stretches.groupBy("key", "stretch").agg(F.min("doc_id").alias("stretch_holder"))
-    held = write_table(stretches.join(holders, ["key", "stretch"]), "held")
-    copied = held.where("stretch_holder < doc_id")
+    holders = write_table(held_by_several(stretches, ["key", "stretch"]), "holders")
+    held = write_table(stretches.join(holders, ["key", "stretch"], "left"), "held")
+    copied = held.where("holder < doc_id")
     # One document of each kind of stretch stands for it; keys with one kind only are settled.
-    kinds = held.where("stretch_holder = doc_id")
-    first = kinds.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last_holder"))
-    first = first.where("holder < last_holder").select("key")
+    kinds = held.where("holder is null or holder = doc_id").drop("holder")
+    several = write_table(held_by_several(kinds, ["key"]), "several").select("key")
     item = F.struct("key", "first", "last")
-    open_, size = per_document(kinds.join(first, "key"), "stretches", item, 24)
+    open_, size = per_document(kinds.join(several, "key"), "stretches", item, 24)
 
     full = write_table(level_window(join_texts(texts, open_, size, "inner"), length), "windows")
-    earlier = full.groupBy("key", "window").agg(F.min("doc_id").alias("holder"))
+    earlier = write_table(held_by_several(full, ["key", "window"]), "earlier")
     single = full.join(earlier, ["key", "window"]).where("holder < doc_id")
     spans = copied.select("doc_id", "print", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     spans = spans.union(single.select("doc_id", "print", "start", (F.col("start") + length).alias("end")))
