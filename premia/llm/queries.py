@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, minhash, preferences, substrings, toxicity, urls
+from premia.llm import bpe, decontaminate, embeddings, minhash, preferences, substrings, toxicity, urls
 from premia.llm.common import read, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector with those of its label at a cosine of 0.93 and above."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles are at least 85 % alike."""
