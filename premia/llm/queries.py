@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, embeddings, minhash, preferences, substrings, toxicity, urls
+from premia.llm import bpe, decontaminate, embeddings, minhash, preferences, substrings, suffixes, toxicity, urls
 from premia.llm.common import read, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that also stand in another document."""
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
