@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, embeddings, minhash, preferences, substrings, suffixes, toxicity, urls
+from premia.llm import bpe, decontaminate, embeddings, licences, minhash, preferences, substrings, suffixes, toxicity, urls
 from premia.llm.common import read, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,28 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, taken as a file of the folder of its source and language.
+
+    Documents whose first or last line names a licence stand for licence files.
+    """
+    documents = read(spark, sf_dir, "documents").where("doc_id is not null")
+    lines = F.split("text", r"\n")
+    names_it = F.concat_ws("\n", lines[0], F.element_at(lines, -1)).rlike(r"(?i)licen[cs]e|all rights reserved")
+    name = F.concat(F.when(names_it, "LICENCE.").otherwise("TEXT."), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), name)
+    found = licences.scan_licences(documents.select(path.alias("path"), "text"), r"^LICENCE\.")
+    return found.select(
+        F.regexp_extract("path", r"\.(-?[0-9]+)$", 1).cast("long").alias("doc_id"),
+        "path",
+        "own_licence",
+        F.round("score", 6).alias("score"),
+        "licence",
+        "inherited_from",
+    )
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
