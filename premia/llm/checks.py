@@ -1,3 +1,182 @@
 """SQL that recomputes the registered queries of this folder, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def words(text: str) -> str:
+    """Words between ASCII white space."""
+    return rf"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+
+
+# From directed pairs (x, y): the smallest node that each node reaches.
+REACHED = """
+reached(node, other) AS (
+  SELECT x, y FROM pairs
+  UNION
+  SELECT r.node, p.y FROM reached r JOIN pairs p ON p.x = r.other
+),
+lowest AS (SELECT node, min(other) AS low FROM reached GROUP BY node)
+"""
+
+URLS = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r
+  FROM pages
+),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), {LOWER}) AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+fitting AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS n
+  FROM parts JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rule_verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fitting f ON f.page_id = p.page_id AND f.n = 1
+"""
+
+EMBEDDINGS = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+),
+{REACHED},
+degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(l.low, v.vec_id)) AS component_id,
+       v.vec_id <= coalesce(l.low, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN degree d ON d.x = v.vec_id LEFT JOIN lowest l ON l.node = v.vec_id
+"""
+
+MINHASH = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, {words(f"translate(text, {LOWER})")} AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM split, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+),
+pairs AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+{REACHED}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(l.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.node = d.doc_id
+"""
+
+PREFERENCES = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+talks AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY conv_id
+),
+firsts AS (SELECT t[1] AS opening, min(conv_id) AS chosen_id FROM talks GROUP BY t[1]),
+answers AS (SELECT *, [i FOR i IN range(1, len(t) + 1) IF t[i].role = 'assistant'] AS a FROM talks),
+swapped AS (
+  SELECT conv_id, t, [CASE WHEN i = a[len(a)] THEN t[a[1]] ELSE t[i] END FOR i IN range(1, len(t) + 1)] AS r
+  FROM answers WHERE len(a) > 1
+),
+pairs AS (
+  SELECT c.conv_id AS chosen_id, r.conv_id AS rejected_id, c.t AS chosen, r.t AS rejected
+  FROM talks r JOIN firsts f ON r.t[1] = f.opening JOIN talks c ON c.conv_id = f.chosen_id
+  WHERE r.conv_id <> c.conv_id
+  UNION ALL
+  SELECT conv_id, conv_id, t, r FROM swapped WHERE t <> r
+),
+prefixes AS (
+  SELECT *, coalesce(list_min([i FOR i IN range(1, least(len(chosen), len(rejected)) + 1) IF chosen[i] <> rejected[i]]) - 1,
+                     least(len(chosen), len(rejected))) AS n
+  FROM pairs
+)
+SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS n_common,
+  sha256(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN chosen[1:n]], '')) AS prompt_sha256,
+  sha256(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN chosen[n + 1:]], '')) AS chosen_sha256,
+  sha256(array_to_string([x.text || '<|end|>' || chr(10) FOR x IN chosen[n + 1:] IF x.role = 'assistant'], '')) AS chosen_trained_sha256,
+  sha256(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN rejected[n + 1:]], '')) AS rejected_sha256,
+  sha256(array_to_string([x.text || '<|end|>' || chr(10) FOR x IN rejected[n + 1:] IF x.role = 'assistant'], '')) AS rejected_trained_sha256
+FROM prefixes
+"""
+
+PASSAGE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+PASSAGES = f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{PASSAGE_WORDS}') AS w FROM documents
+),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{PASSAGE_WORDS}') AS w FROM benchmark
+),
+passages AS (
+  SELECT DISTINCT item_id, w[i : i + least(len(w), 10) - 1] AS p
+  FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS u(i) WHERE len(w) > 0
+),
+tokens AS (SELECT doc_id, w[i] AS word, i FROM docs, unnest(range(1, len(w) + 1)) AS u(i)),
+found AS (
+  SELECT t.doc_id, p.item_id, t.i, len(p.p) AS n
+  FROM tokens t JOIN passages p ON t.word = p.p[1] JOIN docs d ON d.doc_id = t.doc_id
+  WHERE d.w[t.i : t.i + len(p.p) - 1] = p.p
+),
+hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + n)) AS u(k) GROUP BY doc_id
+),
+names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN names n ON n.doc_id = d.doc_id
+"""
+
+SUBSTRINGS = f"""
+WITH docs AS (SELECT doc_id, {words("text")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS k
+  FROM docs, unnest(range(1, len(w) - 48)) AS u(i)
+),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+covered AS (
+  SELECT DISTINCT w.doc_id, p
+  FROM windows w JOIN firsts f ON f.k = w.k AND f.first < w.doc_id, unnest(range(w.i, w.i + 50)) AS u(p)
+),
+removed AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS k
+  FROM (SELECT doc_id, w[p] AS word, p FROM docs, unnest(range(1, len(w) + 1)) AS u(p)) t
+  ANTI JOIN covered c ON c.doc_id = t.doc_id AND c.p = t.p
+  GROUP BY t.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.k, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op1_url_filter": URLS,
+    "op2_embedding_dedup": EMBEDDINGS,
+    "op3_minhash_dedup": MINHASH,
+    "op4_preferences": PREFERENCES,
+    "op5_decontaminate": PASSAGES,
+    "op9_substring_dedup": SUBSTRINGS,
+}
