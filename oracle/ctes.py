@@ -16,6 +16,7 @@ TE_COLUMNS = (
     "vehicle_maker",
     "vehicle_model",
     "coverage_x_age_bucket",
+    "coverage",
 )
 
 
@@ -186,7 +187,8 @@ FROM bucketed"""
 
 CATS = (
     "postal_code, municipality, province, coalesce(vehicle_maker, '_MISSING_') AS vehicle_maker, "
-    "coalesce(vehicle_model, '_MISSING_') AS vehicle_model, coverage_x_age_bucket"
+    "coalesce(vehicle_model, '_MISSING_') AS vehicle_model, coverage_x_age_bucket, "
+    "coalesce(coverage, '_MISSING_') AS coverage"
 )
 
 # One row per quote and insurer of all blocks, declined ones too.

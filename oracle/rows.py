@@ -3,51 +3,76 @@
 from __future__ import annotations
 
 from oracle.ctes import INSURERS, each, price, r4, sql
-from premia.plans.checks_rows import (
-    ACTUARIAL_QUERIES,
-    DATE_QUERIES,
-    INTEGER_OR_TEXT,
-    NN_COLUMNS,
+# Columns of the feature queries, and what the projection of all of them shows.
+FEATURES = {
+    "contractor_age": ["contractor_age"],
+    "second_driver_age": ["second_driver_age"],
+    "has_second_driver": ["has_second_driver"],
+    "days_since_inspection": ["days_since_inspection"],
+    "inspection_days_remaining": ["inspection_days_remaining"],
+    "years_since_last_registration": ["years_since_last_registration"],
+    "years_since_first_registration": ["years_since_first_registration"],
+    "years_since_country_first_reg": ["years_since_country_first_reg"],
+    "age_squares": ["contractor_age_sq", "second_driver_age_sq"],
+    "age_bucket": ["contractor_age_bucket"],
+    "claim_free_x_age": ["claim_free_x_age"],
+    "claim_free_per_age": ["claim_free_per_age"],
+    "claim_free_x_vehicle_age": ["claim_free_x_vehicle_age"],
+    "second_driver_interactions": ["second_driver_claim_free_x_age", "total_claim_free_years", "claim_free_diff"],
+    "power_weight": ["weight_per_power", "power_per_weight"],
+    "value_ratios": ["value_per_age", "log_vehicle_value"],
+    "value_per_power": ["value_per_power"],
+    "log_exposure": ["log_address_density", "log_mileage"],
+    "has_deficiencies": ["has_deficiencies"],
+    "deductible_row_stats": ["mean_deductible", "std_deductible", "max_deductible", "min_deductible"],
+    "ded_vs_mean": [f"{i}_ded_vs_mean" for i in INSURERS],
+    "ded_ratio": ["mean_deductible_ratio", *[f"{i}_ded_ratio" for i in INSURERS]],
+    "coverage_x_age_bucket": ["coverage_x_age_bucket"],
+}
+TEXT = ("contractor_age_bucket", "coverage_x_age_bucket")
+WHOLE = ("has_second_driver", "has_deficiencies")
+DATES = (
+    "contractor_birthdate",
+    "second_driver_birthdate",
+    "vehicle_first_registration_date",
+    "vehicle_country_first_registration_date",
+    "vehicle_last_registration_date",
+    "vehicle_inspection_report_date",
+    "vehicle_inspection_expiry_date",
+)
+CATEGORIES = (
+    "coverage",
+    "payment_frequency",
+    "usage",
+    "vehicle_maker",
+    "vehicle_model",
+    "postal_code",
+    "province",
+    "municipality",
 )
-from premia.roles import CATEGORICAL_COLS, DATE_COLS
 
 SQL: dict[str, str] = {}
 
 
 def _shown(c: str) -> str:
-    return c if c in INTEGER_OR_TEXT else f"{r4(c)} AS {c}"
+    return c if c in TEXT + WHOLE else f"{r4(c)} AS {c}"
 
 
-for _name, _columns in (DATE_QUERIES | ACTUARIAL_QUERIES).items():
+for _name, _columns in FEATURES.items():
     SQL[_name] = sql(f"SELECT quote_id, {', '.join(map(_shown, _columns))} FROM feats")
-_all = [c for cols in (DATE_QUERIES | ACTUARIAL_QUERIES).values() for c in cols]
+_all = [c for cols in FEATURES.values() for c in cols]
 SQL["feature_projection"] = sql(f"SELECT quote_id, {', '.join(map(_shown, _all))} FROM feats")
 
-_prices4 = ", ".join(f"{r4(price(i))} AS {price(i)}" for i in INSURERS)
-SQL["read_block"] = sql(
-    "SELECT quote_id, coverage, vehicle_maker, "
-    + each("Insurer_{i}_deductible")
-    + f", {_prices4} FROM quotes WHERE block = 'block1'"
-)
-
 
 def _r3(x: str) -> str:
     return f"round_even(({x}) * 1000, 0) / 1000"
 
 
-SQL["write_submission"] = sql(
-    "SELECT CAST(12 AS INTEGER) AS n_fields, quote_id, "
-    f"{_r3('coalesce(Insurer_A_price, 1.0)')} AS first_price, "
-    f"{_r3('coalesce(Insurer_K_price, 1.0)')} AS last_price FROM quotes"
-)
+_filled = ", ".join(f"{_r3(f'coalesce({price(i)}, 1.0)')} AS {price(i)}" for i in INSURERS)
+SQL["write_submission"] = sql(f"SELECT CAST(12 AS INTEGER) AS n_fields, quote_id, {_filled} FROM quotes")
 _prices3 = ", ".join(f"{_r3(price(i))} AS {price(i)}" for i in INSURERS)
 SQL["read_submission"] = sql(f"SELECT quote_id, {_prices3} FROM quotes")
 SQL["round_prices"] = SQL["read_submission"]
-SQL["export_head"] = sql(
-    "SELECT row_number() OVER (ORDER BY quote_ts, quote_id) - 1 AS row_index, quote_id, coverage, "
-    "vehicle_power FROM quotes ORDER BY quote_ts, quote_id LIMIT 50000"
-)
-
 # Column types of the quote view, in its order.
 TYPES = {
     "quote_id": "bigint",
@@ -85,6 +110,22 @@ TYPES = {
     **{f"Insurer_{i}_deductible": "double" for i in INSURERS},
     **{price(i): "double" for i in INSURERS},
 }
+NUMBERS = tuple(c for c, t in TYPES.items() if t == "double" and not c.endswith("_price"))
+
+
+def _plain(c: str) -> str:
+    """A column as the queries show it: dates as text, prices rounded."""
+    if TYPES[c] in ("date", "timestamp_ntz"):
+        return f"strftime({c}, '%Y-%m-%d') AS {c}"
+    return f"{r4(c)} AS {c}" if c.endswith("_price") else c
+
+
+_every = ", ".join(map(_plain, TYPES))
+SQL["read_block"] = sql(f"SELECT {_every} FROM quotes WHERE block = 'block1'")
+SQL["export_head"] = sql(
+    f"SELECT row_number() OVER (ORDER BY quotes.quote_ts, quotes.quote_id) - 1 AS row_index, {_every} "
+    "FROM quotes ORDER BY quotes.quote_ts, quotes.quote_id LIMIT 5000"
+)
 SQL["profile"] = sql(
     " UNION ALL ".join(
         f"SELECT '{c}' AS name, '{t}' AS dtype, count({c}) AS non_null, count(*) AS n_rows FROM quotes"
@@ -98,11 +139,11 @@ def _role(c: str) -> str:
         return "'id'"
     if c in ("quote_ts", "block"):
         return "'context'"
-    if c in DATE_COLS:
+    if c in DATES:
         return "'date'"
     if c.endswith("_price"):
         return "'target'"
-    if c in CATEGORICAL_COLS:
+    if c in CATEGORIES:
         return "'categorical'"
     if TYPES[c] == "string":
         return (
@@ -123,23 +164,16 @@ SQL["infer_numeric"] = sql(
     "SELECT quote_id, try_cast(vehicle_engine_size AS DOUBLE) + 0.5::DOUBLE AS engine_size, "
     "vehicle_width_note FROM quotes"
 )
-SQL["parse_date"] = sql(
-    "SELECT quote_id, strftime(contractor_birthdate, '%Y-%m-%d') AS contractor_birthdate, "
-    "strftime(try_strptime(second_driver_birthdate, '%d/%m/%Y'), '%Y-%m-%d') "
-    "AS second_driver_birthdate FROM quotes"
-)
-SQL["fill_categorical"] = sql(
-    "SELECT quote_id, "
-    + ", ".join(
-        f"coalesce({c}, '_MISSING_') AS {c}"
-        for c in ("coverage", "vehicle_maker", "vehicle_model", "municipality")
-    )
-    + " FROM quotes"
+_dates = ", ".join(
+    f"strftime(try_strptime({c}, '%d/%m/%Y'), '%Y-%m-%d') AS {c}" if TYPES[c] == "string" else _plain(c)
+    for c in DATES
 )
+SQL["parse_date"] = sql(f"SELECT quote_id, {_dates} FROM quotes")
+_filled_categories = ", ".join(f"coalesce({c}, '_MISSING_') AS {c}" for c in CATEGORIES)
+SQL["fill_categorical"] = sql(f"SELECT quote_id, {_filled_categories} FROM quotes")
 SQL["align_schema"] = sql(
-    "SELECT quote_id, vehicle_age, '_MISSING_' AS vehicle_fuel_type, "
-    "try_cast(vehicle_engine_size AS DOUBLE) AS vehicle_engine_size, "
-    "CAST(NULL AS DOUBLE) AS vehicle_doors, coalesce(coverage, '_MISSING_') AS coverage FROM quotes"
+    f"SELECT quote_id, {', '.join(NUMBERS)}, try_cast(vehicle_engine_size AS DOUBLE) AS vehicle_engine_size, "
+    f"CAST(NULL AS DOUBLE) AS vehicle_doors, {_filled_categories}, '_MISSING_' AS vehicle_fuel_type FROM quotes"
 )
 
 
@@ -160,7 +194,7 @@ def _codes(columns: list[str], fill: bool) -> str:
     return f"{head}, {', '.join(ctes)} SELECT quote_id, {shown[0]}{tail}"
 
 
-SQL["label_encode"] = _codes(["vehicle_maker", "vehicle_model", "coverage"], True)
+SQL["label_encode"] = _codes(list(CATEGORIES), True)
 SQL["auto_categorical"] = _codes(
     [
         c
@@ -199,16 +233,19 @@ SQL["log_target"] = sql(
     "FROM cells WHERE price IS NOT NULL"
 )
 _base = sql("SELECT 1 FROM feats").removesuffix(" SELECT 1 FROM feats")
+_inputs = (*NUMBERS, *(c for c in _all if c not in TEXT))
 SQL["nn_prep"] = (
     f"{_base}, med AS (SELECT "
-    + ", ".join(f"median({c}) AS {c}" for c in NN_COLUMNS)
+    + ", ".join(f"median({c}) AS {c}" for c in _inputs)
     + " FROM feats WHERE block = 'block1'), filled AS (SELECT f.quote_id, f.block, "
-    "ln(1 + f.Insurer_A_price) AS log_y, "
-    + ", ".join(f"coalesce(f.{c}, m.{c}) AS {c}" for c in NN_COLUMNS)
+    + ", ".join(f"ln(1 + f.{price(i)}) AS log_y_{i}" for i in INSURERS)
+    + ", "
+    + ", ".join(f"coalesce(f.{c}, m.{c})::DOUBLE AS {c}" for c in _inputs)
     + " FROM feats f, med m), scale AS (SELECT "
-    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NN_COLUMNS)
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _inputs)
     + " FROM filled WHERE block = 'block1') SELECT quote_id, "
-    + f"{r4('log_y')} AS log_y, "
-    + ", ".join(f"{r4(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in NN_COLUMNS)
+    + ", ".join(f"{r4(f'log_y_{i}')} AS log_y_{i}" for i in INSURERS)
+    + ", "
+    + ", ".join(f"{r4(f'({c} - m_{c}) / CASE WHEN s_{c} <= 1e-9 THEN 1 ELSE s_{c} END')} AS {c}" for c in _inputs)
     + " FROM filled, scale"
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.ctes import INSURERS, TE_COLUMNS, each, price, r4, sql
+from oracle.rows import NUMBERS
 
 SQL: dict[str, str] = {}
 LATER = "block <> 'block1'"
@@ -44,21 +45,19 @@ SQL["frequency_encode"] = sql(
         for n, c in enumerate(_freq)
     )
 )
-_imputed = ("claim_free_years", "postal_code_longitude", "municipality_crimes_per_1000")
 SQL["median_impute"] = sql(
     "SELECT quote_id, "
     + ", ".join(
         r4(f"coalesce({c}, (SELECT median({c}) FROM quotes WHERE block = 'block1'))") + f" AS {c}"
-        for c in _imputed
+        for c in NUMBERS
     )
     + " FROM quotes"
 )
-_scaled = ("vehicle_power", "vehicle_value_new", "vehicle_age", "postal_code_latitude")
 SQL["standard_scale"] = sql(
     "SELECT quote_id, "
-    + ", ".join(r4(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in _scaled)
+    + ", ".join(r4(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in NUMBERS)
     + " FROM quotes, (SELECT "
-    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _scaled)
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMBERS)
     + " FROM quotes WHERE block = 'block1')"
 )
 SQL["target_clip"] = sql(

@@ -12,7 +12,7 @@ from premia.operators.longform import attach_columns, quoted_rows
 from premia.operators.prepare import fit_nn_prep, with_log_target
 from premia.plans import standin
 from premia.plans.registry import query, r4, rounded
-from premia.roles import DEDUCTIBLE_COLS, INSURERS, PRICE_COLS
+from premia.roles import CATEGORICAL_COLS, DATE_COLS, INSURERS, PRICE_COLS, ROLES, price_col
 from premia.session import scratch_path, write_table
 from premia.sources import blocks, submissions
 from premia.sources.quotes import block, quotes
@@ -54,24 +54,29 @@ ACTUARIAL_QUERIES = {
     "ded_ratio": ["mean_deductible_ratio", *[f"{i}_ded_ratio" for i in INSURERS]],
     "coverage_x_age_bucket": ["coverage_x_age_bucket"],
 }
+# Rows of the exported head: fewer than any table of the tests has.
+HEAD_ROWS = 5_000
 INTEGER_OR_TEXT = {
     "has_second_driver",
     "contractor_age_bucket",
     "has_deficiencies",
     "coverage_x_age_bucket",
 }
-NN_COLUMNS = (
-    "claim_free_years",
-    "vehicle_age",
-    "vehicle_power",
-    "vehicle_net_weight",
-    "vehicle_value_new",
-    "vehicle_planned_annual_mileage",
-    "postal_code_longitude",
-    "municipality_crimes_per_1000",
-    "contractor_age",
-    "mean_deductible",
-)
+
+
+def numeric_columns(df):
+    """Numbers of a table that are neither ids nor prices."""
+    return [c for c, t in df.dtypes if t in ("double", "int", "bigint") and c not in ROLES.non_features]
+
+
+def categorical_columns(df):
+    return [c for c in CATEGORICAL_COLS if c in df.columns]
+
+
+def _dates_as_text(df):
+    """Dates spelled alike on both sides of a comparison."""
+    found = {c: F.date_format(c, "yyyy-MM-dd") for c, t in df.dtypes if t.startswith(("date", "timestamp"))}
+    return df.withColumns(found)
 
 
 def _feature_query(name, columns, add):
@@ -104,8 +109,7 @@ def feature_projection(spark, sf_dir):
 def read_block(spark, sf_dir):
     path = scratch_path(spark, "block1")
     block(quotes(spark, sf_dir), "block1").write.parquet(path)
-    columns = ["quote_id", "coverage", "vehicle_maker", *DEDUCTIBLE_COLS, *PRICE_COLS]
-    return rounded(blocks.read_block(spark, path, columns), *PRICE_COLS)
+    return rounded(_dates_as_text(blocks.read_block(spark, path)), *PRICE_COLS)
 
 
 @query("write_submission")
@@ -119,8 +123,7 @@ def write_submission(spark, sf_dir):
     return lines.select(
         F.size(parts).alias("n_fields"),
         parts[0].cast("bigint").alias("quote_id"),
-        parts[1].cast("double").alias("first_price"),
-        parts[len(INSURERS)].cast("double").alias("last_price"),
+        *[parts[n].cast("double").alias(c) for n, c in enumerate(PRICE_COLS, 1)],
     )
 
 
@@ -135,16 +138,11 @@ def read_submission(spark, sf_dir):
 @query("export_head")
 def export_head(spark, sf_dir):
     path = scratch_path(spark, "head")
-    df = quotes(spark, sf_dir).select("quote_ts", "quote_id", "coverage", "vehicle_power")
-    blocks.export_head(df, path, 50_000)
-    written = spark.read.csv(
-        path,
-        header=True,
-        schema="row_index long, quote_ts timestamp_ntz, quote_id long, coverage string, "
-        "vehicle_power double",
-        enforceSchema=True,
-    )
-    return written.select("row_index", "quote_id", "coverage", "vehicle_power")
+    df = quotes(spark, sf_dir)
+    blocks.export_head(df, path, HEAD_ROWS)
+    types = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    written = spark.read.csv(path, header=True, schema=f"row_index long, {types}", enforceSchema=True)
+    return rounded(_dates_as_text(written), *PRICE_COLS)
 
 
 @query("profile")
@@ -167,14 +165,8 @@ def infer_numeric(spark, sf_dir):
 
 @query("parse_date")
 def parse_date(spark, sf_dir):
-    df = clean.parse_dates(quotes(spark, sf_dir))
-    return df.select(
-        "quote_id",
-        *[
-            F.date_format(c, "yyyy-MM-dd").alias(c)
-            for c in ("contractor_birthdate", "second_driver_birthdate")
-        ],
-    )
+    df = _dates_as_text(clean.parse_dates(quotes(spark, sf_dir)))
+    return df.select("quote_id", *[c for c in DATE_COLS if c in df.columns])
 
 
 @query("column_roles")
@@ -184,18 +176,19 @@ def column_roles(spark, sf_dir):
 
 @query("fill_categorical")
 def fill_categorical(spark, sf_dir):
-    columns = ["coverage", "vehicle_maker", "vehicle_model", "municipality"]
     df = quotes(spark, sf_dir)
+    columns = categorical_columns(df)
     return clean.fill_categorical(df, columns).select("quote_id", *columns)
 
 
 @query("align_schema")
 def align_schema(spark, sf_dir):
-    features = clean.FeatureList(
-        ("vehicle_age", "vehicle_fuel_type", "vehicle_engine_size", "vehicle_doors", "coverage"),
-        ("vehicle_fuel_type", "coverage"),
-    )
-    return clean.align_schema(quotes(spark, sf_dir), features, keep=("quote_id",))
+    """All features of the view, and two it lacks; a number comes as text."""
+    df = quotes(spark, sf_dir)
+    cats = (*categorical_columns(df), "vehicle_fuel_type")
+    numbers = (*numeric_columns(df), "vehicle_engine_size", "vehicle_doors")
+    features = clean.FeatureList((*numbers, *cats), cats)
+    return clean.align_schema(df, features, keep=("quote_id",))
 
 
 def _first_seen(df):
@@ -204,8 +197,9 @@ def _first_seen(df):
 
 @query("label_encode")
 def label_encode(spark, sf_dir):
-    columns = ["vehicle_maker", "vehicle_model", "coverage"]
-    df = clean.fill_categorical(quotes(spark, sf_dir), columns)
+    df = quotes(spark, sf_dir)
+    columns = categorical_columns(df)
+    df = clean.fill_categorical(df, columns)
     df = write_table(df.select("quote_id", "quote_ts", "block", *columns), "blocks")
     return fit_labels(_first_seen(df), columns).transform(df).select("quote_id", *columns)
 
@@ -279,9 +273,13 @@ def log_target(spark, sf_dir):
 
 @query("nn_prep")
 def nn_prep(spark, sf_dir):
+    """All numeric features filled and scaled, and the log price of every insurer."""
     rich = engineer_features(quotes(spark, sf_dir))
-    df = write_table(rich.select("quote_id", "block", "Insurer_A_price", *NN_COLUMNS), "blocks")
-    features = clean.FeatureList(NN_COLUMNS, ())
-    prep = fit_nn_prep(block(df, "block1"), features)
-    done = with_log_target(prep.transform(df), "Insurer_A_price")
-    return rounded(done, "log_y", *NN_COLUMNS).select("quote_id", "log_y", *NN_COLUMNS)
+    columns = numeric_columns(rich)
+    df = write_table(rich.select("quote_id", "block", *PRICE_COLS, *columns), "blocks")
+    prep = fit_nn_prep(block(df, "block1"), clean.FeatureList(tuple(columns), ()))
+    done = prep.transform(df)
+    logs = [f"log_y_{i}" for i in INSURERS]
+    for insurer, name in zip(INSURERS, logs, strict=True):
+        done = with_log_target(done, price_col(insurer), name)
+    return rounded(done, *logs, *columns).select("quote_id", *logs, *columns)

@@ -8,6 +8,7 @@ from premia.functions.numbers import floor_price
 from premia.operators import encode, evaluate, order, stack, stats, submit
 from premia.operators.longform import quoted_rows, to_long, to_wide
 from premia.plans import standin
+from premia.plans.checks_rows import numeric_columns
 from premia.plans.registry import query, r4, rounded
 from premia.roles import (
     DISPLAY_PRICE_COLS,
@@ -23,8 +24,6 @@ from premia.sources import submissions
 from premia.sources.quotes import block, quotes
 
 TE_COLUMNS = [f"{c}_te" for c in standin.CATEGORIES]
-IMPUTED = ("claim_free_years", "postal_code_longitude", "municipality_crimes_per_1000")
-SCALED = ("vehicle_power", "vehicle_value_new", "vehicle_age", "postal_code_latitude")
 MAKER = ["vehicle_maker"]
 # Insurers whose price comes from the plain model; the others use the log-target model.
 PLAIN_INSURERS = ("A", "H", "J")
@@ -49,16 +48,18 @@ def frequency_encode(spark, sf_dir):
 
 @query("median_impute")
 def median_impute(spark, sf_dir):
-    df = _stored(spark, sf_dir, *IMPUTED)
-    filled = stats.fit_medians(block(df, "block1"), IMPUTED).transform(df)
-    return rounded(filled, *IMPUTED).drop("block")
+    columns = numeric_columns(quotes(spark, sf_dir))
+    df = _stored(spark, sf_dir, *columns)
+    filled = stats.fit_medians(block(df, "block1"), columns).transform(df)
+    return rounded(filled, *columns).drop("block")
 
 
 @query("standard_scale")
 def standard_scale(spark, sf_dir):
-    df = _stored(spark, sf_dir, *SCALED)
-    scaled = stats.fit_scaling(block(df, "block1"), SCALED).transform(df)
-    return rounded(scaled, *SCALED).drop("block")
+    columns = numeric_columns(quotes(spark, sf_dir))
+    df = _stored(spark, sf_dir, *columns)
+    scaled = stats.fit_scaling(block(df, "block1"), columns).transform(df)
+    return rounded(scaled, *columns).drop("block")
 
 
 def _quoted(spark, sf_dir):
@@ -140,14 +141,14 @@ def fold_split(spark, sf_dir):
 
 @query("oof_target_encode")
 def oof_target_encode(spark, sf_dir):
-    encoded = encode.oof_target_encode(standin.training(spark, sf_dir))
+    encoded = encode.oof_target_encode(standin.training(spark, sf_dir), standin.CATEGORIES)
     return rounded(encoded.select("quote_id", "insurer", *TE_COLUMNS), *TE_COLUMNS)
 
 
 @query("test_target_encode")
 def test_target_encode(spark, sf_dir):
     rows = standin.blocks(spark, sf_dir)
-    fitted = encode.fit_target_encoding(standin.folded_training(rows))
+    fitted = encode.fit_target_encoding(standin.folded_training(rows), standin.CATEGORIES)
     later = to_long(
         rows.where("block <> 'block1'"), ["quote_id", *standin.CATEGORIES], quoted_only=False
     )
@@ -158,7 +159,7 @@ def test_target_encode(spark, sf_dir):
 
 @query("insample_target_encode")
 def insample_target_encode(spark, sf_dir):
-    encoded = encode.insample_target_encode(standin.training(spark, sf_dir))
+    encoded = encode.insample_target_encode(standin.training(spark, sf_dir), standin.CATEGORIES)
     return rounded(encoded.select("quote_id", "insurer", *TE_COLUMNS), *TE_COLUMNS)
 
 

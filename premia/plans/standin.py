@@ -23,7 +23,8 @@ from premia.session import write_table
 from premia.sources.quotes import block, quotes
 
 MODEL_COLUMNS = {"pred_a": "vehicle_maker", "pred_b": "municipality"}
-CATEGORIES = tuple(c for c in TARGET_ENCODED if c != "risk_zone")
+# The zone is a fitted cluster, which no closed form gives; the coverage stands in for it.
+CATEGORIES = tuple("coverage" if c == "risk_zone" else c for c in TARGET_ENCODED)
 
 
 def categories(df: DataFrame) -> DataFrame:
