@@ -254,7 +254,12 @@ def fit_boosted(
     valid: Column | None = None,
     key: str = "quote_id",
 ) -> BoostedTrees | None:
-    """Train on the rows where ``valid`` is not true; none if there are no such rows."""
+    """Train on the rows where ``valid`` is not true; none if there are no such rows.
+
+    The absolute loss takes unweighted medians, so it takes no ``weight``.
+    """
+    if weight and params.objective == "absolute":
+        raise ValueError("the absolute loss takes no weight")
     held = F.coalesce(valid if valid is not None else F.lit(False), F.lit(False))
     rows = assemble(df.withColumn("_held", held), features, label, weight, key, ("_held",))
     model = fit_assembled(rows, features, params, F.col("_held"))

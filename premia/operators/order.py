@@ -38,7 +38,9 @@ def row_index(
     spark = df.sparkSession
     groups = list(partition_by)
     keys = groups + [k for k in order_by if k not in groups]
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the counted rows need, however few partitions the session has.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or max(least, -(-df.select(*keys[:1]).count() // BUCKET_ROWS))
     in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     table = write_table(

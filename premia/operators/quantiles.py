@@ -4,8 +4,8 @@ The value at a rank is found by counting. Each pass splits the interval that sti
 holds a wanted rank into equal bins, counts the rows per bin (pre-aggregated before the
 shuffle, so a group that holds a third of all rows costs no more than another) and keeps
 the bin of the rank. When few enough values remain, their counts give the exact answer.
-Only ``groups x ranks`` rows reach the driver. Groups counted small enough go straight to
-the built-in exact percentile.
+Only ``groups x ranks`` rows reach the driver. How small the last intervals are changes the
+number of passes, never a value: there is one way to count and one interpolation.
 """
 
 from __future__ import annotations
@@ -108,18 +108,6 @@ def _exact(values, by, types, intervals):
     }
 
 
-def _builtin(values, by, probs, summary):
-    """Exact percentile aggregate; only for groups whose counted size one task can hold."""
-    rows = values.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias("q"))
-    found = {tuple(r[c] for c in by): tuple(r["q"]) for r in rows.collect()}
-    out = {}
-    for r in summary:
-        group = tuple(r[c] for c in by)
-        key = group if by != ["_all"] else ()
-        out[key] = GroupQuantiles(r["n"], r["low"], r["high"], found[group])
-    return out
-
-
 def exact_quantiles(
     df: DataFrame,
     value,
@@ -165,9 +153,6 @@ def exact_quantiles(
         if inner:
             pending.append(Interval(group, r["low"], r["high"], 0, r["n"], inner))
 
-    if pending and max(r["n"] for r in summary) <= exact_rows:
-        return _builtin(values, by, list(probs), summary)
-
     small = []
     while pending:
         wide = []

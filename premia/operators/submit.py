@@ -36,48 +36,39 @@ def format_submission(df: DataFrame) -> DataFrame:
     return round_prices(rename_prices(df))
 
 
-def key_column(df: DataFrame) -> str:
-    """``quote_id``, or the first column whose name mentions quote and id."""
-    if "quote_id" in df.columns:
-        return "quote_id"
-    for c in df.columns:
-        if "quote" in c.lower() and "id" in c.lower():
-            return c
-    raise ValueError(f"no quote id among {df.columns[:5]}")
-
-
-def price_naming(df: DataFrame):
-    """Naming function of the price columns a table uses."""
-    if DISPLAY_PRICE_COLS[0] in df.columns:
-        return display_price_col
-    if PRICE_COLS[0] in df.columns:
-        return price_col
-    raise ValueError(f"unexpected column names: {df.columns[:5]}")
-
-
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).count().where(F.col("count") > 1)
+def priced_as(df: DataFrame, insurers=INSURERS):
+    """Naming function under which a table has the price of each of ``insurers``."""
+    have = set(df.columns)
+    fitting = [name for name in (price_col, display_price_col) if have.issuperset(map(name, insurers))]
+    if not fitting:
+        lacking = sorted({price_col(i) for i in insurers} - have)
+        raise ValueError(f"a price column per insurer is needed; lacking {', '.join(lacking)}")
+    return fitting[0]
 
 
 def keyed_merge(
-    base: DataFrame, new: DataFrame, insurers=INSURERS, round_all: bool = False, check: bool = True
+    base: DataFrame, new: DataFrame, insurers=INSURERS, round_all: bool = False, check: bool = True,
+    key: str = "quote_id", new_key: str | None = None,
 ) -> DataFrame:
     """Replace the prices of ``insurers`` by key; rows without a new price keep theirs.
 
     Column set and order of ``base`` are kept. New prices are rounded; ``round_all``
-    also rounds the prices that stay.
+    also rounds the prices that stay. Both tables must have each key once, which is
+    counted in one pass over the keys of both.
     """
-    base_key, new_key = key_column(base), key_column(new)
-    base_name, new_name = price_naming(base), price_naming_of(new, insurers)
+    new_key = new_key or key
+    base_name, new_name = priced_as(base), priced_as(new, insurers)
     if check:
-        for table, key in ((base, base_key), (new, new_key)):
-            if not duplicate_keys(table, key).isEmpty():
-                raise ValueError(f"duplicate values of {key}")
+        keys = base.select(F.col(key).alias("_k"), F.lit(0).alias("_t"))
+        keys = keys.union(new.select(F.col(new_key).alias("_k"), F.lit(1).alias("_t")))
+        again = keys.groupBy("_t", "_k").count().where("count > 1").agg(F.min("_t"), F.max("_t")).first()
+        if again[0] is not None:
+            raise ValueError(f"the {('base', 'new')[again[0]]} table repeats values of its key")
     fresh = new.select(
         F.col(new_key).alias("_key"),
         *[round_price(F.col(new_name(i))).alias(f"_new_{i}") for i in insurers],
     )
-    merged = base.join(fresh, F.col(base_key) == F.col("_key"), "left")
+    merged = base.join(fresh, F.col(key) == F.col("_key"), "left")
     replaced = {
         base_name(i): F.coalesce(F.col(f"_new_{i}"), F.col(base_name(i))) for i in insurers
     }
@@ -85,17 +76,9 @@ def keyed_merge(
     return round_prices(out) if round_all else out
 
 
-def price_naming_of(df: DataFrame, insurers):
-    """Naming of a table that holds only some insurers."""
-    for name in (price_col, display_price_col):
-        if all(name(i) in df.columns for i in insurers):
-            return name
-    raise ValueError(f"no price columns of {''.join(insurers)} in {df.columns[:5]}")
-
-
-def replace_subset(base: DataFrame, part: DataFrame, insurers=("E", "I", "K")) -> DataFrame:
-    """Replace a few insurers of a full submission and round every price."""
-    return keyed_merge(base, part, insurers, round_all=True)
+def replace_subset(base: DataFrame, part: DataFrame, insurers=("E", "I", "K"), **keys) -> DataFrame:
+    """Replace a few insurers of a full submission and round every price; ``keys`` name the keys."""
+    return keyed_merge(base, part, insurers, round_all=True, **keys)
 
 
 def validate_submission(df: DataFrame, expected: DataFrame, key: str = "quote_id") -> DataFrame:
@@ -104,7 +87,7 @@ def validate_submission(df: DataFrame, expected: DataFrame, key: str = "quote_id
     Rules: exactly the expected columns, a number of at least the floor in every cell, one
     row per expected quote and no other.
     """
-    name = price_naming(df)
+    name = priced_as(df)
     columns = [key, *[name(i) for i in INSURERS]]
     stray = len(set(df.columns) ^ set(columns))
     prices = [F.col(c) for c in columns[1:] if c in df.columns]

@@ -46,6 +46,9 @@ def insample_predictions(
         return own.select("quote_id", "insurer", "y", mean.alias("pred"))
 
     parts = list(fitting.per_insurer(insurers, run).values())
+    if not parts:
+        none = targets.where("false").withColumn("pred", F.lit(0.0))
+        return prepared, none.select("quote_id", "insurer", "y", "pred")
     preds = parts[0]
     for part in parts[1:]:
         preds = preds.unionByName(part)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
 from premia.operators import boost, order, stack
-from premia.operators.quantiles import column_quantiles
 from premia.plans import fitting
-from premia.roles import CLIP_QUANTILE, price_col
+from premia.roles import price_col
 from premia.session import write_table
 
 BLENDED = ("E", "I", "K")
@@ -74,9 +73,7 @@ def fit(
 ) -> Blend:
     prepared = fitting.prepare(df, "blend", insurers)
     split = write_table(order.temporal_split(prepared.train), "split")
-    prices = [price_col(i) for i in insurers]
-    found = column_quantiles(split.where("split = 'train'"), prices, [CLIP_QUANTILE])
-    caps = {i: found[price_col(i)].values[0] for i in insurers if price_col(i) in found}
+    caps = fitting.price_caps(split.where("split = 'train'"), insurers)
     models_a = fitting.fit_with_holdout(prepared, params_a, insurers, split, caps)
     models_b = fitting.fit_with_holdout(prepared, params_b, insurers, split, caps)
     held = long_predictions(split.where("split = 'valid'"), models_a, models_b)

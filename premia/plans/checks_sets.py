@@ -377,7 +377,7 @@ def _base_and_new(spark, sf_dir, insurers=INSURERS):
 def keyed_merge(spark, sf_dir):
     base, new = _base_and_new(spark, sf_dir)
     named = submit.format_submission(base).withColumnRenamed("quote_id", "Quote ID")
-    merged = submit.keyed_merge(named, new).withColumnRenamed("Quote ID", "quote_id")
+    merged = submit.keyed_merge(named, new, key="Quote ID", new_key="quote_id").withColumnRenamed("Quote ID", "quote_id")
     return rounded(merged, *DISPLAY_PRICE_COLS)
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from premia.functions.numbers import floor_price
 from premia.operators import boost, clean, encode, order, stats
 from premia.operators.features import engineer_features
+from premia.operators.longform import quoted_rows
+from premia.operators.quantiles import column_quantiles
 from premia.operators.stack import assemble_wide
-from premia.roles import INSURERS, ROLES, ColumnRoles, price_col
+from premia.roles import CLIP_QUANTILE, INSURERS, ROLES, ColumnRoles, price_col
 from premia.session import write_table
 
 # Fits that run at the same time. Every fit is itself distributed; the threads only keep
@@ -100,14 +102,30 @@ def insurer_rows(prepared: Prepared, insurer: str) -> DataFrame:
     return prepared.train.where(price.isNotNull()).withColumn("y", price)
 
 
+def price_caps(rows: DataFrame, insurers=INSURERS) -> dict[str, float]:
+    """Quantile at which each insurer's training prices are cut off."""
+    found = column_quantiles(rows, [price_col(i) for i in insurers], [CLIP_QUANTILE])
+    return {i: found[price_col(i)].values[0] for i in insurers if price_col(i) in found}
+
+
+def recency_weights(rows: DataFrame, insurers=INSURERS) -> DataFrame:
+    """``quote_id``, ``insurer`` and the recency weight of every quoted row, for all insurers at once."""
+    weighed = order.recency_weight(quoted_rows(rows, ROLES.order_key, insurers))
+    return write_table(weighed.select(ROLES.key, "insurer", "weight"), "weights")
+
+
 def fit_with_holdout(
     prepared: Prepared,
     params: boost.BoostParams,
     insurers=INSURERS,
     split: DataFrame | None = None,
     caps: dict[str, float] | None = None,
+    weights: DataFrame | None = None,
 ) -> dict[str, boost.BoostedTrees]:
-    """One model per insurer; rows tagged ``valid`` in ``split`` are held out."""
+    """One model per insurer; rows tagged ``valid`` in ``split`` are held out.
+
+    ``weights`` has a weight per quote and insurer; a row without one weighs 1.
+    """
     rows = prepared.train if split is None else split
     valid = (F.col("split") == "valid") if "split" in rows.columns else None
     held = replace(prepared, train=rows)
@@ -120,7 +138,11 @@ def fit_with_holdout(
             capped = F.least(F.col("y"), F.lit(cap))
             kept = F.lit(False) if valid is None else valid
             own = own.withColumn("y", F.when(kept, F.col("y")).otherwise(capped))
-        return boost.fit_boosted(own, prepared.inputs, params, valid=valid)
+        if weights is None:
+            return boost.fit_boosted(own, prepared.inputs, params, valid=valid)
+        mine = weights.where(F.col("insurer") == insurer).select(ROLES.key, "weight")
+        own = own.join(mine, ROLES.key, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        return boost.fit_boosted(own, prepared.inputs, params, weight="weight", valid=valid)
 
     return per_insurer(insurers, run)
 

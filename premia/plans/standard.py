@@ -30,10 +30,16 @@ def fit(
     params: boost.BoostParams = boost.PRESETS["mae"],
     insurers=INSURERS,
     family: str = "dates",
+    capped: bool = False,
+    weighted: bool = False,
 ) -> Fitted:
+    """``capped`` cuts training prices off at their cap, ``weighted`` gives newer quotes more weight."""
     prepared = fitting.prepare(df, family, insurers)
     split = write_table(order.temporal_split(prepared.train), "split")
-    models = fitting.fit_with_holdout(prepared, params, insurers, split)
+    first = split.where("split = 'train'")
+    caps = fitting.price_caps(first, insurers) if capped else None
+    weights = fitting.recency_weights(first, insurers) if weighted else None
+    models = fitting.fit_with_holdout(prepared, params, insurers, split, caps, weights)
     return Fitted(prepared, split, models)
 
 

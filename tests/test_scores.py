@@ -109,9 +109,10 @@ def test_merge_by_key_not_position(spark):
     assert got.loc[0, PRICE_COLS[0]] == 0.0 and 9 not in got.index
 
 
-def test_merge_finds_renamed_key_and_prices(spark):
+def test_merge_takes_renamed_key_and_prices(spark):
     base = submit.rename_prices(full(spark)).withColumnRenamed("quote_id", "Quote Id")
-    got = submit.replace_subset(base, full(spark, offset=5.0).select("quote_id", *PRICE_COLS))
+    new = full(spark, offset=5.0).select("quote_id", *PRICE_COLS)
+    got = submit.replace_subset(base, new, key="Quote Id", new_key="quote_id")
     row = got.where("`Quote Id` = 2").first()
     assert row["Insurer E price"] == 407.0 and row["Insurer A price"] == 2.0
     assert got.columns == ["Quote Id", *DISPLAY_PRICE_COLS]
@@ -119,9 +120,9 @@ def test_merge_finds_renamed_key_and_prices(spark):
 
 def test_merge_rejects_duplicates_and_unknown_names(spark):
     twice = full(spark).unionByName(full(spark, 1))
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="new table repeats"):
         submit.keyed_merge(full(spark), twice)
-    with pytest.raises(ValueError, match="unexpected column names"):
+    with pytest.raises(ValueError, match="lacking Insurer_A_price"):
         submit.replace_subset(full(spark).select("quote_id", F.lit(1).alias("x")), full(spark))
 
 
