@@ -139,6 +139,8 @@ class Vocabulary:
                 self.known_fragments.update(zip(part, self.merged(part), strict=True))
         for word, fragments in cut.items():
             self.known[word] = b"".join(map(self.known_fragments.__getitem__, fragments))
+        for fragment in [f for size, found in by_size.items() if size > LONG for f in found]:
+            del self.known_fragments[fragment]
 
     def pieces(self, text: str) -> Iterator[str]:
         """A long text in pieces, cut between a letter and a space: no word holds that pair."""
@@ -168,6 +170,9 @@ class Vocabulary:
             self.learn({w for w in words if w not in self.known})
             for i, f in found:
                 out[i].append(b"".join(map(self.known.__getitem__, f)))
+            # Long words are seldom met again and would fill the memory.
+            for word in [w for w in words if len(w) > LONG]:
+                del self.known[word]
 
         size = 0
         for i, text in enumerate(texts):

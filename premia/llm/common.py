@@ -23,8 +23,8 @@ SENT_BYTES = 64 << 20
 # Lower-cases A to Z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-# Words whose hashes a task remembers.
-REMEMBERED = 400_000
+# Words whose hashes a task remembers, and how long they may be.
+REMEMBERED, LONG = 400_000, 64
 
 
 def settings(spark: SparkSession) -> SparkSession:
@@ -39,9 +39,11 @@ class WordHashes(dict):
     """64-bit hash of a word; remembers a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

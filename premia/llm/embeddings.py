@@ -54,9 +54,11 @@ def hyperplane_buckets(classes: DataFrame, sizes: DataFrame, first: int) -> Data
 
     def work(batches):
         for batch in batches:
-            for space, bits, dims in {(r[0], r[1], len(r[2])) for r in rows([batch], "space", "bits", "embedding")}:
-                found = [(n, e) for n, s, b, e in rows([batch], "node", "space", "bits", "embedding") if (s, b, len(e)) == (space, bits, dims)]
-                vectors = unit([e for _, e in found])
+            alike: dict[tuple, list] = {}
+            for node, space, bits, vector in rows([batch], "node", "space", "bits", "embedding"):
+                alike.setdefault((space, bits, len(vector)), []).append((node, vector))
+            for (space, bits, dims), found in alike.items():
+                vectors = unit([v for _, v in found])
                 nodes = np.array([n for n, _ in found], np.int64)
                 for table in tables:
                     planes = np.random.default_rng([table, dims]).standard_normal((dims, max(bits, 1)))
@@ -183,10 +185,8 @@ def audit(classes: DataFrame, found: DataFrame, share: float) -> float:
                     by_space.setdefault(space, []).append((node, copies, vector))
             for space, others in by_space.items():
                 link = unit([v for _, v in spaces[space]]) @ unit([v for *_, v in others]).T >= share
-                nodes = np.array([n for n, *_ in others])
                 for (node, _), row in zip(spaces[space], link, strict=True):
                     true[node] += int(sum(c for (n, c, _), hit in zip(others, row, strict=True) if hit and n != node))
-            del nodes
             yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64())], ["node", "links"])
 
     true = classes.mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))

@@ -19,8 +19,9 @@ from premia.llm.common import column, join_texts, rows, write_table
 # Bytes of a spelling (the byte and its context), and of the shared back-off.
 ORDER, SHARED = 7, 3
 DISCOUNT = 0.75
-# The scoring table sent to executors has this many slots (a prime), 2 bytes each, whatever the input.
-SLOTS = 8_388_593
+# The scoring table sent to executors has this many slots (a prime), one byte each, whatever the input:
+# a difference in steps of STEP.
+SLOTS, STEP = 8_388_593, 0.1
 # Labelled documents the logistic curve is fitted on, at most; all counts cover all documents.
 CURVE_ROWS = 20_000
 # Lower-cases A to Z and makes all ASCII white space one space.
@@ -140,17 +141,21 @@ def slots(difference: DataFrame) -> np.ndarray:
     best = difference.where("part != 0 or full != 0").groupBy(F.pmod("spelling", F.lit(SLOTS)).cast("int").alias("slot")).agg(
         F.max(F.struct("n", "spelling", "part", "full")).alias("b")
     )
-    found = best.select("slot", F.col("b.part").cast("float").alias("part"), F.col("b.full").cast("float").alias("full"))
-    table = np.zeros((2, SLOTS), np.float16)
-    got = found.toPandas()
-    for i, name in enumerate(("part", "full")):
-        table[i, got["slot"].to_numpy(np.int64)] = got[name].to_numpy(np.float16)
+
+    def steps(name: str) -> Column:
+        return F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.col(f"b.{name}") / STEP))).cast("tinyint").alias(name)
+
+    table = np.zeros((2, SLOTS), np.int8)
+    # At most SLOTS rows of six bytes.
+    got = best.select("slot", steps("part"), steps("full")).toArrow()
+    for batch in got.to_batches():
+        for i in range(2):
+            table[i, batch.column(0).to_numpy()] = batch.column(i + 1).to_numpy()
     return table
 
 
-def strongest_words(documents: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and ``strongest``: the largest mean difference of a word; 0 without words."""
-    sent = documents.sparkSession.sparkContext.broadcast(table)
+def strongest_words(documents: DataFrame, sent, keep: list[str]) -> DataFrame:
+    """``keep`` and ``strongest``: the largest mean difference of a word by the table sent; 0 without words."""
     kept = [documents.schema[c] for c in keep]
 
     def work(batches):
@@ -162,7 +167,7 @@ def strongest_words(documents: DataFrame, table: np.ndarray, keep: list[str]) ->
                 number, words, text = spellings(texts)
                 best = np.zeros(len(texts))
                 if len(words):
-                    sums = np.add.reduceat(values[number.view(np.int64) % SLOTS].astype(np.float64), words)
+                    sums = np.add.reduceat(values[number.view(np.int64) % SLOTS].astype(np.float64) * STEP, words)
                     mean = sums / np.diff(np.append(words, len(number)))
                     first = np.flatnonzero(np.diff(text, prepend=-1))
                     best[text[first]] = np.maximum.reduceat(mean, first)
@@ -221,10 +226,13 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     second = joined.where((F.col("rest") == 3) & F.col("toxic").isNotNull())
     # At most so many rows, chosen by their id; Spark takes them per task and merges the smallest.
     sample = second.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS) if second.count() > CURVE_ROWS else second
-    fitted = strongest_words(sample, table[0], ["toxic"]).toPandas()
-    slope, intercept = curve(fitted["strongest"].to_numpy(float), fitted["toxic"].to_numpy(float))
+    context = documents.sparkSession.sparkContext
+    sent = context.broadcast(table[0])
+    fitted = strongest_words(sample, sent, ["toxic"]).toArrow()
+    slope, intercept = curve(fitted["strongest"].to_numpy(), fitted["toxic"].to_numpy().astype(float))
+    sent.destroy()
 
-    scored = strongest_words(texts, table[1], ["doc_id", "rest"])
+    scored = strongest_words(texts, context.broadcast(table[1]), ["doc_id", "rest"])
     score = 1 / (1 + F.exp(-(F.col("strongest") * slope + intercept)))
     return scored.select(
         "doc_id", (F.col("rest") == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")
