@@ -59,7 +59,8 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    encoded = bpe.encode_texts(docs.select(*COLUMNS, F.col("text").alias("source_text")), bpe_file(), "source_text")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", digest, "text"), bpe_file())
     decoded = bpe.decode_ids(encoded, bpe_file())
     return decoded.select(
         "doc_id",
@@ -67,17 +68,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "source",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"),
     )
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(name: str, work: Stage) -> tuple[str, Stage]:
+    """A named stage that sets the session settings it relies on."""
+    return name, lambda spark, docs, sf_dir: work(settings(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", ordinary),
-    ("minhash", distinct),
-    ("substrings", unrepeated),
-    ("decontaminate", unseen),
-    ("tokens", tokens),
+    stage("toxicity", ordinary),
+    stage("minhash", distinct),
+    stage("substrings", unrepeated),
+    stage("decontaminate", unseen),
+    stage("tokens", tokens),
 ]
 
 # Learned models, sketches and token ids are not expressible in SQL; the tests compare with brute force.
@@ -87,6 +95,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each reads what its predecessor wrote."""
     docs = read(settings(spark), sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, work in STAGES[:-1]:
+        docs = write_table(work(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORDS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Words and fragments whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 # Sorts after every merge.
 NONE = 1 << 62
 # Longer texts are encoded in pieces of about so many characters, and about as many at a time.
@@ -125,7 +125,7 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Ids of words not met before: cut where a byte pair occurs in no token, merge, concatenate."""
-        inside, cut, by_size = self.inside, {}, {}
+        inside, cut, by_size, made = self.inside, {}, {}, {}
         for word in words:
             data = word.encode()
             cuts = [i for i, pair in enumerate(zip(data, data[1:], strict=False), 1) if pair not in inside]
@@ -136,11 +136,12 @@ class Vocabulary:
         for fragments in map(list, by_size.values()):
             for i in range(0, len(fragments), 4096):
                 part = fragments[i : i + 4096]
-                self.known_fragments.update(zip(part, self.merged(part), strict=True))
+                made.update(zip(part, self.merged(part), strict=True))
         for word, fragments in cut.items():
-            self.known[word] = b"".join(map(self.known_fragments.__getitem__, fragments))
-        for fragment in [f for size, found in by_size.items() if size > LONG for f in found]:
-            del self.known_fragments[fragment]
+            self.known[word] = b"".join(made[f] if f in made else self.known_fragments[f] for f in fragments)
+        # Fragments of cut words are met in other words; whole words are known as such.
+        parts = {f for fragments in cut.values() if len(fragments) > 1 for f in fragments if len(f) <= LONG}
+        self.known_fragments.update((f, made[f]) for f in parts if f in made)
 
     def pieces(self, text: str) -> Iterator[str]:
         """A long text in pieces, cut between a letter and a space: no word holds that pair."""

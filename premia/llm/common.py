@@ -24,11 +24,15 @@ SENT_BYTES = 64 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 # Words whose hashes a task remembers, and how long they may be.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 200_000, 64
 
 
 def settings(spark: SparkSession) -> SparkSession:
-    return apply_settings(spark)
+    """Session settings of the operators: whole texts go to Python in batches of bounded size."""
+    apply_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
