@@ -49,7 +49,8 @@ def suffixes(texts: DataFrame, length: int) -> DataFrame:
     """Suffixes whose first words several documents hold, with the words beside them as 32-bit hashes.
 
     ``after`` are the words that follow the shared ones, ``before`` those in front, nearest first; both
-    reach as far as a passage that selected the position can.
+    reach as far as a passage that selected the position can. Positions of a document with the same words
+    all around are one suffix, so text that repeats a few words over and over gives few.
     """
     half = length // 2
     reach = length - half
@@ -62,17 +63,20 @@ def suffixes(texts: DataFrame, length: int) -> DataFrame:
                 codes = memo.of(text.encode().split())
                 at, keys = retained(codes, length)
                 take = np.isin(keys, np.array(wanted, np.int64).view(np.uint64))
+                # Big-endian, so that sorting the bytes sorts the words.
                 words = (codes >> np.uint64(32)).astype(">u4")
+                alike: dict[tuple, list[int]] = {}
                 for p, key in zip(at[take].tolist(), keys[take].view(np.int64).tolist(), strict=True):
-                    # Big-endian, so that sorting the bytes sorts the words.
-                    values = (key, doc, mark, p, words[p + half : p + half + reach].tobytes(), words[max(0, p - reach) : p][::-1].tobytes())
-                    for values_of, value in zip(out, values, strict=True):
+                    after = words[p + half : p + half + reach].tobytes()
+                    alike.setdefault((key, after, words[max(0, p - reach) : p][::-1].tobytes()), []).append(p)
+                for (key, after, before), places in alike.items():
+                    for values_of, value in zip(out, (key, doc, mark, places, after, before), strict=True):
                         values_of.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             names = ["key", "doc_id", "print", "at", "after", "before"]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
-    return texts.mapInArrow(work, "key long, doc_id long, print int, at int, after binary, before binary")
+    return texts.mapInArrow(work, "key long, doc_id long, print int, at array<int>, after binary, before binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -84,7 +88,10 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
-FOUND = "doc_id long, print int, start int, end int, other_doc_id long, other_start int"
+# A match: the positions of a suffix, how many words it covers to the left and right of them, and where else.
+FOUND = "doc_id long, print int, at array<int>, left int, right int, other_doc_id long, other_start int"
+FIELDS = ["doc_id", "print", "at", "left", "right", "other_doc_id", "other_start"]
+KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
 def compared(suffix, length: int):
@@ -94,7 +101,7 @@ def compared(suffix, length: int):
     that stand in other documents.
     """
     half = length // 2
-    out = [[] for _ in range(6)]
+    out = [[] for _ in FIELDS]
     run: list[tuple] = []
     last = None  # nearest suffix before the run, of another document
 
@@ -103,7 +110,7 @@ def compared(suffix, length: int):
         left = common(a[5], b[5])
         if left + right >= length:
             for x, y in ((a, b), (b, a)):
-                for values, value in zip(out, (x[1], x[2], x[3] - left, x[3] + right, y[1], y[3] - left), strict=True):
+                for values, value in zip(out, (x[1], x[2], x[3], left, right, y[1], y[3][0] - left), strict=True):
                     values.append(value)
 
     for s in suffix:
@@ -129,7 +136,7 @@ def neighbour_matches(table: DataFrame, length: int, order: list[str]) -> DataFr
     a sample, so the outcome is written once.
     """
     names = ["key", "doc_id", "print", "at", "after", "before"]
-    by = ["key", *order, "doc_id", "print", "at"]
+    by = ["key", *order, "doc_id", "print"]
 
     def work(batches):
         first: list[tuple] = []
@@ -152,26 +159,22 @@ def neighbour_matches(table: DataFrame, length: int, order: list[str]) -> DataFr
                 first.extend(run)
 
         out = compared(stream(), length)
-        edges = list(dict.fromkeys([*first, *last]))
+        edges = list({(*e[:3], *e[4:]): e for e in [*first, *last]}.values())
         n = len(out[0])
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        matches = [pa.array(v + [None] * len(edges), k) for v, k in zip(out, kinds, strict=True)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        matches = [pa.array(v + [None] * len(edges), k) for v, k in zip(out, KINDS, strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         sides = [pa.array([None] * n + [e[i] for e in edges], k) for i, k in enumerate(kinds)]
-        fields = ["doc_id", "print", "start", "end", "other_doc_id", "other_start", *(f"edge_{c}" for c in names)]
-        yield pa.RecordBatch.from_arrays([*matches, *sides], fields)
+        yield pa.RecordBatch.from_arrays([*matches, *sides], [*FIELDS, *(f"edge_{c}" for c in names)])
 
     def edge_work(batches):
         out = compared(rows(batches, *names), length)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        fields = ["doc_id", "print", "start", "end", "other_doc_id", "other_start"]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], fields)
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, KINDS, strict=True)], FIELDS)
 
-    edge = "edge_key long, edge_doc_id long, edge_print int, edge_at int, edge_after binary, edge_before binary"
+    edge = "edge_key long, edge_doc_id long, edge_print int, edge_at array<int>, edge_after binary, edge_before binary"
     partitions = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = table.select(*names).repartitionByRange(partitions, *by).sortWithinPartitions(*by)
     made = write_table(ranged.mapInArrow(work, f"{FOUND}, {edge}"), "neighbours")
-    inside = made.where("doc_id is not null").select("doc_id", "print", "start", "end", "other_doc_id", "other_start")
+    inside = made.where("doc_id is not null").select(*FIELDS)
     # Few suffixes of each task, whatever their number.
     edges = made.where("edge_doc_id is not null").select(*(F.col(f"edge_{c}").alias(c) for c in names)).distinct()
     return inside.union(edges.coalesce(1).sortWithinPartitions(*by).mapInArrow(edge_work, FOUND))
@@ -194,27 +197,27 @@ def repeated_passages(documents: DataFrame, length: int = 50) -> DataFrame:
     size = wanted.agg(F.coalesce(F.sum(F.size("keys") * 8 + 40), F.lit(0))).first()[0]
     table = write_table(suffixes(join_texts(texts, wanted, size, "inner", ["doc_id"]), length), "suffixes")
     found = neighbour_matches(table, length, ["after", "before"]).union(neighbour_matches(table, length, ["before", "after"]))
-    spans = found.groupBy("doc_id", "print", "start", "end").agg(
+    spans = found.groupBy("doc_id", "print", "at", "left", "right").agg(
         F.min(F.struct("other_doc_id", "other_start")).alias("other")
-    ).groupBy("doc_id", "print").agg(
-        # Sorted by start; of equal starts the longest first.
-        F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("end"), "other"))).alias("spans")
-    )
+    ).groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "left", "right", "other")).alias("matches"))
 
     def work(batches):
         for batch in batches:
             out = [[] for _ in range(5)]
-            for doc, spans in rows([batch], "doc_id", "spans"):
+            for doc, matches in rows([batch], "doc_id", "matches"):
+                # By start; of equal starts the longest first, then the smallest other document.
+                spans = sorted(
+                    (p - m["left"], -p - m["right"], m["other"]["other_doc_id"], m["other"]["other_start"])
+                    for m in matches for p in m["at"]
+                )
                 merged: list[list] = []
-                for s in spans:
-                    end = -s["end"]
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
+                for start, end, *other in spans:
+                    if merged and start <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], -end)
                     else:
-                        merged.append([s["start"], end, s["other"]])
-                for start, end, other in merged:
-                    values = (doc, start, end - start, other["other_doc_id"], other["other_start"])
-                    for values_of, value in zip(out, values, strict=True):
+                        merged.append([start, -end, *other])
+                for start, end, *other in merged:
+                    for values_of, value in zip(out, (doc, start, end - start, *other), strict=True):
                         values_of.append(value)
             names = ["doc_id", "start", "n_words", "other_doc_id", "other_start"]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names)
