@@ -38,7 +38,9 @@ def pair_conversations(conversations: DataFrame) -> DataFrame:
     """
     opening = F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"])
     found = write_table(gathered(conversations).withColumn("opening", F.sha2(opening, 256)), "conversations")
-    chosen = found.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"))
+    # Written, so that the join with an opening that very many share can be split.
+    chosen = found.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    chosen = write_table(chosen, "openings")
     rejected = found.join(chosen, "opening").where("conv_id != chosen_id").select(
         "chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns")
     )
