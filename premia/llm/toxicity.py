@@ -9,19 +9,23 @@ judged by the word that says most, through a logistic curve.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm.common import column, join_texts, rows, write_table
+from premia.llm.common import WordHashes, column, join_texts, rows, write_table
 
 # Bytes of a spelling (the byte and its context), and of the shared back-off.
 ORDER, SHARED = 7, 3
 DISCOUNT = 0.75
-# The scoring table sent to executors has this many slots (a prime), one byte each, whatever the input:
-# a difference in steps of STEP.
-SLOTS, STEP = 8_388_593, 0.1
+# Words and spellings whose differences are sent to executors, the most frequent ones; all others are joined.
+SENT_WORDS, SENT_SPELLINGS = 1 << 19, 1 << 20
+# Distinct words a task counts, and their bytes, before it passes them on.
+COUNTED, COUNTED_BYTES = 200_000, 16 << 20
 # Labelled documents the logistic curve is fitted on, at most; all counts cover all documents.
 CURVE_ROWS = 20_000
 # Lower-cases A to Z and makes all ASCII white space one space.
@@ -54,49 +58,87 @@ def spellings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 COUNTS = ("n", "ordinary_0", "toxic_0", "ordinary_1", "toxic_1")
 
 
-def spelling_counts(labelled: DataFrame) -> DataFrame:
-    """How often each spelling occurs: in all documents, and by class in two parts of the labelled ones.
+def plain_words(text: str) -> list[bytes]:
+    return text.encode().translate(PLAIN).split()
+
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """Every distinct ``word``, as bytes, and how often it occurs.
 
-    ``labelled`` has ``text`` and ``place``: 0 for no label, else the number of one of the other counts.
+    The counts are those in all documents, and by class in two parts of the labelled ones. ``labelled`` has
+    ``text`` and ``place``: 0 for no label, else the number of one of the other counts.
     """
 
     def work(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[bytes, list[int]] = {}
+        size = 0
 
-        def together():
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            sums = np.zeros((len(keys), len(COUNTS)), np.int64)
-            np.add.at(sums, where, np.concatenate([c for _, c in held]))
-            return keys, sums
-
-        def out(keys, sums):
+        def out():
+            sums = np.array(list(held.values()), np.int64).reshape(-1, len(COUNTS))
             return pa.RecordBatch.from_arrays(
-                [column(keys, pa.int64()), *(pa.array(sums[:, i], pa.int64()) for i in range(len(COUNTS)))],
-                ["spelling", *COUNTS],
+                [pa.array(list(held), pa.binary()), *(pa.array(sums[:, i]) for i in range(len(COUNTS)))], ["word", *COUNTS]
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                places = part.column(part.schema.get_field_index("place")).to_numpy(zero_copy_only=False)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                for place in np.unique(places):
-                    number = spellings([t for t, p in zip(texts, places, strict=True) if p == place])[0]
-                    keys, count = np.unique(number, return_counts=True)
-                    counts = np.zeros((len(keys), len(COUNTS)), np.int64)
-                    counts[:, 0] = counts[:, place] = count
-                    held.append((keys, counts))
-                if sum(len(k) for k, _ in held) > 1_000_000:
-                    held = [together()]
-                    if len(held[0][0]) > 500_000:
-                        yield out(*held.pop())
+            for text, place in rows([batch], "text", "place"):
+                for word, n in Counter(plain_words(text)).items():
+                    sums = held.get(word)
+                    if sums is None:
+                        sums = held[word] = [0] * len(COUNTS)
+                        size += len(word)
+                    sums[0] += n
+                    if place:
+                        sums[place] += n
+                if len(held) > COUNTED or size > COUNTED_BYTES:
+                    yield out()
+                    held.clear()
+                    size = 0
         if held:
-            yield out(*together())
+            yield out()
+
+    made = labelled.mapInArrow(work, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return made.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
 
-    made = labelled.mapInArrow(work, "spelling long, " + ", ".join(f"{c} long" for c in COUNTS))
+def few_words(batch: pa.RecordBatch):
+    """Slices of a batch with a bounded number and length of words, and the words of each."""
+    words = batch.column(batch.schema.get_field_index("word")).to_pylist()
+    start = 0
+    while start < len(words):
+        end, size = start, 0
+        while end < len(words) and end - start < 4096 and size < 1 << 20:
+            size += len(words[end])
+            end += 1
+        yield batch.slice(start, end - start), words[start:end]
+        start = end
+
+
+def totals(words: DataFrame) -> DataFrame:
+    """How often each spelling occurs, from the counts of the words."""
+
+    def work(batches):
+        for batch in batches:
+            for part, texts in few_words(batch):
+                number = spellings([w.decode() for w in texts])[0]
+                of = np.repeat(np.arange(len(texts)), [len(w) + 1 for w in texts])
+                keys, where = np.unique(number, return_inverse=True)
+                out = [column(keys, pa.int64())]
+                for name in COUNTS:
+                    count = part.column(part.schema.get_field_index(name)).to_numpy()
+                    sums = np.zeros(len(keys), np.int64)
+                    np.add.at(sums, where, count[of])
+                    out.append(pa.array(sums))
+                yield pa.RecordBatch.from_arrays(out, ["spelling", *COUNTS])
+
+    made = words.mapInArrow(work, "spelling long, " + ", ".join(f"{c} long" for c in COUNTS))
     return made.groupBy("spelling").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
+def spelling_counts(labelled: DataFrame) -> DataFrame:
+    """How often each spelling occurs in ``labelled`` (see ``word_counts``), with the same counts."""
+    return totals(word_counts(labelled))
+
+
 def differences(counts: DataFrame) -> DataFrame:
     """``spelling``, ``n``, and the difference of the log-likelihoods by the first part and by both parts."""
     low = F.col("spelling").bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
@@ -135,47 +177,114 @@ def differences(counts: DataFrame) -> DataFrame:
     )
 
 
-def slots(difference: DataFrame) -> np.ndarray:
-    """Two tables of SLOTS differences, by spelling modulo SLOTS; the more frequent spelling has the slot."""
+def sent_values(table: DataFrame, key: str, most: int):
+    """Sends ``part`` and ``full`` of the most frequent rows, at most ``most``, sorted by ``key``.
+
+    Returns the broadcast and the ``n`` from which on rows are in it.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    steps = table.groupBy(step).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, size = 1 << 62, 0
+    for r in steps:
+        size += r["rows"]
+        if size > most:
+            break
+        least = r["least"]
+    got = table.where(F.col("n") >= least).select(key, "part", "full").toArrow()
+    keys = got[key].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    values = (keys[order], got["part"].to_numpy()[order], got["full"].to_numpy()[order])
+    return table.sparkSession.sparkContext.broadcast(values), least
+
+
+def found_in(known: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``codes`` are in the sorted ``known``, and where."""
+    at = np.searchsorted(known, codes)
+    hit = at < len(known)
+    hit[hit] = known[at[hit]] == codes[hit]
+    return hit, at
+
+
+def word_values(words: DataFrame, difference: DataFrame) -> DataFrame:
+    """``key`` (hash), ``n`` and, as ``part`` and ``full``, the mean difference of the spellings of every word."""
+    difference = write_table(difference, "differences")
+    sent, least = sent_values(difference, "spelling", SENT_SPELLINGS)
+
+    def work(batches):
+        known, *tables = sent.value
+        for batch in batches:
+            for part, texts in few_words(batch):
+                number, starts, _ = spellings([w.decode() for w in texts])
+                hit, at = found_in(known, number)
+                sums = []
+                for table in tables:
+                    value = np.zeros(len(number))
+                    value[hit] = table[at[hit]]
+                    sums.append(pa.array(np.add.reduceat(value, starts)))
+                ends = np.append(starts[1:], len(number))
+                missed = np.concatenate([[0], np.cumsum(~hit)])
+                offsets = np.append(missed[starts], missed[-1]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[~hit].view(np.int64)))
+                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+                n = part.column(part.schema.get_field_index("n"))
+                yield pa.RecordBatch.from_arrays(
+                    [column(keys, pa.int64()), n, pa.array(ends - starts), *sums, rest], ["key", "n", "length", "part", "full", "rest"]
+                )
+
+    local = words.select("word", "n").mapInArrow(work, "key long, n long, length long, part double, full double, rest array<long>")
+    local = write_table(local, "words-sent")
     # What no labelled document holds says nothing.
-    best = difference.where("part != 0 or full != 0").groupBy(F.pmod("spelling", F.lit(SLOTS)).cast("int").alias("slot")).agg(
-        F.max(F.struct("n", "spelling", "part", "full")).alias("b")
+    telling = difference.where(F.col("n") < least).where("part != 0 or full != 0").drop("n")
+    rest = local.select("key", F.explode("rest").alias("spelling")).join(telling, "spelling")
+    rest = rest.groupBy("key").agg(F.sum("part").alias("rest_part"), F.sum("full").alias("rest_full"))
+    both = local.drop("rest").join(rest, "key", "left")
+    return both.select(
+        "key", "n", *(((F.col(c) + F.coalesce(f"rest_{c}", F.lit(0.0))) / F.col("length")).alias(c) for c in ("part", "full"))
     )
 
-    def steps(name: str) -> Column:
-        return F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.col(f"b.{name}") / STEP))).cast("tinyint").alias(name)
 
-    table = np.zeros((2, SLOTS), np.int8)
-    # At most SLOTS rows of six bytes.
-    got = best.select("slot", steps("part"), steps("full")).toArrow()
-    for batch in got.to_batches():
-        for i in range(2):
-            table[i, batch.column(0).to_numpy()] = batch.column(i + 1).to_numpy()
-    return table
+def strongest_words(documents: DataFrame, values: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``part`` and ``full``: the largest values of a word of each text; 0 without words.
 
-
-def strongest_words(documents: DataFrame, sent, keep: list[str]) -> DataFrame:
-    """``keep`` and ``strongest``: the largest mean difference of a word by the table sent; 0 without words."""
+    ``values`` has every word of the texts. The most frequent ones are sent to the executors, which look
+    them up where the text lies; the others of each text are joined with their values.
+    """
+    sent, least = sent_values(values, "key", SENT_WORDS)
     kept = [documents.schema[c] for c in keep]
 
     def work(batches):
-        values = sent.value
+        known, *tables = sent.value
+        memo = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [t or "" for (t,) in rows([part], "text")]
-                number, words, text = spellings(texts)
-                best = np.zeros(len(texts))
-                if len(words):
-                    sums = np.add.reduceat(values[number.view(np.int64) % SLOTS].astype(np.float64) * STEP, words)
-                    mean = sums / np.diff(np.append(words, len(number)))
-                    first = np.flatnonzero(np.diff(text, prepend=-1))
-                    best[text[first]] = np.maximum.reduceat(mean, first)
+                found = [np.unique(memo.of(plain_words(t or ""))) for (t,) in rows([part], "text")]
+                counts = np.array([len(f) for f in found])
+                codes = np.concatenate(found)
+                hit, at = found_in(known, codes)
+                full, starts = counts > 0, np.cumsum(counts) - counts
+                best = []
+                for table in tables:
+                    value = np.full(len(codes), -np.inf)
+                    value[hit] = table[at[hit]]
+                    most = np.zeros(len(found))
+                    if full.any():
+                        most[full] = np.maximum.reduceat(value, starts[full])
+                    best.append(pa.array(most))
+                rest = [f[~hit[s : s + n]].view(np.int64) for f, s, n in zip(found, starts, counts, strict=True)]
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best)], [*keep, "strongest"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, *best, pa.array(rest, pa.list_(pa.int64()))], [*keep, "part", "full", "rest_keys"]
+                )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "strongest double"])
-    return documents.select(*keep, "text").mapInArrow(work, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "part double, full double, rest_keys array<long>"])
+    local = documents.select(*keep, "text").mapInArrow(work, schema)
+    local = write_table(local.withColumn("row", F.monotonically_increasing_id()), "strongest-sent")
+    rest = local.select("row", F.explode("rest_keys").alias("key"))
+    joined = rest.join(values.where(F.col("n") < least).select("key", "part", "full"), "key")
+    joined = joined.groupBy("row").agg(F.max("part").alias("rest_part"), F.max("full").alias("rest_full"))
+    best = (F.greatest(c, f"rest_{c}").alias(c) for c in ("part", "full"))
+    return local.drop("rest_keys").join(joined, "row", "left").select(*keep, *best)
 
 
 def curve(strongest: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -220,20 +329,18 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     # Two parts of the labelled documents: the curve is fitted on the second by counts of the first.
     known = F.col("toxic").isNotNull() & (F.col("rest") != 2)
     place = F.when(known & (F.col("rest") != 3), 1 + F.col("toxic")).when(known, 3 + F.col("toxic")).otherwise(0)
-    counts = write_table(spelling_counts(joined.where("text is not null").select("text", place.alias("place"))), "spellings")
-    table = slots(differences(counts))
+    words = write_table(word_counts(joined.where("text is not null").select("text", place.alias("place"))), "words")
+    counts = write_table(totals(words), "spellings")
+    values = write_table(word_values(words, differences(counts)), "word-values")
+    scored = write_table(strongest_words(joined, values, ["doc_id", "rest", "toxic"]), "strongest")
 
-    second = joined.where((F.col("rest") == 3) & F.col("toxic").isNotNull())
+    second = scored.where((F.col("rest") == 3) & F.col("toxic").isNotNull())
     # At most so many rows, chosen by their id; Spark takes them per task and merges the smallest.
     sample = second.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS) if second.count() > CURVE_ROWS else second
-    context = documents.sparkSession.sparkContext
-    sent = context.broadcast(table[0])
-    fitted = strongest_words(sample, sent, ["toxic"]).toArrow()
-    slope, intercept = curve(fitted["strongest"].to_numpy(), fitted["toxic"].to_numpy().astype(float))
-    sent.destroy()
-
-    scored = strongest_words(texts, context.broadcast(table[1]), ["doc_id", "rest"])
-    score = 1 / (1 + F.exp(-(F.col("strongest") * slope + intercept)))
+    fitted = sample.select("part", "toxic").toArrow()
+    slope, intercept = curve(fitted["part"].to_numpy(), fitted["toxic"].to_numpy().astype(float))
+
+    score = 1 / (1 + F.exp(-(F.col("full") * slope + intercept)))
     return scored.select(
         "doc_id", (F.col("rest") == 2).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")
     )

@@ -1,4 +1,5 @@
 import collections
+import itertools
 
 import brute
 import pytest
@@ -159,3 +160,34 @@ def test_likelihoods_sum_to_one(spark):
     found = toxicity.differences(counts).agg(F.max(F.abs("part")), F.count("*")).first()
     # Equal texts in both classes: no spelling speaks for either.
     assert found[0] < 1e-12 and found[1] > 5
+
+
+@pytest.mark.parametrize("sent", [1 << 19, 3, 0])
+def test_every_spelling_keeps_its_own_difference(spark, monkeypatch, sent):
+    monkeypatch.setattr(toxicity, "SENT_WORDS", sent)
+    monkeypatch.setattr(toxicity, "SENT_SPELLINGS", 4 * sent)
+    # Two words whose spellings were one slot of the former table of 8,388,593 slots.
+    slot: dict[int, str] = {}
+    for word in map("".join, itertools.product("abcdefghijklmnop", repeat=4)):
+        number = int(toxicity.spellings([word])[0][3]) % 8_388_593
+        if number in slot and slot[number][0] != word[0]:
+            break
+        slot[number] = word
+    frequent, rare = slot[number], word
+    labelled = [(f"{frequent} so it is", 2 - i % 2 * 2 + 1) for i in range(0, 40, 2)] + [(f"{frequent} it", 1)] * 20 + [(f"so {rare}", 2)] * 2
+    words = toxicity.word_counts(spark.createDataFrame([*labelled, ("unseen wordsx", 0)], "text string, place int")).cache()
+    difference = toxicity.differences(toxicity.totals(words))
+    of = {int(r.spelling): (r.part, r.full) for r in difference.collect()}
+    values = toxicity.word_values(words, difference).cache()
+
+    def mean(word, which):
+        numbers = toxicity.spellings([word])[0]
+        return sum(of[int(x)][which] for x in numbers) / len(numbers)
+
+    texts = [frequent, rare, f"{rare} {frequent}", "unseen", "so it is", "unseen wordsx", " ", None, f"IS {rare.upper()}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = {r.i: (r.part, r.full) for r in toxicity.strongest_words(table, values, ["i"]).collect()}
+    for i, text in enumerate(texts):
+        expected = [max((mean(w, k) for w in (text or "").lower().split()), default=0) for k in range(2)]
+        assert found[i] == pytest.approx(expected)
+    assert found[1][1] > 0.5 > found[0][1]
