@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from premia.llm.common import mixed, rows, write_table
 from premia.llm.components import components
 
-# Neighbours a node keeps, and how many when all of them are links.
+# Neighbours a node keeps, and how many when all of them are links; they say where to look next, not what is linked.
 NEAREST, MOST = 6, 64
 # Random tables to start from, and vectors a bucket should hold.
 TABLES, BUCKET = 6, 16
@@ -207,7 +207,7 @@ def near_vectors(embeddings: DataFrame, share: float = 0.93) -> DataFrame:
     vectors, classes = classes_of(embeddings)
     sizes = classes.groupBy("space").agg(F.greatest(F.ceil(F.log2(F.count("*") / BUCKET)), F.lit(0)).cast("int").alias("bits"))
     sizes = write_table(sizes, "spaces")
-    edges, groups, linked, newest = None, None, None, 0
+    edges, groups, newest = None, None, 0
     for start in range(RESTARTS):
         met = compared(hyperplane_buckets(classes, sizes, start * TABLES), classes, share)
         state = None
@@ -216,8 +216,12 @@ def near_vectors(embeddings: DataFrame, share: float = 0.93) -> DataFrame:
             met = met.withColumn("round", F.lit(newest))
             every = met if edges is None else edges.union(met)
             every = every.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("round").alias("round"))
-            edges = write_table(kept_lists(write_table(every, "met"), share), "edges")
-            linked = edges.where(F.col("cosine") >= share).select("a", "b")
+            every = write_table(every, "met")
+            edges = write_table(kept_lists(every, share), "edges")
+            # Every link met counts, whether a list keeps it or not; those met before are in the groups.
+            linked = every.where(F.col("cosine") >= share).select("a", "b")
+            if groups is not None:
+                linked = linked.union(groups.select("node", "component_id"))
             groups = write_table(components(linked), "groups")
             new = groups.agg(F.count("*"), F.countDistinct("component_id")).first()
             if new == state:

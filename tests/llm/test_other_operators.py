@@ -62,6 +62,25 @@ def test_embeddings(spark, block, monkeypatch):
     assert embeddings.near_vectors(table.where("false")).collect() == []
 
 
+def two_dense_groups():
+    rng = np.random.default_rng(11)
+    centres = np.eye(32)[:2]
+    centres[1] = 0.96 * centres[0] + math.sqrt(1 - 0.96**2) * centres[1]
+    x = np.repeat(centres, 150, axis=0) + rng.standard_normal((300, 32)) * 0.023
+    return [(i, 0, v) for i, v in enumerate(x.tolist())]
+
+
+def test_links_beyond_the_lists_still_connect(spark, monkeypatch):
+    # Each vector has more nearer neighbours on its own side than a list holds.
+    monkeypatch.setattr(embeddings, "MOST", 12)
+    rows = two_dense_groups()
+    single = [(i, s, [float(np.float32(x)) for x in v]) for i, s, v in rows]
+    expected = brute.near_vectors(single)
+    assert {low for _, low, _ in expected.values()} == {0} and min(n for n, *_ in expected.values()) > 150
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert {r.vec_id: tuple(r)[1:] for r in found} == expected
+
+
 def test_embedding_audit_counts_what_is_missing(spark):
     table = spark.createDataFrame([(i, 0, [1.0, i / 1000]) for i in range(10)], "vec_id long, label int, embedding array<float>")
     _, classes = embeddings.classes_of(table)
