@@ -24,8 +24,8 @@ from premia.llm.components import components
 SHINGLE = 5
 SEEDS, BUCKETS, MANTISSA = 16, 8, 10
 # Sets up to SMALL shingles put all of them into every register; larger ones deal them into buckets.
-# Around the border both sketches are made, so that two alike sets always share a kind.
-SMALL, BOTH = 57, 49
+# Below the border both sketches are made, so that two alike sets always share a kind.
+SMALL = 57
 # Documents of a block, and shingles of a block of a family.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 # Standard errors by which an estimate may miss a pair that is alike.
@@ -99,9 +99,12 @@ def sketch(found: np.ndarray, dealt: bool) -> np.ndarray:
     return registers(least[:, source]).ravel()
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, a 128-bit digest of the set, and one or two sketches with their kind."""
 
+    # A smaller set is not alike to one of more than SMALL.
+    both = SMALL * percent // 100
+
     def work(batches):
         memo = WordHashes()
         for batch in batches:
@@ -110,7 +113,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                 found = shingles(text or "", memo)
                 n = len(found)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if n else None
-                kinds = [k for k, fits in ((0, n <= SMALL), (1, n >= BOTH)) if fits and n]
+                kinds = [k for k, fits in ((0, n <= SMALL), (1, n >= both)) if fits and n]
                 out.append((doc, n, digest, [{"kind": k, "registers": sketch(found, bool(k)).tobytes()} for k in kinds]))
             kind = pa.list_(pa.struct([("kind", pa.int32()), ("registers", pa.binary())]))
             names = ["doc_id", "n_shingles", "digest", "sketches"]
@@ -288,7 +291,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     share = percent / 100
     share = percent / 100
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = write_table(sketches(texts), "sketches")
+    made = write_table(sketches(texts, percent), "sketches")
     usable = made.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = write_table(classes, "classes")

@@ -191,3 +191,11 @@ def test_every_spelling_keeps_its_own_difference(spark, monkeypatch, sent):
         expected = [max((mean(w, k) for w in (text or "").lower().split()), default=0) for k in range(2)]
         assert found[i] == pytest.approx(expected)
     assert found[1][1] > 0.5 > found[0][1]
+
+
+def test_alike_sets_beside_the_border_meet_at_80_percent(spark):
+    words = [f"w{k}" for k in range(62)]
+    # 48 and 58 shingles, all of the smaller set in the larger.
+    table = spark.createDataFrame([(1, " ".join(words[:52])), (2, " ".join(words))], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(table, percent=80).collect()} == {1}
+    assert {r.component_id for r in minhash.near_duplicates(table).collect()} == {1, 2}
