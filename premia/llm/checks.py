@@ -172,6 +172,113 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_remo
 FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+
+def hexadecimal(digits: str) -> str:
+    """The unsigned integer of hexadecimal digits."""
+    return f"CAST('0x' || {digits} AS BIGINT)"
+
+
+INFILL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+),
+units AS (
+  SELECT *, regexp_extract_all(t, '{UNITS}') AS u, {hexadecimal("substr(h, 1, 8)")} AS h1, {hexadecimal("substr(h, 9, 8)")} AS h2,
+         {hexadecimal("substr(h, 17, 8)")} AS h3, {hexadecimal("substr(h, 25, 8)")} AS h4
+  FROM docs
+),
+cuts AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1 :], ''), '') AS s
+  FROM cuts
+)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def field(name: str) -> str:
+    """A value with its length in bytes before it, or a sign for null."""
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def record(n_chars: str = "n_chars") -> str:
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# The checksum bit by bit: the register starts with all bits set, takes a byte (not negative) and then eight shifts (-1).
+CRC32 = """
+xor(4294967295, list_reduce(
+  [4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  LAMBDA c, x : CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END
+))
+"""
+
+
+def tree(name: str, leaves: str) -> str:
+    """All nodes above ``leaves`` (part, n, pos, h): the nodes of a level are the pairs of the one below."""
+    return f"""
+{name}(part, n, level, pos, h) AS (
+  SELECT part, n, 0, pos, h FROM {leaves}
+  UNION ALL
+  SELECT part, (n + 1) // 2, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY part, n, level, pos // 2
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS part, {record()} AS leaf,
+         CASE WHEN {CRC32} % 7 = 0 THEN {record("n_chars + 1")} ELSE {record()} END AS claimed
+  FROM documents
+),
+leaves AS (
+  SELECT *, leaf AS h, count(*) OVER (PARTITION BY part) AS n,
+         row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM docs
+),
+{tree("nodes", "leaves")},
+subroots AS (
+  SELECT part AS name, '' AS part, h, level AS height, count(*) OVER () AS n, row_number() OVER (ORDER BY part) - 1 AS pos
+  FROM nodes WHERE n = 1
+),
+{tree("upper", "subroots")},
+heights AS (SELECT max(level) AS top FROM upper),
+steps AS (
+  SELECT l.part, l.pos, u.level, (l.pos >> u.level) % 2 AS side, coalesce(o.h, '') AS other
+  FROM leaves l JOIN subroots s ON s.name = l.part, unnest(range(0, s.height)) AS u(level)
+  LEFT JOIN nodes o ON o.part = l.part AND o.level = u.level AND o.pos = xor(l.pos >> u.level, 1)
+  UNION ALL
+  SELECT l.part, l.pos, s.height + u.level, (s.pos >> u.level) % 2, coalesce(o.h, '')
+  FROM leaves l JOIN subroots s ON s.name = l.part, heights, unnest(range(0, top)) AS u(level)
+  LEFT JOIN upper o ON o.level = u.level AND o.pos = xor(s.pos >> u.level, 1)
+),
+proofs AS (SELECT part, pos, sha256(string_agg(other, '' ORDER BY level)) AS proof FROM steps GROUP BY part, pos),
+folds(part, pos, level, h) AS (
+  SELECT part, pos, 0, claimed FROM leaves
+  UNION ALL
+  SELECT f.part, f.pos, f.level + 1, CASE side WHEN 1 THEN sha256(other || f.h) ELSE sha256(f.h || other) END
+  FROM folds f JOIN steps s ON s.part = f.part AND s.pos = f.pos AND s.level = f.level
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN subroots s ON s.name = l.part, upper r, heights t, folds f LEFT JOIN proofs p ON p.part = f.part AND p.pos = f.pos
+WHERE r.n = 1 AND f.part = l.part AND f.pos = l.pos AND f.level = s.height + t.top
+"""
+
 SQL: dict[str, str] = {
     "op1_url_filter": URLS,
     "op2_embedding_dedup": EMBEDDINGS,
@@ -179,4 +286,6 @@ SQL: dict[str, str] = {
     "op4_preferences": PREFERENCES,
     "op5_decontaminate": PASSAGES,
     "op9_substring_dedup": SUBSTRINGS,
+    "op11_fill_in_middle": INFILL,
+    "op12_merkle_manifest": MERKLE,
 }

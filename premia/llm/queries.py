@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, embeddings, licences, minhash, preferences, substrings, suffixes, toxicity, urls
+from premia.llm import (
+    bpe,
+    decontaminate,
+    embeddings,
+    infill,
+    licences,
+    merkle,
+    minhash,
+    preferences,
+    substrings,
+    suffixes,
+    tokenfiles,
+    toxicity,
+    urls,
+)
 from premia.llm.common import read, settings
+from premia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +45,12 @@ def bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 # The rules of the URL query, as host, path and verdict.
 URL_RULES = [
     ("net", "/", "block"),
@@ -149,3 +170,55 @@ def encoded_digests(encoded: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and lengths of every document's fill-in-middle output, digests of output and text rebuilt from it."""
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its leaf gives where a seventh are tampered with."""
+    documents = read(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in names]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    leaves = documents.select(
+        "doc_id",
+        "lang",
+        merkle.record_digest(fields).alias("leaf"),
+        F.when(tampered & F.col("n_chars").isNotNull(), merkle.record_digest(changed)).alias("other"),
+    )
+    proofs = merkle.build_manifest(leaves, keep=["other"]).proofs()
+    claimed = F.coalesce("other", "leaf")
+    found = proofs.withColumn("folded_root", merkle.folded(claimed, F.col("siblings"), F.col("path")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(F.array_join("siblings", "")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read back from the files."""
+    folder = scratch_path(spark, "token-files")
+    tokenfiles.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), word_file(), folder)
+    back = tokenfiles.read_tokens(spark, folder)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
