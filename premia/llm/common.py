@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from premia.session import apply_settings, write_table
 
 __all__ = [
-    "LOWER", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "printed", "read", "rows",
+    "LOWER", "Lexicon", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "printed", "read", "rows",
     "settings", "write_table",
 ]
 
@@ -54,6 +54,46 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Lexicon(dict):
+    """Token ids of keys, each found once while it is remembered, gathered for many keys at a time.
+
+    ``find`` takes a list of keys and gives their ids, one after another, and how many each has. Keys have
+    numbers in the order in which they were met. Beyond ``most`` keys or ``most_bytes`` of them all are
+    forgotten, so memory is bounded whatever the texts hold.
+    """
+
+    def __init__(self, find: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int, most_bytes: int = 64 << 20):
+        self.find, self.most, self.most_bytes = find, most, most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new, self.size = [], 0
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        self.size += len(key)
+        return number
+
+    def of(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``keys``, one after another, and how many each has."""
+        if len(self) > self.most or self.size > self.most_bytes:
+            self._forget()
+        numbers = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        if self.new:
+            new, self.new = self.new, []
+            ids, lengths = self.find(new)
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+            self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids.astype(np.uint32))
+        lengths = self.lengths[numbers]
+        before = np.cumsum(lengths) - lengths
+        at = np.repeat(self.starts[numbers] - before, lengths)
+        at += np.arange(len(at))
+        return self.ids[at], lengths
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit over all output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -19,18 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from premia.llm.common import Lexicon
 from premia.session import write_table
 
 # Bytes of text that a shard holds, about.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 128 << 20
 # Longer texts are encoded in pieces of about so many characters.
 PIECE = 1 << 18
 # Characters that are encoded at a time, about, and ids that are read at a time.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 # Stands for a null key, as the smallest 64-bit integer.
 NO_KEY = -(1 << 63)
 SHARDS = "shard long, stem string, width int, n_docs long, n_tokens long"
 
+# Words whose ids a task remembers.
+REMEMBERED = 1_000_000
+
 # A cut that no token spans: before a space between two letters.
 CUT = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 
@@ -44,6 +48,87 @@ def pieces(text: str) -> list[str]:
     return [*found, text[start:]]
 
 
+# Between words no library call tells apart, and what stands for the end of a document: no word holds either.
+NUL, END = b"\0", b" "
+# The first bytes of combining marks that letters of ASCII are composed with.
+MARKS = (b"\xcc", b"\xcd")
+
+
+class Encoder:
+    """The tokenizers library over many texts; each word is encoded once while it is remembered.
+
+    A vocabulary that drops white space encodes the words between ASCII white space independently: the
+    library sees each new one, and a text's ids are those of its words. If it lower-cases too, texts
+    without combining marks are first lower-cased in ASCII, which it would do anyway. Other vocabularies
+    get whole texts. ``end`` holds the ids that follow every text.
+    """
+
+    def __init__(self, content: str, end: tuple[int, ...] = ()):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(content)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.end = np.array(end, np.uint32)
+        self.specials = [t["content"].encode() for t in json.loads(content)["added_tokens"]]
+        self.lower_specials = [s.lower() for s in self.specials]
+        letters = [chr(65 + k) for k in range(26)]
+        a, b, nul, *both = self.ids(["a", "b", "\0", "a b", " a\n\t b ", "a\0b"])
+        self.nul = nul[0] if len(nul) == 1 else None
+        self.drops_space = all(x.tolist() == [*a, *b] for x in both[:2]) and self.nul is not None
+        self.lowers = all(map(np.array_equal, self.ids(letters), self.ids([c.lower() for c in letters])))
+        self.known = Lexicon(self._find, REMEMBERED)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        made = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in made]
+
+    def _find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words: many in one call, told apart by a token of their own between them."""
+        ids, lengths = [], []
+        for start in range(0, len(words), 1000):
+            some = words[start : start + 1000]
+            together = b" \0 ".join(some)
+            apart = END in some or together.count(NUL) >= len(some) or any(s in together for s in self.specials)
+            if apart:
+                made = [self.end if w == END else self.ids([w.decode()])[0] for w in some]
+                ids += made
+                lengths += map(len, made)
+            else:
+                (made,) = self.ids([(together + b" \0").decode()])
+                ends = np.flatnonzero(made == self.nul)
+                ids.append(made[made != self.nul])
+                lengths += (np.diff(ends, prepend=-1) - 1).tolist()
+        return np.concatenate(ids), np.array(lengths, np.int64)
+
+    def words(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if self.lowers and (text.isascii() or not any(m in data for m in MARKS)):
+            lower = data.lower()
+            # A lower-cased word may not become a special token.
+            if not any(s in lower for s in self.lower_specials):
+                return lower.split()
+        return data.split()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, each with its end, and how many each has."""
+        if not self.drops_space:
+            made = []
+            for text in texts:
+                made.append(np.concatenate([*self.ids(pieces(text)), self.end]))
+            return np.concatenate([*made, np.empty(0, np.uint32)]), np.array([len(m) for m in made], np.int64)
+        words, counts = [], []
+        for text in texts:
+            own = self.words(text)
+            words += own
+            words.append(END)
+            counts.append(len(own) + 1)
+        ids, lengths = self.known.of(words)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        return ids, np.diff(upto)
+
+
 def _store(path: str):
     """File system of a folder, and its path there."""
     from pyarrow import fs
@@ -106,58 +191,34 @@ def write_tokens(
 
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(sent.value)
-        encoder.no_truncation()
-        encoder.no_padding()
+        encoder = Encoder(sent.value, () if end_id is None else (end_id,))
         shard = TaskContext.get().partitionId()
         store, place = _store(folder)
         stem = f"{shard:08d}-{uuid.uuid4().hex}"
         store.create_dir(place, recursive=True)
-        tail = [end_id] if end_id is not None else []
-        total, docs = 0, 0
-
-        def encoded(texts):
-            """Ids of each text, in arrays."""
-            waiting, owners, found = [], [], [[] for _ in texts]
-
-            def settle():
-                for n, e in zip(owners, encoder.encode_batch_fast(waiting, add_special_tokens=False), strict=True):
-                    found[n].append(np.array(e.ids, kind))
-                waiting.clear()
-                owners.clear()
-
-            size = 0
-            for n, whole in enumerate(texts):
-                for piece in pieces(whole):
-                    waiting.append(piece)
-                    owners.append(n)
-                    size += len(piece)
-                    if size >= TOGETHER:
-                        settle()
-                        size = 0
-            settle()
-            return [np.concatenate([*parts, np.array(tail, kind)]) for parts in found]
+        width, total, docs = np.dtype(kind).itemsize, 0, 0
 
         files = [store.open_output_stream(f"{place}/{stem}.{end}") for end in ("ids", "ends", "keys")]
         ids, ends, keys = files
         ends.write(np.zeros(1, "<u8").tobytes())
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                made = encoded(part.column("text").to_pylist())
-                for x in made:
-                    ids.write(x.tobytes())
-                upto = total + np.cumsum([len(x) for x in made], dtype=np.uint64)
+            texts, start = batch.column("text").to_pylist(), 0
+            while start < len(texts):
+                stop, size = start + 1, len(texts[start])
+                while stop < len(texts) and size < TOGETHER:
+                    size += len(texts[stop])
+                    stop += 1
+                made, lengths = encoder.encode(texts[start:stop])
+                ids.write(made.astype(kind).tobytes())
+                upto = total + np.cumsum(lengths)
                 ends.write(upto.astype("<u8").tobytes())
-                keys.write(np.asarray(part.column("key"), "<i8").tobytes())
-                total, docs = int(upto[-1]), docs + len(made)
+                total, start = int(upto[-1]), stop
+            keys.write(np.asarray(batch.column("key"), "<i8").tobytes())
+            docs += len(texts)
         for file in files:
             file.close()
         if docs:
-            cells = ([shard], [stem], [np.dtype(kind).itemsize], [docs], [total])
+            cells = ([shard], [stem], [width], [docs], [total])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
                 ["shard", "stem", "width", "n_docs", "n_tokens"],

@@ -201,3 +201,38 @@ def test_token_file_query_is_the_library(spark):
         r = found[d.doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+TRICKY = [
+    "", " ", "H̱ Å K İstanbul ΣΣ ÉCOLE ǅ",
+    "<|STARTOFTEXT|> <|startoftext|>x<|endoftext|>", "a\0b \0 \0\0 c", "a b　c\x1cd\x85e", "́x ́",
+    "It's I'LL don't 3.14 $5,000 ###", "x" * 5000 + " " + "é" * 300, "\U0001f600\U0001f601 ﬁ ẛ̣",
+]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_library(file, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 30)  # forgets between calls
+    path = public_tokenizers.path(file)
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as content:
+        encoder = tokenfiles.Encoder(content.read(), (7, 8))
+    assert encoder.drops_space == file.startswith("word")
+    rows = [TRICKY, [], *[[" ".join(TRICKY[: k + 1])] * 2 for k in range(len(TRICKY))], ["plain Words again"] * 3]
+    for texts in rows:
+        ids, lengths = encoder.encode(texts)
+        expected = [[*library.encode(t, add_special_tokens=False).ids, 7, 8] for t in texts]
+        assert lengths.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_encoder_takes_every_character():
+    with open(word_file(), encoding="utf-8") as content:
+        encoder = tokenfiles.Encoder(content.read())
+    library = Tokenizer.from_file(word_file())
+    for start in range(0, 0x30000, 0x400):
+        own = [chr(c) for c in range(start, start + 0x400) if not 0xD800 <= c < 0xE000]
+        for text in (" ".join(own), "Ab".join(own)):
+            assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
