@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from premia.llm.common import Lexicon
+
 # The words a byte-level vocabulary is applied to, in this order of preference.
 WORDS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# Words and fragments whose ids a task remembers.
-REMEMBERED = 150_000
+# Stretches between cuts, and fragments of them, whose ids a task remembers.
+REMEMBERED = 400_000
 # Sorts after every merge.
 NONE = 1 << 62
-# Longer texts are encoded in pieces of about so many characters, and about as many at a time.
-PIECE = 1 << 20
+# Texts are encoded in pieces of about so many characters, and about as many at a time.
+PIECE = 4 << 20
+# Bytes of fragments that are merged side by side.
+MERGED_BYTES = 1 << 18
+# Where a word begins with a space: whatever stands before is a word of its own.
+SPACE = re.compile(r"(?= \S)")
 # Longer fragments are merged one by one, with a queue.
 LONG = 48
 
@@ -53,7 +60,12 @@ class Vocabulary:
         if not merges:
             return
         plain = [self.tokens[i] for token, i in ids.items() if token not in self.special]
-        self.inside = {pair for token in plain for pair in zip(token, token[1:], strict=False)}
+        # At left * 256 + right: whether the byte pair occurs inside a token.
+        self.inside = np.zeros(1 << 16, bool)
+        together = np.frombuffer(b"".join(plain), np.uint8).astype(np.int64)
+        pairs = np.ones(len(together), bool)
+        pairs[np.cumsum([len(token) for token in plain]) - 1] = False
+        self.inside[(together[:-1] << 8 | together[1:])[pairs[:-1]]] = True
         self.byte_ids = [ids[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])]
         # (left, right) as left << 32 | right -> rank << 32 | merged id, so the smallest value is merged first.
         merge = {}
@@ -65,8 +77,8 @@ class Vocabulary:
         self.merges_to = np.array([merge[x] for x in self.left_right.tolist()], np.int64)
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.known_fragments: dict[bytes, bytes] = {}
+        self.fragments = Lexicon(self.merge_fragments, REMEMBERED)
+        self.known = Lexicon(self.learn, REMEMBERED)
 
     def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What pairs of ids merge to, or NONE; an id of -1 is no id."""
@@ -74,14 +86,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.left_right, pair), len(self.left_right) - 1)
         return np.where((self.left_right[at] == pair) & (right >= 0), self.merges_to[at], NONE)
 
-    def merged(self, fragments: list[bytes]) -> list[bytes]:
-        """Ids of fragments of equal length, merged side by side.
+    def merged(self, fragments: list[bytes]) -> np.ndarray:
+        """Ids of fragments of equal length, merged side by side; -1 fills the rows.
 
         In each the pair of the lowest rank is merged first, the leftmost of equal ones.
         """
         size = len(fragments[0])
-        if size > LONG:
-            return [np.array(self.merged_long([self.byte_ids[b] for b in f]), "<u4").tobytes() for f in fragments]
         ids = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(fragments), np.uint8).reshape(-1, size)]
         pairs = self.found(ids[:, :-1], ids[:, 1:])
         done, which = np.full(ids.shape, -1), np.arange(len(ids))
@@ -101,7 +111,29 @@ class Vocabulary:
                 ok = (k >= 0) & (k < pairs.shape[1])
                 r, c = row[ok], k[ok]
                 pairs[r, c] = self.found(ids[r, c], ids[r, c + 1])
-        return [x[x >= 0].astype("<u4").tobytes() for x in done]
+        return done
+
+    def merge_fragments(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of fragments, one after another, and how many each has."""
+        sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+        rows, values = [], []
+        by_size = np.argsort(sizes, kind="stable")
+        for same in np.split(by_size, np.flatnonzero(np.diff(sizes[by_size])) + 1):
+            step = max(1, MERGED_BYTES // int(sizes[same[0]]))
+            for start in range(0, len(same), step):
+                which = same[start : start + step]
+                some = [fragments[k] for k in which.tolist()]
+                if len(some[0]) > LONG:
+                    made = [np.array(self.merged_long([self.byte_ids[b] for b in f]), np.int64) for f in some]
+                    rows += [np.full(len(m), k) for k, m in zip(which, made, strict=True)]
+                    values += made
+                else:
+                    done = self.merged(some)
+                    at, _ = np.nonzero(done >= 0)
+                    rows.append(which[at])
+                    values.append(done[done >= 0])
+        row, ids = np.concatenate(rows), np.concatenate(values)
+        return ids[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(fragments))
 
     def merged_long(self, ids: list[int]) -> list[int]:
         """The same with a queue of pairs over a linked list, for fragments of any length."""
@@ -123,72 +155,71 @@ class Vocabulary:
                 heapq.heappush(queue, (f, before[i], ids[before[i]], new))
         return [x for x in ids if x >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of words not met before: cut where a byte pair occurs in no token, merge, concatenate."""
-        inside, cut, by_size, made = self.inside, {}, {}, {}
-        for word in words:
-            data = word.encode()
-            cuts = [i for i, pair in enumerate(zip(data, data[1:], strict=False), 1) if pair not in inside]
-            cut[word] = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)] if cuts else [data]
-            for fragment in cut[word]:
-                if fragment not in self.known_fragments:
-                    by_size.setdefault(len(fragment), set()).add(fragment)
-        for fragments in map(list, by_size.values()):
-            for i in range(0, len(fragments), 4096):
-                part = fragments[i : i + 4096]
-                made.update(zip(part, self.merged(part), strict=True))
-        for word, fragments in cut.items():
-            self.known[word] = b"".join(made[f] if f in made else self.known_fragments[f] for f in fragments)
-        # Fragments of cut words are met in other words; whole words are known as such.
-        parts = {f for fragments in cut.values() if len(fragments) > 1 for f in fragments if len(f) <= LONG}
-        self.known_fragments.update((f, made[f]) for f in parts if f in made)
-
-    def pieces(self, text: str) -> Iterator[str]:
-        """A long text in pieces, cut between a letter and a space: no word holds that pair."""
+    def learn(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches not met before: words, cut where a byte pair occurs in no token, merged, concatenated."""
+        words, ends, special = [], [], []
+        for k, stretch in enumerate(stretches):
+            if stretch in self.special:
+                special.append(k)
+            else:
+                words += self.words.findall(stretch)
+            ends.append(len(words))
+        data = [w.encode() for w in words]
+        whole = b"".join(data)
+        together = np.frombuffer(whole, np.uint8).astype(np.int64)
+        # A fragment ends with its word, and between two bytes that no token holds side by side.
+        word_ends = np.cumsum([len(d) for d in data], dtype=np.int64)
+        cut = np.zeros(len(together), bool)
+        cut[:-1] = ~self.inside[together[:-1] << 8 | together[1:]]
+        cut[word_ends - 1] = True
+        at = np.flatnonzero(cut) + 1
+        bounds = [0, *at.tolist()]
+        ids, lengths = self.fragments.of([whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        # The fragments of a stretch end up to its last byte.
+        upto = np.append(0, np.cumsum(lengths))[np.searchsorted(at, np.append(0, word_ends)[ends], "right")]
+        counts = np.diff(upto, prepend=0)
+        counts[special] = 1
+        return np.insert(ids, upto[special], [self.special[stretches[k]] for k in special]), counts
+
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """Stretches of a text that are encoded independently, about a PIECE of it at a time."""
         start = 0
-        while len(text) - start > PIECE:
-            at = text.find(" ", start + PIECE)
-            while at > 0 and not (text[at - 1].isalpha() and (text[at - 1].encode()[-1], 32) not in self.inside):
-                at = text.find(" ", at + 1)
-            if at < 0:
-                break
-            yield text[start:at]
-            start = at
-        yield text[start:]
+        for m in [*self.specials.finditer(text), None]:
+            end = m.start() if m else len(text)
+            while start < end:
+                near = SPACE.search(text, start + PIECE, end) if end - start > PIECE else None
+                stop = near.start() if near else end
+                yield SPACE.split(text[start:stop])
+                start = stop
+            if m:
+                yield [m[0]]
+                start = m.end()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
+        waiting: list[str] = []
+        # Whose the next of the waiting are, and how many.
+        owners: list[tuple[int, int]] = []
 
         def settle():
-            found = [(i, self.words.findall(piece)) for i, piece in waiting]
+            ids, lengths = self.known.of(waiting)
+            upto = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum([n for _, n in owners], dtype=np.int64))] * 4
+            flat = ids.astype("<u4").tobytes()
+            for (k, _), a, b in zip(owners, upto.tolist(), upto[1:].tolist(), strict=False):
+                out[k].append(flat[a:b])
             waiting.clear()
-            words = {w for _, f in found for w in f}
-            if len(self.known) + len(words) > REMEMBERED:
-                self.known.clear()
-                self.known_fragments.clear()
-            self.learn({w for w in words if w not in self.known})
-            for i, f in found:
-                out[i].append(b"".join(map(self.known.__getitem__, f)))
-            # Long words are seldom met again and would fill the memory.
-            for word in [w for w in words if len(w) > LONG]:
-                del self.known[word]
+            owners.clear()
 
         size = 0
-        for i, text in enumerate(texts):
-            start = 0
-            for m in [*self.specials.finditer(text), None]:
-                for piece in self.pieces(text[start : m.start() if m else len(text)]):
-                    waiting.append((i, piece))
-                    size += len(piece)
-                    if size >= PIECE:
-                        settle()
-                        size = 0
-                if m:
+        for k, text in enumerate(texts):
+            for some in self.stretches(text):
+                waiting.extend(some)
+                owners.append((k, len(some)))
+                size += sum(map(len, some))
+                if size >= PIECE:
                     settle()
-                    out[i].append(self.special[m[0]].to_bytes(4, "little"))
-                    start = m.end()
+                    size = 0
         settle()
         return [b"".join(x) for x in out]
 
@@ -211,8 +242,8 @@ def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> Da
 
     def apply(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
                 made = work(sent.value, part.column(part.schema.get_field_index(take)).to_pylist())
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
                 out = pa.array(made, pa.large_binary() if kind == "binary" else pa.large_string())
@@ -240,7 +271,11 @@ def encode_texts(documents: DataFrame, path: str, text: str = "text") -> DataFra
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """``encoded`` with ``text``, the decoded ids; null ids decode to an empty text."""
+    """``encoded`` with ``text``, the decoded ids; null ids decode to an empty text.
+
+    Rows are independent: repeated rows stay, an empty table stays empty, other columns pass through
+    (one named as ``text`` is replaced).
+    """
 
     def work(state, many):
         vocabulary = state.setdefault("decoder", None)
@@ -248,5 +283,8 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
             vocabulary = state["decoder"] = Vocabulary(state["content"], merges=False)
         return [vocabulary.decode(x or b"") for x in many]
 
-    source = encoded.withColumn("_ids", F.col(ids))
-    return _with(source if keep_ids else source.drop(ids), path, "_ids", text, "string", work)
+    taken = "_ids"
+    while taken in encoded.columns:
+        taken += "_"
+    source = encoded.withColumn(taken, F.col(ids))
+    return _with(source if keep_ids else source.drop(ids), path, taken, text, "string", work)

@@ -3,6 +3,8 @@ import itertools
 
 import brute
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -10,6 +12,8 @@ from premia.llm import bpe, decontaminate, minhash, substrings, suffixes, toxici
 from premia.llm.components import components
 from premia.llm.queries import bpe_file
 
+VOCABULARY = bpe.Vocabulary(bpe.content_of(bpe_file()))
+
 
 def by_id(rows):
     return {r["doc_id"]: tuple(r)[1:] for r in rows if r["doc_id"] is not None}
@@ -47,7 +51,32 @@ def test_bpe_every_character_and_long_texts():
 def test_bpe_cuts_are_where_no_token_has_the_pair():
     own = bpe.Vocabulary(bpe.content_of(bpe_file()))
     for token in own.tokens[:5000]:
-        assert all(pair in own.inside for pair in zip(token, token[1:], strict=False))
+        assert all(own.inside[a << 8 | b] for a, b in zip(token, token[1:], strict=False))
+    held = {pair for token in own.tokens[:-1] for pair in zip(token, token[1:], strict=False)}
+    assert own.inside.sum() == len(held)
+
+
+@given(st.lists(st.text(alphabet="ab1'.  \n\t\x1c\u3000\u0301é\U0001f600<|endoftext|>", max_size=60), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_bpe_of_any_text_in_small_pieces_with_a_short_memory(texts):
+    library, own = Tokenizer.from_file(bpe_file()), VOCABULARY
+    texts = [*texts, "<|endoftext|>".join(texts) * 2]
+    before, bpe.PIECE = bpe.PIECE, 5
+    own.known.most = own.fragments.most = 8
+    try:
+        found = own.encode(texts)
+    finally:
+        bpe.PIECE = before
+    ids = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert found == [b"".join(i.to_bytes(4, "little") for i in x) for x in ids]
+
+
+def test_bpe_passes_other_columns_through(spark):
+    table = spark.createDataFrame([("a b", 1, 2), (None, 3, 4), ("", 5, 6)], "text string, _ids int, decoded int")
+    found = bpe.decode_ids(bpe.encode_texts(table, bpe_file()), bpe_file())
+    assert found.columns == ["_ids", "ids", "decoded"]
+    assert sorted((r[0], len(r.ids), r.decoded) for r in found.collect()) == [(1, 8, "a b"), (3, 0, ""), (5, 0, "")]
+    assert bpe.decode_ids(bpe.encode_texts(table.limit(0), bpe_file()), bpe_file()).count() == 0
 
 
 def test_substrings(documents, odd_texts, no_documents):
