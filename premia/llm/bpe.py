@@ -23,11 +23,11 @@ from premia.llm.common import Lexicon
 WORDS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Stretches between cuts, and fragments of them, whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED, FRAGMENTS = 300_000, 150_000
 # Sorts after every merge.
 NONE = 1 << 62
 # Texts are encoded in pieces of about so many characters, and about as many at a time.
-PIECE = 4 << 20
+PIECE = 1 << 20
 # Bytes of fragments that are merged side by side.
 MERGED_BYTES = 1 << 18
 # Where a word begins with a space: whatever stands before is a word of its own.
@@ -77,7 +77,7 @@ class Vocabulary:
         self.merges_to = np.array([merge[x] for x in self.left_right.tolist()], np.int64)
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.fragments = Lexicon(self.merge_fragments, REMEMBERED)
+        self.fragments = Lexicon(self.merge_fragments, FRAGMENTS)
         self.known = Lexicon(self.learn, REMEMBERED)
 
     def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -54,6 +54,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def longer(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``values`` with ``more`` after the used ones; its room doubles when it is full."""
+    if used + len(more) > len(values):
+        values = np.concatenate([values[:used], np.empty(used + len(more), values.dtype)])
+    values[used : used + len(more)] = more
+    return values
+
+
 class Lexicon(dict):
     """Token ids of keys, each found once while it is remembered, gathered for many keys at a time.
 
@@ -68,8 +76,9 @@ class Lexicon(dict):
 
     def _forget(self) -> None:
         self.clear()
-        self.new, self.size = [], 0
-        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.new, self.size, self.found = [], 0, 0
+        # Ids one after another, and by number where those of a key start and how many there are.
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def __missing__(self, key) -> int:
         number = self[key] = len(self)
@@ -85,9 +94,12 @@ class Lexicon(dict):
         if self.new:
             new, self.new = self.new, []
             ids, lengths = self.find(new)
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
-            self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids.astype(np.uint32))
-        lengths = self.lengths[numbers]
+            first = len(self) - len(new)
+            self.starts = longer(self.starts, first, self.found + np.cumsum(lengths) - lengths)
+            self.lengths = longer(self.lengths, first, lengths)
+            self.ids = longer(self.ids, self.found, ids)
+            self.found += len(ids)
+        lengths = self.lengths[numbers].astype(np.int64)
         before = np.cumsum(lengths) - lengths
         at = np.repeat(self.starts[numbers] - before, lengths)
         at += np.arange(len(at))
