@@ -1,0 +1,8 @@
+"""Operators over quote tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

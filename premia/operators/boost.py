@@ -1,30 +1,31 @@
-"""Gradient boosted trees with pluggable losses, one distributed tree per round.
-
-A round turns the loss into a weighted regression on the negative gradient, lets the
-library's distributed tree learner split on it, and re-estimates every leaf from the
-loss (one aggregation by leaf). Only tree structure and leaf sums reach the driver.
+"""Gradient boosted trees with pluggable losses, grown for all models at once.
+
+The rows of all models (insurers, folds) lie in one table: model, target, weight, feature bins as
+bytes, score. Each level of a round is one pass over it. Tasks sum gradients by node, feature and bin;
+the sums meet by node and feature, where the best split is found; the driver receives one split per
+node. How many jobs a round has depends on the depth, not on the number of models or rows. Trees are
+appended to a store every few rounds, together with the table of scores, so a fit that was stopped
+goes on from there, and scoring reads the trees where it runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import re
+import math
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from premia.operators.quantiles import exact_quantiles
-from premia.session import write_table
+from premia.operators.bins import Binning, fit_bins, number
+from premia.operators.trees import BINS, NODE, Forest, best_splits, crossing, leaf, shrunk
+from premia.session import scratch_path, write_table
 
-# Stands for a missing feature value: below every real one, so it can be split off.
-MISSING_VALUE = -1.0e9
 OBJECTIVES = ("squared", "absolute", "huber", "tweedie")
 
 
@@ -36,7 +37,6 @@ class BoostParams:
     max_depth: int = 5
     min_leaf: int = 20
     max_bins: int = 64
-    column_share: float = 1.0
     row_share: float = 1.0
     l1: float = 0.0
     l2: float = 0.0
@@ -45,8 +45,13 @@ class BoostParams:
     early_stop: int = 0
     seed: int = 42
     log_target: bool = False
-    # Rounds between written score tables, which cut the plan.
-    write_every: int = 10
+    # Whether categories are split by sets of them, not by a threshold on their codes.
+    nominal: bool = False
+    # Shares of the features that a tree, and each level of it, may split on.
+    tree_share: float = 1.0
+    level_share: float = 1.0
+    # Rounds between written score tables, from which a fit can go on.
+    write_every: int = 4
 
     def __post_init__(self):
         if self.objective not in OBJECTIVES:
@@ -55,23 +60,23 @@ class BoostParams:
 
 # Hyperparameters of the model presets.
 PRESETS = {
-    "mae": BoostParams("absolute", 5000, 0.05, 7, 1, 254, l2=5, early_stop=200),
-    "rmse": BoostParams("squared", 10000, 0.05, 6, 50, 254, l2=10, early_stop=300),
+    "mae": BoostParams("absolute", 5000, 0.05, 7, 1, 254, l2=5, early_stop=200, nominal=True),
+    "rmse": BoostParams("squared", 10000, 0.05, 6, 50, 254, l2=10, early_stop=300, nominal=True),
     "huber": BoostParams(
-        "huber", 10000, 0.05, 8, 30, 63, 0.8, 0.9, l1=0.5, l2=3, early_stop=300
+        "huber", 10000, 0.05, 8, 30, 63, 0.9, l1=0.5, l2=3, early_stop=300, tree_share=0.8
     ),
     "l1_quick": BoostParams("absolute", 100, 0.05, 5, 20, 255),
     "tweedie_a": BoostParams(
-        "tweedie", 8000, 0.05, 8, 25, 255, 0.7, 0.85, l1=0.8, l2=4, early_stop=300
+        "tweedie", 8000, 0.05, 8, 25, 255, 0.85, l1=0.8, l2=4, early_stop=300, tree_share=0.7
     ),
     "tweedie_b": BoostParams(
-        "tweedie", 8000, 0.05, 8, 20, 256, 0.56, 0.85, l1=0.8, l2=4, early_stop=300
+        "tweedie", 8000, 0.05, 8, 20, 256, 0.85, l1=0.8, l2=4, early_stop=300, tree_share=0.7, level_share=0.8
     ),
     "tweedie_bagged": BoostParams("tweedie", 8000, 0.03, 8, 20, 254, l2=4, early_stop=300),
-    "mae_fold": BoostParams("absolute", 6000, 0.05, 8, 25, 254, l2=5, early_stop=250),
-    "insample_a": BoostParams("tweedie", 3000, 0.05, 8, 25, 255, 0.7, 0.85, l1=0.8, l2=4),
-    "insample_b": BoostParams("tweedie", 3000, 0.05, 8, 20, 256, 0.7, 0.85, l1=0.8, l2=4),
-    "scout": BoostParams("absolute", 1200, 0.1, 6, 1, 254, l2=3, early_stop=100),
+    "mae_fold": BoostParams("absolute", 6000, 0.05, 8, 25, 254, l2=5, early_stop=250, nominal=True),
+    "insample_a": BoostParams("tweedie", 3000, 0.05, 8, 25, 255, 0.85, l1=0.8, l2=4, tree_share=0.7),
+    "insample_b": BoostParams("tweedie", 3000, 0.05, 8, 20, 256, 0.85, l1=0.8, l2=4, tree_share=0.7),
+    "scout": BoostParams("absolute", 1200, 0.1, 6, 1, 254, l2=3, early_stop=100, nominal=True),
 }
 
 
@@ -80,169 +85,626 @@ def preset(name: str, **changes) -> BoostParams:
     return replace(PRESETS[name], **changes)
 
 
-@dataclass(frozen=True)
-class Tree:
-    """Flat binary tree; a leaf points to itself and carries a value."""
-
-    feature: tuple[int, ...]
-    threshold: tuple[float, ...]
-    left: tuple[int, ...]
-    right: tuple[int, ...]
-    value: tuple[float, ...]
-
-
 @dataclass(frozen=True)
 class BoostedTrees:
-    features: tuple[str, ...]
+    """A fitted model; its trees lie in a store and are read where they are applied."""
+
+    binning: Binning
     params: BoostParams
     start: float
-    trees: tuple[Tree, ...]
+    store: str
+    name: str
     importances: tuple[float, ...]
     best_iteration: int
     history: tuple[dict, ...] = field(default=())
 
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self.binning.features
+
     def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
         return df.withColumn(name, score_models({name: self})[name])
 
 
-def feature_value(name: str) -> Column:
-    value = f"CAST(`{name}` AS DOUBLE)"
-    return F.expr(f"coalesce(nanvl({value}, {MISSING_VALUE}D), {MISSING_VALUE}D)")
-
-
 def to_price(raw: Column, params: BoostParams) -> Column:
     value = F.exp(raw) if params.objective == "tweedie" else raw
     return F.expm1(value) if params.log_target else value
 
 
-def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
-    """Price expression per model; all models share one Arrow pass over the rows."""
-    inputs = list(dict.fromkeys(c for m in models.values() for c in m.features))
-    at = {c: n for n, c in enumerate(inputs)}
-    packed = []
-    for m in models.values():
-        place = np.array([at[c] for c in m.features])
-        trees = [
-            (place[np.array(t.feature)], *map(np.array, (t.threshold, t.left, t.right, t.value)))
-            for t in m.trees
-        ]
-        packed.append((m.start, m.params.learning_rate, trees))
-    width, height = len(inputs), len(packed)
-
-    # Nested, so that it travels with the query and workers need no copy of this package.
-    def tree_values(x, feature, threshold, left, right, value):
-        """Leaf value of every row: all rows step down together."""
-        rows = np.arange(len(x))
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            below = np.where(x[rows, feature[node]] <= threshold[node], left[node], right[node])
-            if (below == node).all():
-                return value[node]
-            node = below
+# --- losses on arrays -----------------------------------------------------------------
 
-    @F.arrow_udf("array<double>")
-    def score(rows: pa.Array) -> pa.Array:
-        n = len(rows)
-        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
-        out = np.empty((n, height))
-        for m, (start, rate, trees) in enumerate(packed):
-            out[:, m] = start
-            for tree in trees:
-                out[:, m] += rate * tree_values(x, *tree)
-        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * height)
-        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
-    raw = score(F.array(*[feature_value(c) for c in inputs]))
-    return {name: to_price(raw[n], m.params) for n, (name, m) in enumerate(models.items())}
+def gradients(params: BoostParams, f: np.ndarray, y: np.ndarray):
+    """Gradient, curvature and loss at score ``f`` and target ``y``."""
+    residual, one = f - y, np.ones(len(f))
+    if params.objective == "squared":
+        return residual, one, residual * residual / 2
+    if params.objective == "absolute":
+        return np.sign(residual), one, np.abs(residual)
+    if params.objective == "huber":
+        d, size = params.huber_delta, np.abs(residual)
+        return np.clip(residual, -d, d), one, np.where(size <= d, residual * residual / 2, d * (size - d / 2))
+    p = params.tweedie_power
+    low, high = np.exp((1 - p) * f), np.exp((2 - p) * f)
+    return high - y * low, (2 - p) * high - (1 - p) * y * low, high / (2 - p) - y * low / (1 - p)
+
 
+def prices(params: BoostParams, raw: np.ndarray) -> np.ndarray:
+    value = np.exp(raw) if params.objective == "tweedie" else raw
+    return np.expm1(value) if params.log_target else value
 
-_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 
+def leaf_value(g: float, h: float, params: BoostParams) -> float:
+    return float(-shrunk(g, params.l1) / (h + params.l2)) if h + params.l2 > 0 else 0.0
 
-def _read_tree(text: str, leaf_values: dict[int, float]) -> Tree:
-    """Flatten a printed tree; its leaves count from left to right."""
-    lines = [s for s in (ln.strip() for ln in text.splitlines()[1:]) if s]
-    lines = [s for s in lines if not s.startswith("Else")]
-    nodes: list[list] = []
-    leaves = iter(range(len(lines)))
-    at = iter(lines)
 
-    def build() -> int:
-        line = next(at)
-        me = len(nodes)
-        split = _SPLIT.match(line)
-        if split is None:
-            nodes.append([0, 0.0, me, me, leaf_values.get(next(leaves), 0.0)])
-            return me
-        nodes.append([int(split[1]), float(split[2]), 0, 0, 0.0])
-        nodes[me][2] = build()
-        nodes[me][3] = build()
-        return me
+def in_bag(hashes: np.ndarray, params: BoostParams, round_: int) -> np.ndarray:
+    """Row sample of a round by hash of the key: the same after a lost executor."""
+    if params.row_share >= 1:
+        return np.ones(len(hashes), bool)
+    x = hashes.view(np.uint64) ^ np.uint64(int(hashlib.sha256(f"{params.seed}:{round_}".encode()).hexdigest()[:16], 16))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(11)).astype(np.float64) < params.row_share * 2.0**53
+
+
+def drawn(features, share: float, *salt) -> list[int]:
+    """Places of a share of the features, one at least, drawn by hash."""
+    n = max(1, math.ceil(share * len(features) - 1e-9))
+    ranked = sorted(features, key=lambda k: hashlib.sha256(f"{salt}:{k}".encode()).digest())
+    return sorted(ranked[:n])
+
+
+# --- passes over the rows -------------------------------------------------------------
+
+# Rows of which a task sums gradients before it hands sums on; nodes whose sums meet in one piece.
+ROWS_TOGETHER, NODES_TOGETHER, LEAVES_TOGETHER = 200_000, 128, 64
+# Histograms of a node and feature that make a task worth starting, and rows that do.
+HISTOGRAMS_PER_TASK = 1024
+ROWS_PER_TASK = 64_000
+# Bins into which a pass parts the interval that holds a median.
+MEDIAN_BINS = 1024
+SUM = np.dtype([("at", "<i4"), ("n", "<f8"), ("g", "<f8"), ("h", "<f8")])
+SPAN = np.dtype([("at", "<i4"), ("w", "<f8"), ("low", "<f8"), ("high", "<f8")])
+COLUMNS = ("_m", "_y", "_w", "_valid", "_h", "_x", "_f")
+PIECE = "kind int, part int, blob binary"
+# Kinds of pieces besides the numbers of features.
+SCORES = -1
+
+
+class Rows:
+    """The columns of some batches as arrays."""
+
+    def __init__(self, batches: list[pa.RecordBatch], width: int):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        m, y, w, valid, h, x, f = (table.column(c) for c in COLUMNS)
+        self.m, self.y, self.w, self.h, self.f = (c.to_numpy() for c in (m, y, w, h, f))
+        self.train = ~valid.to_numpy().astype(bool)
+        self.x = np.concatenate(
+            [np.frombuffer(c.buffers()[2], np.uint8, len(c) * width, np.frombuffer(c.buffers()[1], np.int32)[c.offset]).reshape(-1, width) for c in x.chunks]
+        )
 
-    build()
-    return Tree(*(tuple(column) for column in zip(*nodes)))
+    def add(self, pending: list[dict[int, np.ndarray]], models: int, rate: float) -> None:
+        """Add what the trees of some rounds give to the scores."""
+        for trees in pending:
+            forest, roots = Forest(list(trees.values())), np.full(models, -1)
+            roots[list(trees)] = forest.roots
+            at = roots[self.m]
+            own = np.flatnonzero(at >= 0)
+            self.f = self.f.copy()
+            self.f[own] += rate * forest.value[forest.descend(at[own], self.x[own])]
+
+
+def rows_of(batches, width: int):
+    waiting, count = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        count += batch.num_rows
+        if count >= ROWS_TOGETHER:
+            yield Rows(waiting, width)
+            waiting, count = [], 0
+    if count:
+        yield Rows(waiting, width)
+
+
+def pieces_of(batch_rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kind, part, blob = zip(*batch_rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "blob"])
+
+
+def grouped_blobs(batches):
+    """Blobs of equal kind and part, which arrive one after another."""
+    at, blobs = None, []
+    for batch in batches:
+        for kind, part, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if at != (kind, part):
+                if blobs:
+                    yield *at, blobs
+                at, blobs = (kind, part), []
+            blobs.append(blob)
+            if len(blobs) >= 64:
+                blobs = [b"".join(blobs)]
+    if blobs:
+        yield *at, blobs
+
+
+SPLIT = "slot int, feature int, gain double, bin int, mask binary, gl double, hl double, nl double, g double, h double, n double"
+
+
+def level_sums(state: DataFrame, task: dict) -> DataFrame:
+    """Best split of every open node over every feature; with ``scores`` the losses of the models too.
+
+    ``task`` has ``params``, ``round``, ``models``, ``pending`` trees, ``growing`` (the trees of this round),
+    ``slots`` (number of each of their nodes, -1 if closed), ``features`` and ``nominal``.
+    """
+    params, width = task["params"], task["width"]
+
+    def sums(batches):
+        growing = Forest(list(task["growing"].values()))
+        roots = np.full(task["models"], -1)
+        roots[list(task["growing"])] = growing.roots
+        slots = np.concatenate([task["slots"][m] for m in task["growing"]])
+        most = int(slots.max()) + 1
+        for rows in rows_of(batches, width):
+            rows.add(task["pending"], task["models"], params.learning_rate)
+            g, h, loss = gradients(params, rows.f, rows.y)
+            if task["scores"]:
+                gap = np.abs(prices(params, rows.f) - (np.expm1(rows.y) if params.log_target else rows.y))
+                count = lambda v: np.bincount(rows.m, v, task["models"])
+                made = [count(rows.train * rows.w * loss), count(rows.train * 1.0), count(~rows.train * gap), count(~rows.train * 1.0)]
+                yield pieces_of([(SCORES, 0, np.concatenate(made).tobytes())])
+            own = np.flatnonzero(rows.train & (roots[rows.m] >= 0) & in_bag(rows.h, params, task["round"]))
+            slot = slots[growing.descend(roots[rows.m[own]], rows.x[own])]
+            own, slot = own[slot >= 0], slot[slot >= 0]
+            gw, hw = g[own] * rows.w[own], h[own] * rows.w[own]
+            out = []
+            for k in task["features"]:
+                at, gk, hk = slot * BINS + rows.x[own, k], gw, hw
+                if task["allowed"] is not None:
+                    may = task["allowed"][rows.m[own], k]
+                    at, gk, hk = at[may], gw[may], hw[may]
+                n = np.bincount(at, minlength=most * BINS)
+                used = np.flatnonzero(n)
+                cells = np.zeros(len(used), SUM)
+                cells["at"], cells["n"] = used, n[used]
+                cells["g"], cells["h"] = (np.bincount(at, v, most * BINS)[used] for v in (gk, hk))
+                part = used // (BINS * NODES_TOGETHER)
+                bounds = np.searchsorted(part, np.arange(most // NODES_TOGETHER + 2))
+                out += [(k, p, cells[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+            if out:
+                yield pieces_of(out)
+
+    def splits(batches):
+        names = [c.split()[0] for c in SPLIT.split(", ")]
+        for kind, part, blobs in grouped_blobs(batches):
+            if kind == SCORES:
+                totals = sum(np.frombuffer(b"".join(blobs), np.float64).reshape(-1, 4, task["models"]))
+                nothing = np.zeros(task["models"])
+                cells = [np.arange(task["models"]), np.full(task["models"], SCORES), nothing, nothing, [b""] * task["models"], *[nothing] * 2, *totals]
+            else:
+                cells_ = np.frombuffer(b"".join(blobs), SUM)
+                first, size = part * NODES_TOGETHER, NODES_TOGETHER * BINS
+                at = cells_["at"] - first * BINS
+                n, g, h = (np.bincount(at, cells_[c], size).reshape(-1, BINS) for c in ("n", "g", "h"))
+                some = np.flatnonzero(n.any(1))
+                gain, bins, masks, left, whole = best_splits(n[some], g[some], h[some], kind in task["nominal"], params.min_leaf, params.l1, params.l2)
+                cells = [some + first, np.full(len(some), kind), gain, bins, [m.tobytes() for m in masks], left[1], left[2], left[0], whole[1], whole[2], whole[0]]
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), *[pa.float64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c) if not isinstance(c, list) else c).cast(t) for c, t in zip(cells, types, strict=True)], names)
+
+    nodes = max(int(s.max()) for s in task["slots"].values()) + 1
+    work = -(-len(task["features"]) * nodes // HISTOGRAMS_PER_TASK)
+    found = met(state.mapInArrow(sums, PIECE), work).mapInArrow(splits, SPLIT)
+    fields = [c.split()[0] for c in SPLIT.split(", ") if not c.startswith("gain")]
+    # Of equal gains the first feature wins, in whatever order the pieces come.
+    best = F.max(F.struct(F.col("gain"), (-F.col("feature")).alias("before"), *fields)).alias("best")
+    scores = F.col("feature") == SCORES
+    return found.groupBy(scores.alias("scores"), "slot").agg(best).select("scores", "best.*")
+
+
+def met(pieces: DataFrame, tasks: int) -> DataFrame:
+    """Pieces of one kind and part side by side in a task."""
+    most = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(max(1, min(most, tasks)), "kind", "part").sortWithinPartitions("kind", "part")
+
+
+def weighted_medians(state: DataFrame, task: dict, l1: float, l2: float) -> dict[int, float]:
+    """Per node of ``task['slots']`` the weighted median of the residuals, exactly, by counting.
+
+    Each pass parts the interval that holds the median, sums weights by bin and keeps the bin; the driver
+    has one interval per node. The first penalty acts like one more residual of zero with its weight, the
+    second shrinks the step by the share of the node's weight in both, as it does for the other losses.
+    """
+    params, width = task["params"], task["width"]
+    most = max(int(s.max()) for s in task["slots"].values()) + 1
+    low, high = np.full(most, -np.inf), np.full(most, np.inf)
+    below, total, after, done = np.zeros(most), np.full(most, np.nan), np.full(most, np.inf), {}
+    open_ = np.ones(most, bool)
+
+    def one_pass():
+        def spans(batches):
+            growing = Forest(list(task["growing"].values()))
+            roots = np.full(task["models"], -1)
+            roots[list(task["growing"])] = growing.roots
+            slots = np.concatenate([task["slots"][m] for m in task["growing"]])
+            for rows in rows_of(batches, width):
+                rows.add(task["pending"], task["models"], params.learning_rate)
+                own = np.flatnonzero(rows.train & (roots[rows.m] >= 0) & (rows.w > 0) & in_bag(rows.h, params, task["round"]))
+                slot = slots[growing.descend(roots[rows.m[own]], rows.x[own])]
+                own, slot = own[slot >= 0], slot[slot >= 0]
+                r = rows.y[own] - rows.f[own]
+                inside = open_[slot] & (r >= low[slot]) & (r <= high[slot])
+                r, slot, w = r[inside], slot[inside], rows.w[own[inside]]
+                yield from pieces(slot, r, r, w)
+
+        def pieces(slot, lowest, highest, w):
+            cells = summed(slot * MEDIAN_BINS + binned(slot, lowest), lowest, highest, w)
+            part = cells["at"] // (MEDIAN_BINS * LEAVES_TOGETHER)
+            bounds = np.searchsorted(part, np.arange(most // LEAVES_TOGETHER + 2))
+            out = [(0, p, cells[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+            if out:
+                yield pieces_of(out)
+
+        def binned(slot, r):
+            known = np.isfinite(low[slot]) & (high[slot] > low[slot])
+            start, span = np.where(known, low[slot], 0.0), np.where(known, high[slot] - low[slot], np.inf)
+            return np.clip(((r - start) / span * MEDIAN_BINS).astype(np.int64), 0, MEDIAN_BINS - 1)
+
+        def summed(at, lowest, highest, w):
+            order = np.argsort(at, kind="stable")
+            at, lowest, highest, w = at[order], lowest[order], highest[order], w[order]
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            cells = np.zeros(len(starts), SPAN)
+            if len(starts):
+                cells["at"], cells["w"] = at[starts], np.add.reduceat(w, starts)
+                cells["low"], cells["high"] = np.minimum.reduceat(lowest, starts), np.maximum.reduceat(highest, starts)
+            return cells
+
+        def places(batches):
+            for _, _, blobs in grouped_blobs(batches):
+                cells = np.frombuffer(b"".join(blobs), SPAN)
+                at, lowest, highest, w = cells["at"].astype(np.int64), cells["low"], cells["high"], cells["w"]
+                if l1:
+                    nodes = np.unique(at // MEDIAN_BINS)
+                    nodes = nodes[(low[nodes] <= 0) & (high[nodes] >= 0)]
+                    zero = np.zeros(len(nodes))
+                    at = np.append(at, nodes * MEDIAN_BINS + binned(nodes, zero))
+                    lowest, highest, w = np.append(lowest, zero), np.append(highest, zero), np.append(w, zero + l1)
+                cells = summed(at, lowest, highest, w)
+                node = cells["at"] // MEDIAN_BINS
+                out = []
+                for s in np.unique(node).tolist():
+                    own = cells[node == s]
+                    weight = own["w"].sum() if np.isnan(total[s]) else total[s]
+                    value, left = crossing(own["low"], own["high"], own["w"], below[s], weight, after[s])
+                    out.append((s, value, *(left or (0.0, 0.0, 0.0, 0.0)), weight))
+                kinds = [pa.int32(), *[pa.float64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], PLACE_NAMES)
+
+        schema = "slot int, value double, low double, high double, below double, after double, total double"
+        return met(state.mapInArrow(spans, PIECE), -(-most // LEAVES_TOGETHER)).mapInArrow(places, schema).collect()
+
+    while open_.any():
+        found = one_pass()
+        seen = {r["slot"] for r in found}
+        for r in found:
+            s = r["slot"]
+            if r["value"] is not None:
+                own = r["total"] - l1
+                done[s], open_[s] = r["value"] * (own / (own + l2) if own else 0.0), False
+            low[s], high[s], below[s], after[s], total[s] = r["low"], r["high"], r["below"], r["after"], r["total"]
+        for s in np.flatnonzero(open_).tolist():
+            if s not in seen:  # a node without rows in the bag
+                done[s], open_[s] = 0.0, False
+    return done
+
+
+PLACE_NAMES = ["slot", "value", "low", "high", "below", "after", "total"]
+
+
+# --- rounds ---------------------------------------------------------------------------
+
+
+@dataclass
+class Progress:
+    """What a fit knows of one model: all but its trees."""
 
+    start: float
+    rows: int
+    held: int
+    importances: np.ndarray
+    history: list[dict] = field(default_factory=list)
+    best: tuple[float, int] = (float("inf"), 0)
+    active: bool = True
+    # How much of the history the store has.
+    recorded: int = 0
+
+    def note(self, done: int, loss: float, error: float, early_stop: int) -> None:
+        """Record the scores of ``done`` trees; the model stops when its error has not fallen for long."""
+        mean = error / self.held if self.held else None
+        self.history.append({"round": done, "loss": loss / self.rows, "valid_mae": mean})
+        if mean is not None and mean < self.best[0]:
+            self.best = (mean, done)
+        if mean is not None and early_stop and done - self.best[1] >= early_stop:
+            self.active = False
+
+
+class Rounds:
+    """A fit of several models at once, round by round, over one table of rows.
+
+    ``store`` gets the trees (``trees``), the table of rows with their scores (``state``) and what is
+    known of the models (``done``, written last) every few rounds. The trees since then and the one being
+    grown are all the driver holds.
+    """
 
-def _gradients(params: BoostParams) -> tuple[Column, Column, Column]:
-    """Gradient, curvature and loss at the score ``_f`` and target ``_y``."""
-    f, y = F.col("_f"), F.col("_y")
-    residual = f - y
-    one = F.lit(1.0)
-    if params.objective == "squared":
-        return residual, one, residual * residual / 2
-    if params.objective == "absolute":
-        return F.signum(residual), one, F.abs(residual)
-    if params.objective == "huber":
-        d = F.lit(float(params.huber_delta))
-        loss = F.when(F.abs(residual) <= d, residual * residual / 2).otherwise(
-            d * (F.abs(residual) - d / 2)
+    def __init__(
+        self, rows: DataFrame, names: list[str], binning: Binning, params: BoostParams, store: str, allowed: np.ndarray | None
+    ):
+        self.allowed = allowed
+        self.spark, self.names, self.binning, self.params, self.store = rows.sparkSession, names, binning, params, store
+        self.pending: list[dict[int, np.ndarray]] = []
+        self.round, self.noted = 0, 0
+        if not self._resume():
+            self._begin(rows)
+
+    # What every pass is told.
+    def _task(self, growing, slots, features=(), scores=False) -> dict:
+        nominal = {k for k, n in enumerate(self.binning.nominal) if n}
+        return {
+            "params": self.params, "width": len(self.binning.features), "round": self.round, "models": len(self.names),
+            "pending": self.pending, "growing": growing, "slots": slots, "features": list(features), "nominal": nominal,
+            "scores": scores, "allowed": self.allowed,
+        }
+
+    def _keep(self, state: DataFrame, count: int) -> DataFrame:
+        parts = max(1, -(-count // ROWS_PER_TASK))
+        return state.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _begin(self, rows: DataFrame) -> None:
+        spark, params = self.spark, self.params
+        y = F.col("_y")
+        plain = rows.select("_m", (F.log1p(y) if params.log_target else y).alias("_y"), "_w", "_valid", "_h", "_x")
+        table = write_table(plain.withColumn("_f", F.lit(0.0)), "boost")
+        sums = table.groupBy("_m", "_valid").agg(
+            F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wy")
         )
-        return F.greatest(-d, F.least(d, residual)), one, loss
-    p = params.tweedie_power
-    low, high = F.exp((1 - p) * f), F.exp((2 - p) * f)
-    loss = high / (2 - p) - y * low / (1 - p)
-    return high - y * low, (2 - p) * high - (1 - p) * y * low, loss
+        found = {(r["_m"], r["_valid"]): r for r in sums.collect()}
+        trained = sorted(m for m, valid in found if not valid)
+        means = {m: found[m, False]["wy"] / found[m, False]["w"] if found[m, False]["w"] else 0.0 for m in trained}
+        if params.objective == "absolute" and trained:
+            whole = {m: leaf() for m in trained}
+            task = self._task(whole, {m: np.array([m]) for m in trained})
+            # All rows count for the start value, whatever share a round draws.
+            task["params"] = replace(params, row_share=1.0)
+            means = weighted_medians(table, task, 0.0, 0.0)
+        elif params.objective == "tweedie":
+            means = {m: math.log(max(v, 1e-12)) for m, v in means.items()}
+        width = len(self.binning.features)
+        self.progress = {
+            m: Progress(float(means[m]), found[m, False]["n"], found[m, True]["n"] if (m, True) in found else 0, np.zeros(width))
+            for m in trained
+        }
+        pairs = [x for m, p in self.progress.items() for x in (F.lit(m), F.lit(p.start))]
+        starts = F.create_map(*pairs)[F.col("_m")] if pairs else F.lit(0.0)
+        kept = table.where(F.col("_m").isin(trained)).withColumn("_f", starts)
+        self.count = sum(p.rows + p.held for p in self.progress.values())
+        self.state = self._keep(kept, self.count)
+
+    def _resume(self) -> bool:
+        """Go on from the last record in the store, if there is one."""
+        records = f"{self.store}/done"
+        if not exists(self.spark, records):
+            return False
+        for r in sorted(self.spark.read.json(records, schema=RECORD).collect(), key=lambda r: r["round"]):
+            known = json.loads(r["models"])
+            if self.round == 0:
+                self.progress = {int(m): Progress(k["start"], k["rows"], k["held"], np.array(k["importances"])) for m, k in known.items()}
+            for m, k in known.items():
+                p = self.progress[int(m)]
+                p.history += k["history"]
+                p.recorded = len(p.history)
+                p.importances, p.best, p.active = np.array(k["importances"]), tuple(k["best"]), k["active"]
+            self.round, self.noted, self.count = r["round"], r["noted"], r["count"]
+        self.state = self._keep(self.spark.read.parquet(f"{self.store}/state/{self.round:06d}"), self.count)
+        return True
+
+    def grow(self) -> None:
+        """One round: a tree for every model that has not stopped."""
+        params, width = self.params, len(self.binning.features)
+        growing = {m: leaf() for m, p in self.progress.items() if p.active}
+        gains = {m: np.zeros(width) for m in growing}
+        open_ = {m: [0] for m in growing}
+        own = drawn(range(width), params.tree_share, params.seed, self.round)
+        for level in range(params.max_depth):
+            slots, where = numbered(growing, open_)
+            if not where and not (level == 0 and self._unscored()):
+                break
+            features = drawn(own, params.level_share, params.seed, self.round, level)
+            task = self._task(growing, slots, features, level == 0 and self._unscored())
+            rows = level_sums(self.state, task).collect()
+            if task["scores"]:
+                self._note([r for r in rows if r["scores"]])
+                for m in [m for m in growing if not self.progress[m].active]:
+                    del growing[m], open_[m]
+            open_ = {m: [] for m in growing}
+            for r in rows:
+                if r["scores"] or where[r["slot"]][0] not in growing:
+                    continue
+                m, node = where[r["slot"]]
+                growing[m][node]["value"] = leaf_value(r["g"], r["h"], params)
+                if r["gain"] <= 0:
+                    continue
+                gains[m][r["feature"]] += r["gain"]
+                growing[m], children = parted(growing[m], node, r, params)
+                open_[m] += children
+        if params.objective == "absolute" and growing:
+            slots, where = numbered(growing, {m: np.flatnonzero(t["feature"] < 0).tolist() for m, t in growing.items()})
+            steps = weighted_medians(self.state, self._task(growing, slots), params.l1, params.l2)
+            for s, (m, node) in where.items():
+                growing[m][node]["value"] = steps[s]
+        if growing:
+            self.pending.append(growing)
+            self.round += 1
+            for m, t in growing.items():
+                self.progress[m].importances += gains[m]
+
+    def _unscored(self) -> bool:
+        return self.noted <= self.round
+
+    def _note(self, scores) -> None:
+        for r in scores:
+            p = self.progress.get(r["slot"])
+            if p is not None and p.active:
+                p.note(self.round, r["nl"], r["h"], self.params.early_stop)
+        self.noted = self.round + 1
+
+    def score_now(self) -> None:
+        """Scores of the trees so far, where no later round has taken them."""
+        growing = {m: leaf() for m, p in self.progress.items() if p.active}
+        if growing and self._unscored():
+            task = self._task(growing, {m: np.array([-1]) for m in growing}, (), True)
+            self._note(level_sums(self.state, task).collect())
+
+    def commit(self) -> None:
+        """Write trees, rows with their scores, and the record that makes them count; drop older rows."""
+        if not self.pending:
+            return
+        first, spark = self.round - len(self.pending), self.spark
+        cells = [
+            (self.names[m], first + k, tree.tobytes()) for k, trees in enumerate(self.pending) for m, tree in trees.items()
+        ]
+        made = spark.createDataFrame(cells, TREES).coalesce(1).sortWithinPartitions("round", "name")
+        made.write.mode("overwrite").parquet(f"{self.store}/trees/upto={self.round:06d}")
+        pending, models, width, rate = self.pending, len(self.names), len(self.binning.features), self.params.learning_rate
+
+        def scored(batches):
+            for batch in batches:
+                rows = Rows([batch], width)
+                rows.add(pending, models, rate)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows.f)], list(COLUMNS))
+
+        active = [m for m, p in self.progress.items() if p.active]
+        path = f"{self.store}/state/{self.round:06d}"
+        rows = self.state.where(F.col("_m").isin(active)).select(*COLUMNS)
+        rows.mapInArrow(scored, rows.schema).write.mode("overwrite").parquet(path)
+        known = {
+            m: {
+                "start": p.start, "rows": p.rows, "held": p.held, "importances": p.importances.tolist(), "best": p.best,
+                "active": p.active, "history": p.history[p.recorded :],
+            }
+            for m, p in self.progress.items()
+        }
+        for p in self.progress.values():
+            p.recorded = len(p.history)
+        self.count = sum(self.progress[m].rows + self.progress[m].held for m in active)
+        record = spark.createDataFrame([(self.round, self.noted, self.count, json.dumps(known))], RECORD)
+        record.coalesce(1).write.mode("append").json(f"{self.store}/done")
+        self.state.unpersist()
+        self.state = self._keep(spark.read.parquet(path), self.count)
+        self.pending = []
+        if first:
+            delete(spark, f"{self.store}/state/{first:06d}")
+
+    def run(self) -> None:
+        while self.round < self.params.rounds and any(p.active for p in self.progress.values()):
+            before = self.round
+            self.grow()
+            if self.round == before:
+                break
+            if self.round % self.params.write_every == 0:
+                self.commit()
+        self.score_now()
+        if self.progress:
+            self.commit()
+        self.state.unpersist()
+
+    def models(self) -> dict[str, BoostedTrees]:
+        out = {}
+        for m, p in self.progress.items():
+            total = p.importances.sum()
+            kept = p.best[1] if p.held else self.round
+            shares = p.importances / total if total else p.importances
+            out[self.names[m]] = BoostedTrees(
+                self.binning, self.params, p.start, self.store, self.names[m], tuple(shares.tolist()), kept, tuple(p.history)
+            )
+        return out
 
 
-def _start_value(train: DataFrame, mean: float, params: BoostParams) -> float:
-    if params.objective == "absolute":
-        return exact_quantiles(train, "_y", [0.5])[()].values[0]
-    return float(np.log(mean)) if params.objective == "tweedie" else float(mean)
+RECORD = "round int, noted int, count long, models string"
+TREES = "name string, round int, nodes binary"
 
 
-def _leaf_value(g: float, h: float, params: BoostParams) -> float:
-    shrunk = np.sign(g) * max(abs(g) - params.l1, 0.0)
-    return float(-shrunk / (h + params.l2)) if h + params.l2 > 0 else 0.0
+def numbered(trees: dict[int, np.ndarray], nodes: dict[int, list[int]]):
+    """Numbers for the given nodes: per tree an array over its nodes (-1: none), and the node of each number."""
+    slots = {m: np.full(len(t), -1) for m, t in trees.items()}
+    where = {}
+    for m, some in nodes.items():
+        for node in some:
+            slots[m][node] = len(where)
+            where[len(where)] = (m, node)
+    return slots, where
 
 
-def _in_bag(params: BoostParams, round_: int) -> Column:
-    """Row sample of a round by hash of the key: the same after a lost executor."""
-    if params.row_share >= 1:
-        return ~F.col("_valid")
-    part = F.pmod(F.xxhash64("_key", F.lit(params.seed), F.lit(round_)), F.lit(10_000))
-    return ~F.col("_valid") & (part < int(params.row_share * 10_000))
+def parted(tree: np.ndarray, node: int, r, params: BoostParams) -> tuple[np.ndarray, list[int]]:
+    """The tree with a split at ``node``, and those of its children that may be split again."""
+    first, children = len(tree), []
+    tree = np.concatenate([tree, leaf(), leaf()])
+    tree[node]["feature"], tree[node]["bin"] = r["feature"], r["bin"]
+    tree[node]["left"], tree[node]["right"] = first, first + 1
+    tree[node]["mask"] = np.frombuffer(r["mask"], np.uint8)
+    sides = ((r["gl"], r["hl"], r["nl"]), (r["g"] - r["gl"], r["h"] - r["hl"], r["n"] - r["nl"]))
+    for k, (g, h, n) in enumerate(sides):
+        tree[first + k]["value"] = leaf_value(g, h, params)
+        if n >= 2 * max(params.min_leaf, 1):
+            children.append(first + k)
+    return tree, children
 
 
-def assemble(
-    df: DataFrame,
-    features,
-    label: str = "y",
-    weight: str | None = None,
-    key: str = "quote_id",
-    keep=(),
-) -> DataFrame:
-    """Training rows with one feature vector, written and kept for several fits."""
-    inputs = [feature_value(c).alias(f"_in{n}") for n, c in enumerate(features)]
-    flat = df.where(F.col(label).isNotNull()).select(
-        F.col(key).alias("_key"),
-        F.col(label).cast("double").alias("_y"),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
-        *keep,
-        *inputs,
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fit_rows(
+    rows: DataFrame, names, binning: Binning, params: BoostParams, store: str | None = None, name: str = "insurer",
+    allowed: dict[str, tuple[str, ...]] | None = None,
+) -> dict[str, BoostedTrees]:
+    """Train on packed rows: ``name``, ``_y``, ``_w``, ``_valid``, ``_h`` (hash of the key) and ``_x``.
+
+    Names without training rows get no model. ``allowed`` names the features on which a model may split.
+    A ``store`` that holds a stopped fit of the same rows and settings is gone on from.
+    """
+    names = list(names)
+    may = None
+    if allowed is not None:
+        may = np.array([[c in set(allowed.get(n, ())) for c in binning.features] for n in names])
+    numbers = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
+    numbered_ = rows.withColumn("_m", numbers[F.col(name)]).where("_m IS NOT NULL AND _y IS NOT NULL")
+    fit = Rounds(numbered_, names, binning, params, store or scratch_path(rows.sparkSession, "model"), may)
+    fit.run()
+    return fit.models()
+
+
+def packed_rows(
+    df: DataFrame, binning: Binning, label: str = "y", weight: str | None = None, valid: Column | None = None,
+    key: str = "quote_id", keep=(),
+) -> DataFrame:
+    """Rows as ``fit_rows`` takes them; null labels are left out."""
+    held = F.coalesce(valid if valid is not None else F.lit(False), F.lit(False))
+    cells = df.where(F.col(label).isNotNull()).withColumns(
+        {
+            "_y": F.col(label).cast("double"),
+            "_w": F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0),
+            "_valid": held,
+            "_h": F.xxhash64(key),
+        }
     )
-    names = [f"_in{n}" for n in range(len(features))]
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(flat).drop(*names)
-    return write_table(rows, "boost").persist(StorageLevel.MEMORY_AND_DISK)
+    return binning.packed(cells, [*keep, "_y", "_w", "_valid", "_h"])
 
 
 def fit_boosted(
@@ -253,186 +715,160 @@ def fit_boosted(
     weight: str | None = None,
     valid: Column | None = None,
     key: str = "quote_id",
+    nominal=(),
+    store: str | None = None,
 ) -> BoostedTrees | None:
-    """Train on the rows where ``valid`` is not true; none if there are no such rows.
+    """Train one model on the rows where ``valid`` is not true; none if there are no such rows.
 
-    The absolute loss takes unweighted medians, so it takes no ``weight``.
+    With validation rows the model stops early and keeps the rounds of lowest mean absolute error on
+    the price scale. A null weight counts as none.
     """
-    if weight and params.objective == "absolute":
-        raise ValueError("the absolute loss takes no weight")
     held = F.coalesce(valid if valid is not None else F.lit(False), F.lit(False))
-    rows = assemble(df.withColumn("_held", held), features, label, weight, key, ("_held",))
-    model = fit_assembled(rows, features, params, F.col("_held"))
-    rows.unpersist()
-    return model
+    binning = fit_bins(df.where(~held & F.col(label).isNotNull()), features, params.max_bins, nominal)
+    rows = packed_rows(df, binning, label, weight, held, key).withColumn("insurer", F.lit("model"))
+    return fit_rows(rows, ["model"], binning, params, store).get("model")
 
 
-def fit_assembled(
-    rows: DataFrame, features, params: BoostParams, valid: Column | None = None
-) -> BoostedTrees | None:
-    """Train on rows from ``assemble``.
+# --- scores ---------------------------------------------------------------------------
 
-    With validation rows the model stops early and keeps the rounds of lowest mean
-    absolute error on the price scale.
-    """
-    features = tuple(features)
-    y = F.col("_y")
-    stored = rows.select(
-        "_key",
-        (F.log1p(y) if params.log_target else y).alias("_y"),
-        "_w",
-        F.coalesce(valid if valid is not None else F.lit(False), F.lit(False)).alias("_valid"),
-        "_x",
-    )
-    # The rows given stay; only score tables written below are released here.
-    written: DataFrame | None = None
-    train = stored.where(~F.col("_valid"))
-    summary = {
-        r["_valid"]: (r["n"], r["mean"])
-        for r in stored.groupBy("_valid")
-        .agg(
-            F.count("*").alias("n"),
-            F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("mean"),
-        )
-        .collect()
-    }
-    if False not in summary:
-        return None
-    counts = {k: n for k, (n, _) in summary.items()}
-
-    g, h, loss = _gradients(params)
-    start = _start_value(train, summary[False][1], params)
-    state = stored.withColumn("_f", F.lit(start))
-    trees, history = [], []
-    importances = np.zeros(len(features))
-    best = (float("inf"), 0)
-    price_error = F.abs(to_price(F.col("_f"), params) - _price_target(params))
-    has_valid = bool(counts.get(True))
-    scores = [
-        F.sum(F.when(~F.col("_valid"), F.col("_w") * loss)).alias("loss"),
-        F.sum(F.when(F.col("_valid"), price_error)).alias("error"),
-    ]
+# Bytes of trees a worker keeps at hand; what a store holds beyond that is read again for every batch of rows.
+KEPT_TREES = 64 << 20
 
-    def note(rows, done: int) -> bool:
-        """Record the scores of ``done`` trees; true when training should stop."""
-        nonlocal best
-        train_loss = sum(r["loss"] or 0.0 for r in rows) / counts[False]
-        error = sum(r["error"] or 0.0 for r in rows) / counts[True] if has_valid else None
-        history.append({"round": done, "loss": train_loss, "valid_mae": error})
-        if error is not None and error < best[0]:
-            best = (error, done)
-        return bool(has_valid and params.early_stop and done - best[1] >= params.early_stop)
-
-    stopped = False
-    for round_ in range(params.rounds):
-        bag = _in_bag(params, round_)
-        learner = RandomForestRegressor(
-            featuresCol="_x",
-            labelCol="_target",
-            weightCol="_weight",
-            predictionCol="_pred",
-            leafCol="_leaf",
-            numTrees=1,
-            bootstrap=False,
-            featureSubsetStrategy="all" if params.column_share >= 1 else str(params.column_share),
-            maxDepth=params.max_depth,
-            maxBins=params.max_bins,
-            minInstancesPerNode=params.min_leaf,
-            minInfoGain=0.0,
-            seed=params.seed + round_,
-        )
-        targets = state.withColumns({"_target": -g / h, "_weight": F.col("_w") * h})
-        model = learner.fit(targets.where(bag).select("_x", "_target", "_weight"))
-        importances += model.featureImportances.toArray()
-        leaf = vector_to_array(F.col("_leaf"))[0].cast("int")
-        placed = model.transform(state).withColumn("_leaf", leaf)
-        sums = (
-            placed.groupBy("_leaf")
-            .agg(
-                F.sum(F.when(bag, F.col("_w") * g)).alias("g"),
-                F.sum(F.when(bag, F.col("_w") * h)).alias("h"),
-                *scores,
-            )
-            .collect()
-        )
-        stopped = note(sums, round_)
-        if stopped:
-            break
-        values = {r["_leaf"]: _leaf_value(r["g"] or 0.0, r["h"] or 0.0, params) for r in sums}
-        if params.objective == "absolute":
-            residual = placed.where(bag).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
-            found = exact_quantiles(residual, "_r", [0.5], by=["_leaf"])
-            values.update({k[0]: q.values[0] for k, q in found.items()})
-        trees.append(_read_tree(model.trees[0].toDebugString, values))
-        pairs = [F.lit(v) for k, x in values.items() for v in (int(k), float(x))]
-        step = F.coalesce(F.element_at(F.create_map(*pairs), F.col("_leaf")), F.lit(0.0))
-        state = placed.select(
-            "_key",
-            "_y",
-            "_w",
-            "_valid",
-            "_x",
-            (F.col("_f") + params.learning_rate * step).alias("_f"),
-        )
-        if (round_ + 1) % params.write_every == 0 and round_ + 1 < params.rounds:
-            fresh = write_table(state, "boost").persist(StorageLevel.MEMORY_AND_DISK)
-            if written is not None:
-                written.unpersist()
-            state = written = fresh
-    if not stopped:
-        note(state.agg(*scores).collect(), len(trees))
-    if written is not None:
-        written.unpersist()
-
-    keep = best[1] if has_valid else len(trees)
-    total = importances.sum()
-    return BoostedTrees(
-        features,
-        params,
-        start,
-        tuple(trees[:keep]),
-        tuple((importances / total if total else importances).tolist()),
-        keep,
-        tuple(history),
-    )
 
+def read_trees(store: str, name: str, rounds: int):
+    """Trees of a model, read one piece after another from its store."""
+    from pyarrow import dataset, fs
 
-def _price_target(params: BoostParams) -> Column:
-    return F.expm1("_y") if params.log_target else F.col("_y")
+    scheme, colon, rest = store.partition(":")
+    remote = colon and scheme != "file" and rest.startswith("//")
+    system, path = fs.FileSystem.from_uri(store) if remote else (fs.LocalFileSystem(), "/" + store.removeprefix("file:").lstrip("/"))
+    found = dataset.dataset(f"{path}/trees", filesystem=system, format="parquet")
+    wanted = (dataset.field("name") == name) & (dataset.field("round") < rounds)
+    for batch in found.to_batches(columns=["nodes"], filter=wanted, batch_size=256, batch_readahead=1, fragment_readahead=1):
+        if batch.num_rows:
+            trees = [np.frombuffer(b, NODE) for b in batch.column(0).to_pylist()]
+            yield Forest(trees)
 
 
-# --- stored models ---------------------------------------------------------------
+class Shelf:
+    """Trees of models, kept up to a number of bytes, else read anew."""
 
+    def __init__(self, most: int):
+        self.most, self.size, self.kept = most, 0, {}
 
-def model_nodes(spark: SparkSession, models: dict[str, BoostedTrees]) -> DataFrame:
-    """All trees of all models as rows, one per node."""
-    rows = [
-        (name, r, n, *cell)
-        for name, m in models.items()
-        for r, t in enumerate(m.trees)
-        for n, cell in enumerate(zip(t.feature, t.threshold, t.left, t.right, t.value))
-    ]
-    schema = (
-        "insurer string, round int, node int, feature int, threshold double, left int, "
-        "right int, value double"
-    )
-    return spark.createDataFrame(rows, schema)
+    def of(self, store: str, name: str, rounds: int):
+        at = (store, name, rounds)
+        if at in self.kept:
+            yield from self.kept[at]
+            return
+        some: list | None = []
+        for forest in read_trees(store, name, rounds) if rounds else ():
+            self.size += len(forest.value) * NODE.itemsize
+            if self.size > self.most:
+                some = None
+            if some is not None:
+                some.append(forest)
+            yield forest
+        if some is not None:
+            self.kept[at] = some
+
+
+def score_own(models: dict[str, BoostedTrees], name="insurer", binned: Binning | None = None) -> Column:
+    """Price of each row by the model that ``name`` (a column) names; null where there is none.
+
+    With ``binned``, the binning of all models, rows have their features as bytes ``_x``.
+    """
+    if not models:
+        return F.lit(None).cast("double")
+    name = F.col(name) if isinstance(name, str) else name
+    inputs = list(dict.fromkeys(c for m in models.values() for c in m.features))
+    plans = [(m.binning, m.start, m.params.learning_rate, m.store, m.name, m.best_iteration) for m in models.values()]
+    width, trees, packed = len(inputs), Shelf(KEPT_TREES), binned is not None
+
+    @F.arrow_udf("double")
+    def score(rows: pa.Array, which: pa.Array) -> pa.Array:
+        n, which = len(rows), which.to_numpy(zero_copy_only=False)
+        if packed:
+            x = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(n, -1)
+        else:
+            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        out = np.full(n, np.nan)
+        for k, (binning, start, rate, store, model, rounds) in enumerate(plans):
+            own = np.flatnonzero(which == k)
+            if not len(own):
+                continue
+            bins = x[own] if packed else binning.of([np.ascontiguousarray(x[own, inputs.index(c)]) for c in binning.features])
+            total = np.full(len(own), start)
+            for forest in trees.of(store, model, rounds):
+                for root in forest.roots.tolist():
+                    total += rate * forest.value[forest.descend(np.full(len(own), root), bins)]
+            out[own] = total
+        return pa.array(out)
+
+    missing = F.lit(float("nan"))
+    numbers = F.create_map(*[x for k, n in enumerate(models) for x in (F.lit(n), F.lit(k))])
+    rows = F.col("_x") if packed else F.array(*[F.coalesce(number(c), missing) for c in inputs])
+    raw = F.nanvl(score(rows, F.coalesce(numbers[name], F.lit(-1))), F.lit(None).cast("double"))
+    (params,) = {m.params for m in models.values()}
+    return to_price(raw, params)
+
+
+def score_models(models: dict[str, BoostedTrees]) -> dict[str, Column]:
+    """Price expression per model; all models share one Arrow pass over the rows.
+
+    Tasks read the trees from the stores, a bounded piece at a time; neither the driver nor the query
+    holds them.
+    """
+    inputs = list(dict.fromkeys(c for m in models.values() for c in m.features))
+    plans = [(m.binning, m.start, m.params.learning_rate, m.store, m.name, m.best_iteration) for m in models.values()]
+    width, height = len(inputs), len(plans)
+    trees = Shelf(KEPT_TREES)
+
+    @F.arrow_udf("array<double>")
+    def score(rows: pa.Array) -> pa.Array:
+        n = len(rows)
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        columns = {c: np.ascontiguousarray(x[:, k]) for k, c in enumerate(inputs)}
+        bins: dict = {}
+        out = np.empty((n, height))
+        for k, (binning, start, rate, store, name, rounds) in enumerate(plans):
+            if id(binning) not in bins:
+                bins[id(binning)] = binning.of([columns[c] for c in binning.features])
+            out[:, k] = start
+            for forest in trees.of(store, name, rounds):
+                for root in forest.roots.tolist():
+                    out[:, k] += rate * forest.value[forest.descend(np.full(n, root), bins[id(binning)])]
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * height)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    missing = F.lit(float("nan"))
+    raw = score(F.array(*[F.coalesce(number(c), missing) for c in inputs]))
+    return {name: to_price(raw[n], m.params) for n, (name, m) in enumerate(models.items())}
 
 
+# --- stored models ---------------------------------------------------------------
+
 META_SCHEMA = (
-    "insurer string, features array<string>, params string, start double, "
-    "importances array<double>, best_iteration int, history string"
+    "insurer string, binning string, params string, start double, importances array<double>, "
+    "best_iteration int, history string"
 )
 
 
 def save_models(spark: SparkSession, models: dict[str, BoostedTrees], path: str) -> None:
-    """One partition of nodes per insurer and one record of settings each."""
-    nodes = model_nodes(spark, models)
-    nodes.write.mode("overwrite").partitionBy("insurer").parquet(f"{path}/nodes")
+    """The trees of all models as one table, copied from their stores, and one record of settings each."""
+    trees = None
+    for name, m in models.items():
+        stored = spark.read.parquet(f"{m.store}/trees") if m.best_iteration else spark.createDataFrame([], TREES)
+        own = stored.where((F.col("name") == m.name) & (F.col("round") < m.best_iteration))
+        own = own.select(F.lit(name).alias("name"), "round", "nodes")
+        trees = own if trees is None else trees.unionByName(own)
+    if trees is None:
+        trees = spark.createDataFrame([], TREES)
+    trees.write.mode("overwrite").parquet(f"{path}/trees")
     meta = [
         (
             name,
-            list(m.features),
+            json.dumps(asdict(m.binning)),
             json.dumps(asdict(m.params)),
             m.start,
             list(m.importances),
@@ -445,23 +881,22 @@ def save_models(spark: SparkSession, models: dict[str, BoostedTrees], path: str)
 
 
 def load_models(spark: SparkSession, path: str, insurers=None) -> dict[str, BoostedTrees]:
-    nodes = spark.read.parquet(f"{path}/nodes")
+    """Handles of stored models; their trees stay where they are."""
     meta = spark.read.json(f"{path}/meta", schema=META_SCHEMA)
     if insurers is not None:
-        nodes, meta = (t.where(F.col("insurer").isin(list(insurers))) for t in (nodes, meta))
-    trees: dict[str, list[Tree]] = {}
-    frame = nodes.toPandas().sort_values(["insurer", "round", "node"])
-    for (name, _), part in frame.groupby(["insurer", "round"], sort=True):
-        cells = (
-            tuple(part[c].tolist()) for c in ("feature", "threshold", "left", "right", "value")
-        )
-        trees.setdefault(name, []).append(Tree(*cells))
+        meta = meta.where(F.col("insurer").isin(list(insurers)))
+
+    def binning(text: str) -> Binning:
+        found = json.loads(text)
+        return Binning(tuple(found["features"]), tuple(found["nominal"]), tuple(map(tuple, found["values"])))
+
     return {
         r["insurer"]: BoostedTrees(
-            tuple(r["features"]),
+            binning(r["binning"]),
             BoostParams(**json.loads(r["params"])),
             r["start"],
-            tuple(trees.get(r["insurer"], ())),
+            path,
+            r["insurer"],
             tuple(r["importances"]),
             r["best_iteration"],
             tuple(json.loads(r["history"])),
@@ -470,13 +905,24 @@ def load_models(spark: SparkSession, path: str, insurers=None) -> dict[str, Boos
     }
 
 
-# --- feature choice and scoring -------------------------------------------------------
+# --- feature choice -------------------------------------------------------------------
+
+
+def importance_table(spark: SparkSession, models: dict[str, BoostedTrees]) -> DataFrame:
+    """One row per model and feature; ``place`` is the feature's position among the inputs."""
+    rows = [
+        (name, place, feature, float(share))
+        for name, m in sorted(models.items())
+        for place, (feature, share) in enumerate(zip(m.features, m.importances, strict=True))
+    ]
+    return spark.createDataFrame(rows, "insurer string, place int, feature string, importance double")
 
 
-def ranked_features(model: BoostedTrees) -> list[tuple[str, float]]:
-    """Features by falling importance; equal ones keep their order."""
-    pairs = zip(model.features, model.importances)
-    return sorted(pairs, key=lambda p: -p[1])
+def top_features(spark: SparkSession, models: dict[str, BoostedTrees], top_n: int = 20) -> DataFrame:
+    """The most important features of each model; of equal ones the earlier input comes first."""
+    order = Window.partitionBy("insurer").orderBy(F.desc("importance"), "place")
+    ranked = importance_table(spark, models).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= top_n).select("insurer", "rank", "feature", "importance")
 
 
 def select_features(
@@ -489,21 +935,10 @@ def select_features(
     label: str = "y",
 ) -> tuple[list[str], list[str]]:
     """Names of the most important features of a scout model, and the categories of them."""
-    scout = fit_boosted(df, features, params or PRESETS["scout"], label, valid=valid)
+    params = params or PRESETS["scout"]
+    scout = fit_boosted(df, features, params, label, valid=valid, nominal=categorical if params.nominal else ())
     if scout is None:
         return [], []
-    chosen = [name for name, _ in ranked_features(scout)[:top_n]]
-    kept = set(chosen)
-    return chosen, [c for c in categorical if c in kept]
-
-
-def top_features(
-    spark: SparkSession, models: dict[str, BoostedTrees], top_n: int = 20
-) -> DataFrame:
-    rows = [
-        (name, n + 1, feature, float(share))
-        for name, m in sorted(models.items())
-        for n, (feature, share) in enumerate(ranked_features(m)[:top_n])
-    ]
-    return spark.createDataFrame(rows, "insurer string, rank int, feature string, importance double")
-
+    best = top_features(df.sparkSession, {"scout": scout}, top_n).orderBy("rank").collect()
+    chosen = [r["feature"] for r in best]
+    return chosen, [c for c in categorical if c in set(chosen)]

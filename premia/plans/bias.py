@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.operators import boost, encode, evaluate, stack, stats
+from premia.operators.bins import fit_bins
 from premia.operators.longform import quoted_rows
 from premia.plans import fitting
 from premia.plans.stacking import _te_name
@@ -27,32 +28,15 @@ def insample_predictions(
     quoted = write_table(quoted_rows(prepared.train, ["quote_id", *texts], insurers), "quoted")
     capped = stats.fit_target_cap(quoted).transform(quoted)
     encoding = encode.fit_target_encoding(capped, texts)
-    names = [*prepared.inputs, *[f"{c}_te" for c in encoded]]
-    targets = capped.select("quote_id", "insurer", "y")
-
-    def run(insurer: str) -> DataFrame | None:
-        mine = targets.where(F.col("insurer") == insurer)
-        if mine.isEmpty():
-            return None
-        rows = encoding.transform(prepared.train.join(mine, "quote_id"), _te_name)
-        own = write_table(rows.select("quote_id", "insurer", "y", *names), "own")
-        vectors = boost.assemble(own, names)
-        models = {
-            n: boost.fit_assembled(vectors, names, p) for n, p in (("a", params_a), ("b", params_b))
-        }
-        vectors.unpersist()
-        scored = boost.score_models(models)
-        mean = stack.simple_average(scored["a"], scored["b"])
-        return own.select("quote_id", "insurer", "y", mean.alias("pred"))
-
-    parts = list(fitting.per_insurer(insurers, run).values())
-    if not parts:
-        none = targets.where("false").withColumn("pred", F.lit(0.0))
-        return prepared, none.select("quote_id", "insurer", "y", "pred")
-    preds = parts[0]
-    for part in parts[1:]:
-        preds = preds.unionByName(part)
-    return prepared, preds
+    codes = [f"{c}_te" for c in encoded]
+    wide = prepared.train.select("quote_id", *prepared.inputs)
+    # Every quote and insurer once, with the sums of its categories; all insurers are fitted together.
+    long = encoding.transform(capped, _te_name).select("quote_id", "insurer", "y", *codes).join(wide, "quote_id")
+    binning = fit_bins(long, [*prepared.inputs, *codes], max(params_a.max_bins, params_b.max_bins))
+    rows = write_table(boost.packed_rows(long, binning, keep=["quote_id", "insurer"]), "insample")
+    models_a, models_b = (boost.fit_rows(rows, insurers, binning, p) for p in (params_a, params_b))
+    mean = stack.simple_average(boost.score_own(models_a, "insurer", binning), boost.score_own(models_b, "insurer", binning))
+    return prepared, rows.select("quote_id", "insurer", F.col("_y").alias("y"), mean.alias("pred"))
 
 
 def bias_table(df: DataFrame, **kw) -> DataFrame:

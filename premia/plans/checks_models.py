@@ -1,8 +1,8 @@
 """Registered queries that train boosted trees, clusters or components.
 
-Rounds and depth are cut (SHORT), which leaves these queries short of the presets; ``boosted_trees`` and
-``fit_tweedie_bagged`` also take five features and the lowest price. All train on whole tables.
-Results are rows of metrics or checked invariants.
+All train on whole tables and all their features, with the depth, bins, penalties, samples and weights of
+the presets. ``FEW`` limits the rounds: the presets' own numbers are for fits that may run for hours and are
+resumed from their store. Results are rows of metrics or checked invariants.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.operators import boost, order, stack, stats
+from premia.operators import boost, stack, stats
 from premia.operators.features import engineer_features
 from premia.plans import bias, blend, fitting, mixed, stacking, standard
 from premia.plans.registry import query
-from premia.roles import PRICE_COLS
+from premia.roles import INSURERS
 from premia.session import scratch_path, write_table
 from premia.sources.quotes import block, quotes
 from premia.sources.submissions import PredictionStore
 
-SHORT = {"rounds": 2, "max_depth": 3, "max_bins": 32, "learning_rate": 0.3, "early_stop": 0}
+# Rounds, and how many without a lower error end a fit; each step is larger than those of the presets.
+FEW = {"rounds": 6, "learning_rate": 0.3, "early_stop": 2}
 # Features the scout keeps per insurer: fewer than there are.
 SELECTED = 30
 # Prices here are far larger than real premiums; the quadratic zone grows with them.
@@ -33,92 +34,71 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fit_mae")
 def fit_mae(spark, sf_dir):
-    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT)).metrics()
+    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **FEW)).metrics()
 
 
 @query("fit_rmse")
 def fit_rmse(spark, sf_dir):
-    params = boost.preset("rmse", **SHORT)
+    params = boost.preset("rmse", **FEW)
     return standard.fit(_blocks(spark, sf_dir), params, family="blend", capped=True).metrics()
 
 
 @query("fit_huber")
 def fit_huber(spark, sf_dir):
-    params = boost.preset("huber", huber_delta=HUBER_DELTA, **SHORT)
+    params = boost.preset("huber", huber_delta=HUBER_DELTA, **FEW)
     return standard.fit(_blocks(spark, sf_dir), params, family="blend", capped=True).metrics()
 
 
 @query("fit_l1_quick")
 def fit_l1_quick(spark, sf_dir):
-    params = boost.preset("l1_quick", **SHORT)
+    params = boost.preset("l1_quick", **FEW)
     prepared, models = standard.quick_baseline(_blocks(spark, sf_dir), params)
     return fitting.score_block(models, prepared.later)
 
 
 @query("fit_tweedie_a")
 def fit_tweedie_a(spark, sf_dir):
-    params = boost.preset("tweedie_a", **SHORT)
+    params = boost.preset("tweedie_a", **FEW)
     return standard.fit(_blocks(spark, sf_dir), params, family="full", weighted=True).metrics()
 
 
 @query("fit_tweedie_b")
 def fit_tweedie_b(spark, sf_dir):
-    params = boost.preset("tweedie_b", **SHORT)
+    params = boost.preset("tweedie_b", **FEW)
     return standard.fit(_blocks(spark, sf_dir), params, family="full", weighted=True).metrics()
 
 
 @query("fit_mae_fold")
 def fit_mae_fold(spark, sf_dir):
-    params = boost.preset("mae_fold", **SHORT)
+    params = boost.preset("mae_fold", **FEW)
     return standard.fit(_blocks(spark, sf_dir), params, family="full").metrics()
 
 
 @query("boosted_trees")
 def boosted_trees(spark, sf_dir):
-    """Training loss per round of every objective, for all prices of a block in one model."""
-    df = write_table(_one_price(_blocks(spark, sf_dir)), "one_price")
-    features = [c for c in df.columns if c not in ("quote_id", "y")]
-
-    def run(objective: str):
-        params = boost.BoostParams(
-            objective, 3, 0.3, 3, max_bins=32, huber_delta=HUBER_DELTA, row_share=0.9
-        )
-        return boost.fit_boosted(df, features, params)
-
-    models = fitting.per_insurer(boost.OBJECTIVES, run)
-    rows = [
-        (o, h["round"], h["loss"], n == 0 or h["loss"] < m.history[n - 1]["loss"])
-        for o, m in sorted(models.items())
-        for n, h in enumerate(m.history)
-    ]
-    return spark.createDataFrame(rows, "objective string, round int, loss double, falls boolean")
-
-
-def _one_price(df: DataFrame) -> DataFrame:
-    """Lowest price of each quoted request with its numeric features."""
-    rich = engineer_features(block(df, "block1"), "blend")
-    names = ["contractor_age", "vehicle_power", "vehicle_age", "value_per_age", "mean_deductible"]
-    return rich.select("quote_id", F.least(*PRICE_COLS).alias("y"), *names).where("y IS NOT NULL")
+    """Training loss per round of every objective and insurer, all insurers grown together."""
+    prepared = fitting.prepare(_blocks(spark, sf_dir), "blend")
+    rows = []
+    for objective in boost.OBJECTIVES:
+        params = boost.BoostParams(objective, 3, 0.3, max_bins=254, huber_delta=HUBER_DELTA, row_share=0.9)
+        for insurer, m in sorted(fitting.fit_with_holdout(prepared, params).items()):
+            losses = [h["loss"] for h in m.history]
+            rows += [(objective, insurer, n, x, n == 0 or x < losses[n - 1]) for n, x in enumerate(losses)]
+    return spark.createDataFrame(rows, "objective string, insurer string, round int, loss double, falls boolean")
 
 
 @query("fit_tweedie_bagged")
 def fit_tweedie_bagged(spark, sf_dir):
-    """Two bags of one fold, averaged: error of the bags and of their mean."""
-    df = _one_price(_blocks(spark, sf_dir)).withColumn("insurer", F.lit("lowest"))
-    folded = write_table(order.stratified_folds(order.decile_bins(df)), "folded")
-    train, valid = order.fold_split(folded, 0)
-    features = [c for c in df.columns if c not in ("quote_id", "y", "insurer")]
-    params = boost.preset("tweedie_bagged", **SHORT)
-    models = {}
-    for bag in range(2):
-        rows = order.bag_sample(train, bag=bag).withColumn("held", F.lit(False))
-        both = rows.unionByName(valid.withColumn("held", F.lit(True)))
-        models[f"bag{bag}"] = boost.fit_boosted(both, features, params, valid=F.col("held"))
-    scored = boost.score_models(models)
-    scored["mean"] = stack.mean_of(list(scored.values()))
-    return valid.select("y", *[p.alias(n) for n, p in scored.items()]).agg(
-        F.count("*").alias("n"),
-        *[F.avg(F.abs(F.col(n) - F.col("y"))).alias(f"mae_{n}") for n in scored],
+    """Two bags of every fold and insurer, averaged: out-of-fold error of the bags and of their mean."""
+    settings = stacking.Settings(boost.preset("tweedie_bagged", **FEW), boost.preset("tweedie_bagged", **FEW), bags=2)
+    inputs = stacking.stack_inputs(_blocks(spark, sf_dir), settings)
+    chosen = {i: inputs.binning.features for i in INSURERS}
+    models = stacking.fold_models(inputs, settings.params_a, settings, chosen, settings.bags)
+    bags = [stacking.price_of(models, F.col("fold"), bag, inputs.binning) for bag in range(settings.bags)]
+    scored = {"bag0": bags[0], "bag1": bags[1], "mean": stack.mean_of(bags)}
+    cells = inputs.rows.select("insurer", F.col("_y").alias("y"), *[p.alias(n) for n, p in scored.items()])
+    return cells.groupBy("insurer").agg(
+        F.count("*").alias("n"), *[F.avg(F.abs(F.col(n) - F.col("y"))).alias(f"mae_{n}") for n in scored]
     )
 
 
@@ -127,34 +107,34 @@ def fit_insample(spark, sf_dir):
     """Actual and in-sample predicted price of every training quote and insurer."""
     return bias.bias_table(
         _blocks(spark, sf_dir),
-        params_a=boost.preset("insample_a", **{**SHORT, "rounds": 1}),
-        params_b=boost.preset("insample_b", **{**SHORT, "rounds": 1}),
+        params_a=boost.preset("insample_a", **FEW),
+        params_b=boost.preset("insample_b", **FEW),
     )
 
 
 @query("select_features")
 def select_features(spark, sf_dir):
     """Scout importances per insurer: the chosen features in order."""
-    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("scout", **SHORT), family="blend")
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("scout", **FEW), family="blend")
     return boost.top_features(spark, fitted.models, SELECTED)
 
 
 @query("feature_importance_top")
 def feature_importance_top(spark, sf_dir):
-    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT))
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **FEW))
     return boost.top_features(spark, fitted.models, 20)
 
 
 @query("score_all_rows")
 def score_all_rows(spark, sf_dir):
     """Boosted price of every later quote and insurer."""
-    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **SHORT)).score()
+    return standard.fit(_blocks(spark, sf_dir), boost.preset("mae", **FEW)).score()
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     """Largest difference between scores of the fitted and the stored models."""
-    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("rmse", **SHORT))
+    fitted = standard.fit(_blocks(spark, sf_dir), boost.preset("rmse", **FEW))
     path = scratch_path(spark, "models")
     boost.save_models(spark, fitted.models, path)
     again = boost.load_models(spark, path)
@@ -174,8 +154,8 @@ def ensemble_blend(spark, sf_dir):
     """Blended prices of the later blocks for the three blended insurers."""
     fitted = blend.fit(
         _blocks(spark, sf_dir),
-        boost.preset("rmse", **SHORT),
-        boost.preset("huber", huber_delta=HUBER_DELTA, **SHORT),
+        boost.preset("rmse", **FEW),
+        boost.preset("huber", huber_delta=HUBER_DELTA, **FEW),
     )
     return fitted.score()
 
@@ -183,7 +163,7 @@ def ensemble_blend(spark, sf_dir):
 @query("mixed_models")
 def mixed_models(spark, sf_dir):
     fitted = mixed.fit(
-        _blocks(spark, sf_dir), boost.preset("mae", **SHORT), boost.preset("rmse", **SHORT)
+        _blocks(spark, sf_dir), boost.preset("mae", **FEW), boost.preset("rmse", **FEW)
     )
     return fitted.score()
 
@@ -192,7 +172,7 @@ def mixed_models(spark, sf_dir):
 def holdout_eval(spark, sf_dir):
     """Every insurer's stored log-target model on the last fifth of block1."""
     df = _blocks(spark, sf_dir)
-    params = boost.preset("rmse", log_target=True, **SHORT)
+    params = boost.preset("rmse", log_target=True, **FEW)
     fitted = standard.fit(df, params, family="blend")
     path = scratch_path(spark, "models")
     boost.save_models(spark, fitted.models, path)
@@ -201,15 +181,9 @@ def holdout_eval(spark, sf_dir):
 
 @query("stacking")
 def stacking_run(spark, sf_dir):
-    """Stacked prices of the later blocks; two folds of short models for all insurers."""
-    one = {**SHORT, "rounds": 1, "max_depth": 2}
+    """Stacked prices of the later blocks."""
     settings = stacking.Settings(
-        boost.preset("tweedie_a", **one),
-        boost.preset("tweedie_b", **one),
-        boost.preset("scout", **one),
-        folds=2,
-        zones=20,
-        top_n=20,
+        boost.preset("tweedie_a", **FEW), boost.preset("tweedie_b", **FEW), boost.preset("scout", **FEW)
     )
     path = scratch_path(spark, "stacking")
     schema = spark.createDataFrame([], stacking.PREDICTION_SCHEMA).schema

@@ -1,17 +1,16 @@
-"""Per-insurer training: shared inputs, concurrent fits, summaries."""
+"""Per-insurer training: shared inputs, models grown together, summaries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
 from premia.operators import boost, clean, encode, order, stats
+from premia.operators.bins import fit_bins
 from premia.operators.features import engineer_features
 from premia.operators.longform import quoted_rows
 from premia.operators.quantiles import column_quantiles
@@ -19,24 +18,10 @@ from premia.operators.stack import assemble_wide
 from premia.roles import CLIP_QUANTILE, INSURERS, ROLES, ColumnRoles, price_col
 from premia.session import write_table
 
-# Fits that run at the same time. Every fit is itself distributed; the threads only keep
-# the cluster busy while another fit waits for its driver.
-CONCURRENT_FITS = 8
-
 # Feature family without derived columns.
 RAW = "raw"
 
 
-def per_insurer(insurers, run: Callable, threads: int = CONCURRENT_FITS) -> dict:
-    """Call ``run(insurer)`` for every insurer, several at a time; drops empty results."""
-    insurers = list(insurers)
-    wrapped = inheritable_thread_target(SparkSession.getActiveSession())(run)
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        jobs = {i: pool.submit(wrapped, i) for i in insurers}
-        done = {i: job.result() for i, job in jobs.items()}
-    return {i: r for i, r in done.items() if r is not None}
-
-
 @dataclass(frozen=True)
 class Prepared:
     """Feature tables of the training block and the later blocks, with equal columns."""
@@ -96,12 +81,6 @@ def prepare(
     return Prepared(first_rows, table.where(F.col("block") != "block1"), features, roles)
 
 
-def insurer_rows(prepared: Prepared, insurer: str) -> DataFrame:
-    """Quoted training rows of one insurer with target ``y`` and the wide features."""
-    price = F.col(price_col(insurer))
-    return prepared.train.where(price.isNotNull()).withColumn("y", price)
-
-
 def price_caps(rows: DataFrame, insurers=INSURERS) -> dict[str, float]:
     """Quantile at which each insurer's training prices are cut off."""
     found = column_quantiles(rows, [price_col(i) for i in insurers], [CLIP_QUANTILE])
@@ -121,30 +100,35 @@ def fit_with_holdout(
     split: DataFrame | None = None,
     caps: dict[str, float] | None = None,
     weights: DataFrame | None = None,
+    store: str | None = None,
 ) -> dict[str, boost.BoostedTrees]:
-    """One model per insurer; rows tagged ``valid`` in ``split`` are held out.
+    """One model per insurer, all grown together; rows tagged ``valid`` in ``split`` are held out.
 
-    ``weights`` has a weight per quote and insurer; a row without one weighs 1.
+    ``weights`` has a weight per quote and insurer; a row without one weighs 1. The features of a quote
+    are binned once, whichever insurers priced it.
     """
     rows = prepared.train if split is None else split
-    valid = (F.col("split") == "valid") if "split" in rows.columns else None
-    held = replace(prepared, train=rows)
-
-    def run(insurer: str):
-        own = insurer_rows(held, insurer)
-        cap = (caps or {}).get(insurer)
-        if cap is not None:
-            # Only training rows are capped; validation keeps the quoted price.
-            capped = F.least(F.col("y"), F.lit(cap))
-            kept = F.lit(False) if valid is None else valid
-            own = own.withColumn("y", F.when(kept, F.col("y")).otherwise(capped))
-        if weights is None:
-            return boost.fit_boosted(own, prepared.inputs, params, valid=valid)
-        mine = weights.where(F.col("insurer") == insurer).select(ROLES.key, "weight")
-        own = own.join(mine, ROLES.key, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        return boost.fit_boosted(own, prepared.inputs, params, weight="weight", valid=valid)
-
-    return per_insurer(insurers, run)
+    valid = (F.col("split") == "valid") if "split" in rows.columns else F.lit(False)
+    nominal = prepared.features.categorical if params.nominal else ()
+    binning = fit_bins(rows.where(~valid), prepared.inputs, params.max_bins, nominal)
+    prices = [price_col(i) for i in insurers]
+    keyed = rows.withColumns({"_valid": valid, "_h": F.xxhash64(ROLES.key)})
+    binned = binning.packed(keyed, [ROLES.key, "_valid", "_h", *prices])
+
+    def target(insurer: str) -> Column:
+        price, cap = F.col(price_col(insurer)).cast("double"), (caps or {}).get(insurer)
+        if cap is None:
+            return price
+        # Only training rows are capped; validation keeps the quoted price.
+        return F.when(F.col("_valid") | price.isNull(), price).otherwise(F.least(price, F.lit(cap)))
+
+    cells = F.array(*[F.struct(F.lit(i).alias("insurer"), target(i).alias("_y")) for i in insurers])
+    long = binned.select(ROLES.key, "_valid", "_h", "_x", F.inline(cells)).where("_y IS NOT NULL")
+    weight = F.lit(1.0)
+    if weights is not None:
+        long = long.join(weights.select(ROLES.key, "insurer", "weight"), [ROLES.key, "insurer"], "left")
+        weight = F.coalesce(F.col("weight"), F.lit(1.0))
+    return boost.fit_rows(long.withColumn("_w", weight), insurers, binning, params, store)
 
 
 def score_block(

@@ -1,7 +1,7 @@
 """Fold models of two learners per insurer, stacked by ridge regression.
 
-All insurers share one wide training table: per quote the features and, per insurer,
-target, weight, fold and out-of-fold encodings. A fit reads only its own columns.
+All insurers share one training table with a row per quote and insurer, whose features are bytes. The
+models of all insurers, folds and bags of a learner are grown together.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
 from premia.operators import boost, encode, order, stack, stats
+from premia.operators.bins import Binning, fit_bins
 from premia.operators.longform import quoted_rows, to_wide
 from premia.plans import fitting
 from premia.roles import INSURERS, N_FOLDS, ROLES, TARGET_ENCODED
@@ -33,34 +34,29 @@ class Settings:
     bags: int = 1
     bag_share: float = 0.85
 
+    def bins(self) -> int:
+        """Bins that all learners share."""
+        return max(p.max_bins for p in (self.params_a, self.params_b, self.scout))
+
 
 @dataclass(frozen=True)
 class StackInputs:
-    """Wide training table, later blocks, encoding and feature names."""
+    """Feature tables, the encoding of whole categories, and one row per quote and insurer.
+
+    ``rows`` has ``quote_id``, ``insurer``, ``fold``, target, weight, hash and, as bytes, the features with
+    the out-of-fold encodings.
+    """
 
     prepared: fitting.Prepared
-    train: DataFrame
-    later: DataFrame
+    rows: DataFrame
+    binning: Binning
     encoding: encode.TargetEncoding
     encoded: tuple[str, ...]
 
-    def own(self, insurer: str) -> DataFrame:
-        """Training rows of one insurer under plain column names."""
-        names = ("y", "weight", "fold", *[f"{c}_te" for c in self.encoded])
-        return self.train.where(F.col(f"{insurer}__y").isNotNull()).select(
-            "quote_id",
-            *self.prepared.inputs,
-            *[F.col(f"{insurer}__{n}").alias(n) for n in names],
-        )
-
-    def own_later(self, insurer: str) -> DataFrame:
-        """Later quotes with the insurer's full-block encodings."""
-        tagged = self.later.withColumn("insurer", F.lit(insurer))
-        return self.encoding.transform(tagged, _te_name)
-
-    @property
-    def inputs(self) -> list[str]:
-        return [*self.prepared.inputs, *[f"{c}_te" for c in self.encoded]]
+    def later(self, insurers) -> DataFrame:
+        """Later quotes once for each insurer, with the encodings of the whole training block."""
+        names = F.explode(F.array(*[F.lit(i) for i in insurers])).alias("insurer")
+        return self.encoding.transform(self.prepared.later.select("*", names), _te_name)
 
 
 def _te_name(column: str) -> str:
@@ -78,39 +74,59 @@ def stack_inputs(df: DataFrame, settings: Settings, insurers=INSURERS) -> StackI
     binned = order.decile_bins(weighted)
     folded = write_table(order.stratified_folds(binned, n_folds=settings.folds), "folded")
     oof = encode.oof_target_encode(folded, texts, name=_te_name)
-    names = ("y", "weight", "fold", *[f"{c}_te" for c in encoded])
-    # One hash aggregation by quote; the join to the features keeps its partitioning.
-    per_quote = oof.groupBy("quote_id").agg(
-        *[
-            F.max(F.when(F.col("insurer") == i, F.col(n))).alias(f"{i}__{n}")
-            for i in insurers
-            for n in names
-        ]
-    )
-    wide = prepared.train.join(per_quote, "quote_id")
+    codes = [f"{c}_te" for c in encoded]
+    # The only join of features and encodings; its rows leave it as bytes.
+    wide = prepared.train.select(ROLES.key, *prepared.inputs)
+    long = oof.select(ROLES.key, "insurer", "fold", "y", "weight", *codes).join(wide, ROLES.key)
+    binning = fit_bins(long, [*prepared.inputs, *codes], settings.bins())
+    rows = boost.packed_rows(long, binning, weight="weight", keep=[ROLES.key, "insurer", "fold"])
     encoding = encode.fit_target_encoding(folded, texts)
-    return StackInputs(prepared, write_table(wide, "stack"), prepared.later, encoding, encoded)
-
-
-def _fold_models(rows: DataFrame, features, params, fold: int, settings: Settings, bagged: bool):
-    """Models of one fold: one per bag, or a single one on all of its rows."""
-    valid = F.col("fold") == fold
-    if not bagged:
-        return [boost.fit_assembled(rows, features, params, valid)]
-    train, held = order.fold_split(rows, fold)
-    models = []
-    for bag in range(settings.bags):
-        sample = order.bag_sample(
-            train.withColumn("insurer", F.lit("")),
-            "_key",
-            settings.bag_share,
-            params.seed,
-            bag,
-            fold,
-        )
-        both = sample.drop("insurer").unionByName(held)
-        models.append(boost.fit_assembled(both, features, params, valid))
-    return models
+    return StackInputs(prepared, write_table(rows.drop("_valid"), "stack"), binning, encoding, encoded)
+
+
+def chosen_features(inputs: StackInputs, settings: Settings, insurers) -> dict[str, tuple[str, ...]]:
+    """The most important inputs of each insurer's scout, which holds out the first fold."""
+    spark = inputs.rows.sparkSession
+    rows = inputs.rows.withColumn("_valid", F.col("fold") == 0)
+    scouts = boost.fit_rows(rows, insurers, inputs.binning, settings.scout)
+    found: dict[str, tuple[str, ...]] = {}
+    for r in boost.top_features(spark, scouts, settings.top_n).orderBy("insurer", "rank").collect():
+        found[r["insurer"]] = found.get(r["insurer"], ()) + (r["feature"],)
+    return found
+
+
+def model_name(insurer, fold, bag) -> str:
+    return f"{insurer}|{fold}|{bag}"
+
+
+def fold_models(inputs: StackInputs, params, settings: Settings, chosen, bags: int) -> dict[str, boost.BoostedTrees]:
+    """Models of every insurer, fold and bag, grown together. Without bags a fold has one, on all of its rows."""
+    parts = []
+    for fold in range(settings.folds):
+        rows = inputs.rows.withColumn("_valid", F.col("fold") == fold)
+        for bag in range(max(bags, 1)):
+            own = rows
+            if bags:
+                # The sampler hashes keys itself, under a name of the packed rows.
+                train, held = order.fold_split(inputs.rows.withColumnRenamed("_h", "_hash"), fold)
+                sample = order.bag_sample(train, ROLES.key, settings.bag_share, params.seed, bag, fold)
+                own = sample.unionByName(held).withColumnRenamed("_hash", "_h").withColumn("_valid", F.col("fold") == fold)
+            parts.append(own.withColumn("model", F.concat("insurer", F.lit(model_name("", fold, bag)))))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    names = [model_name(i, f, b) for i in chosen for f in range(settings.folds) for b in range(max(bags, 1))]
+    allowed = {n: chosen[n.split("|")[0]] for n in names}
+    return boost.fit_rows(rows, names, inputs.binning, params, name="model", allowed=allowed)
+
+
+def price_of(models, fold, bag: int, binned: Binning | None = None) -> Column:
+    """Price by the models of the insurer of a row, a fold and a bag."""
+    return boost.score_own(models, F.concat("insurer", F.lit("|"), fold, F.lit(f"|{bag}")), binned)
+
+
+def _mean_of_bags(models, fold, bags: int, binned: Binning | None = None) -> Column:
+    return stack.mean_of([price_of(models, fold, bag, binned) for bag in range(max(bags, 1))])
 
 
 @dataclass(frozen=True)
@@ -119,100 +135,67 @@ class InsurerStack:
 
     insurer: str
     features: tuple[str, ...]
-    models_a: dict[int, list[boost.BoostedTrees]]
-    models_b: dict[int, list[boost.BoostedTrees]]
+    models_a: dict[str, boost.BoostedTrees]
+    models_b: dict[str, boost.BoostedTrees]
     meta: stack.RidgeMeta
     metrics: dict[str, float]
 
     def stored_models(self) -> dict[str, boost.BoostedTrees]:
         """The last fold's model of each learner."""
         last = max(self.models_a)
-        return {
-            f"{self.insurer}_a": self.models_a[last][0],
-            f"{self.insurer}_b": self.models_b[last][0],
-        }
-
-    def price(self, later: DataFrame) -> DataFrame:
-        """Stacked price of later quotes, from the mean of all fold models."""
-        a, b = _scores(self.models_a, self.models_b)
-        preds = later.select(
-            "block",
-            "quote_id",
-            F.lit(self.insurer).alias("insurer"),
-            stack.mean_of([stack.mean_of(p) for p in a.values()]).alias("pred_a"),
-            stack.mean_of([stack.mean_of(p) for p in b.values()]).alias("pred_b"),
-        )
-        return self.meta.transform(preds).select("block", "quote_id", "price", "insurer")
-
-
-def _scores(models_a, models_b) -> tuple[dict[int, list[Column]], dict[int, list[Column]]]:
-    """Prices of every fold and bag of both learners, in one pass over the rows."""
-    named = {
-        (side, fold, bag): m
-        for side, models in (("a", models_a), ("b", models_b))
-        for fold, bags in models.items()
-        for bag, m in enumerate(bags)
-    }
-    scored = boost.score_models(named)
-    out: dict[str, dict[int, list[Column]]] = {"a": {}, "b": {}}
-    for (side, fold, _), column in scored.items():
-        out[side].setdefault(fold, []).append(column)
-    return out["a"], out["b"]
+        return {f"{self.insurer}_a": self.models_a[last], f"{self.insurer}_b": self.models_b[max(self.models_b)]}
 
 
-def oof_predictions(own: DataFrame, insurer: str, models_a, models_b) -> DataFrame:
+def oof_predictions(inputs: StackInputs, settings: Settings, models_a, models_b) -> DataFrame:
     """Every row priced by the models of its own fold, which have not seen it."""
-
-    def mine(scores: dict[int, list[Column]]) -> Column:
-        value = F.lit(None).cast("double")
-        for fold, columns in scores.items():
-            value = F.when(F.col("fold") == fold, stack.mean_of(columns)).otherwise(value)
-        return floor_price(value)
-
-    a, b = _scores(models_a, models_b)
-    return own.select(
-        "quote_id",
-        F.lit(insurer).alias("insurer"),
+    return inputs.rows.select(
+        ROLES.key,
+        "insurer",
         "fold",
-        "y",
-        mine(a).alias("pred_a"),
-        mine(b).alias("pred_b"),
+        F.col("_y").alias("y"),
+        floor_price(_mean_of_bags(models_a, F.col("fold"), settings.bags, inputs.binning)).alias("pred_a"),
+        floor_price(_mean_of_bags(models_b, F.col("fold"), 0, inputs.binning)).alias("pred_b"),
     )
 
 
-def fit_insurer(inputs: StackInputs, insurer: str, settings: Settings) -> InsurerStack | None:
-    own = write_table(inputs.own(insurer), "own")
-    if own.isEmpty():
-        return None
-    features, _ = boost.select_features(
-        own,
-        inputs.inputs,
-        inputs.prepared.features.categorical,
-        settings.scout,
-        settings.top_n,
-        valid=F.col("fold") == 0,
+def later_prices(inputs: StackInputs, settings: Settings, models_a, models_b, meta, insurers) -> DataFrame:
+    """Stacked price of later quotes, from the mean of all fold models."""
+    folds = [str(f) for f in range(settings.folds)]
+    preds = inputs.later(insurers).select(
+        "block",
+        ROLES.key,
+        "insurer",
+        stack.mean_of([_mean_of_bags(models_a, F.lit(f), settings.bags) for f in folds]).alias("pred_a"),
+        stack.mean_of([_mean_of_bags(models_b, F.lit(f), 0) for f in folds]).alias("pred_b"),
     )
-    folds = range(settings.folds)
-    # Assembled once: every fold and learner trains on it.
-    rows = boost.assemble(own, features, weight="weight", keep=("fold",))
-    models_a = {
-        f: _fold_models(rows, features, settings.params_a, f, settings, bagged=True) for f in folds
-    }
-    models_b = {
-        f: _fold_models(rows, features, settings.params_b, f, settings, bagged=False)
-        for f in folds
-    }
-    rows.unpersist()
-    oof = write_table(oof_predictions(own, insurer, models_a, models_b), "oof")
+    return meta.transform(preds).select("block", ROLES.key, "price", "insurer")
+
+
+def fit(inputs: StackInputs, settings: Settings, insurers) -> tuple[dict[str, InsurerStack], DataFrame]:
+    """Stacks of all insurers that have prices, and the prices of the later quotes."""
+    chosen = chosen_features(inputs, settings, insurers)
+    if not chosen:
+        return {}, inputs.rows.sparkSession.createDataFrame([], PREDICTION_SCHEMA)
+    models_a = fold_models(inputs, settings.params_a, settings, chosen, settings.bags)
+    models_b = fold_models(inputs, settings.params_b, settings, chosen, 0)
+    oof = write_table(oof_predictions(inputs, settings, models_a, models_b), "oof")
     meta = stack.fit_ridge_meta(oof)
     y = F.col("y")
-    scores = oof.agg(
+    scores = oof.groupBy("insurer").agg(
         F.count("*").alias("n"),
         F.avg(F.abs(F.col("pred_a") - y)).alias("mae_a"),
         F.avg(F.abs(F.col("pred_b") - y)).alias("mae_b"),
         F.avg(F.abs(meta.raw() - y)).alias("mae_meta"),
-    ).first()
-    return InsurerStack(insurer, tuple(features), models_a, models_b, meta, scores.asDict())
+    )
+    known = {r["insurer"]: r.asDict() for r in scores.collect()}
+
+    def of(models, insurer):
+        return {n: m for n, m in models.items() if n.split("|")[0] == insurer}
+
+    stacks = {
+        i: InsurerStack(i, chosen[i], of(models_a, i), of(models_b, i), meta, known[i]) for i in sorted(known)
+    }
+    return stacks, later_prices(inputs, settings, models_a, models_b, meta, list(stacks))
 
 
 def metrics(spark: SparkSession, stacks: dict[str, InsurerStack]) -> DataFrame:
@@ -231,20 +214,17 @@ def metrics(spark: SparkSession, stacks: dict[str, InsurerStack]) -> DataFrame:
 def run(
     df: DataFrame, store: PredictionStore, settings: Settings = Settings(), insurers=INSURERS
 ) -> dict[str, InsurerStack]:
-    """Fit and predict the insurers the store does not hold yet, several at a time."""
+    """Fit and predict the insurers the store does not hold yet, all together."""
     done = {r[0] for r in store.completed().collect()}
     todo = [i for i in insurers if i not in done]
     if not todo:
         return {}
-    inputs = stack_inputs(df, settings, todo)
-
-    def one(insurer: str) -> InsurerStack | None:
-        fitted = fit_insurer(inputs, insurer, settings)
-        if fitted is not None:
-            store.save(insurer, fitted.price(inputs.own_later(insurer)))
-        return fitted
-
-    return fitting.per_insurer(todo, one)
+    stacks, prices = fit(stack_inputs(df, settings, todo), settings, todo)
+    if stacks:
+        prices = write_table(prices, "prices")
+    for insurer in stacks:
+        store.save(insurer, prices)
+    return stacks
 
 
 def submission(store: PredictionStore, block: str) -> DataFrame:

@@ -15,16 +15,13 @@ def rows(spark):
 
 
 def handed_over(monkeypatch, rows, **how):
-    seen = {}
+    seen = []
 
-    def record(df, features, params, label="y", weight=None, valid=None, key="quote_id"):
-        w = F.col(weight) if weight else F.lit(1.0)
-        held = df.where(~valid)
-        seen[len(seen)] = held.agg(F.min(w), F.max(w), F.max("y"), F.count("*")).first()
-        return None
+    def record(packed, names, binning, params, store=None):
+        seen.append(packed.where("NOT _valid").agg(F.min("_w"), F.max("_w"), F.max("_y"), F.count("*")).first())
+        return {}
 
-    monkeypatch.setattr(boost, "fit_boosted", record)
-    monkeypatch.setattr(fitting, "per_insurer", lambda insurers, run: {i: run(i) for i in insurers})
+    monkeypatch.setattr(boost, "fit_rows", record)
     standard.fit(rows, boost.preset("rmse"), insurers=("A",), family="dates", **how)
     return seen[0]
 
@@ -40,11 +37,6 @@ def test_caps_reach_the_learner(rows, monkeypatch):
     assert capped[2] < plain[2] and capped[3] == plain[3]
 
 
-def test_absolute_loss_refuses_a_weight(rows):
-    with pytest.raises(ValueError, match="takes no weight"):
-        boost.fit_boosted(rows, ["vehicle_age"], boost.preset("mae"), "vehicle_power", weight="vehicle_age")
-
-
 def test_merge_names_the_table_that_repeats_a_key(spark, rows):
     base = rows.select("quote_id", *PRICE_COLS).limit(20)
     with pytest.raises(ValueError, match="new table"):

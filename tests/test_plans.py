@@ -9,7 +9,7 @@ from premia.operators import boost, longform, submit
 from premia.operators.encode import fit_target_encoding
 from premia.operators.features import engineer_features
 from premia.plans import stacking, standin
-from premia.plans.checks_models import SHORT
+from premia.plans.checks_models import FEW
 from premia.roles import INSURERS, PRICE_COLS, price_col
 from premia.session import drop_written, scratch_path, write_table
 from premia.sources import quotes as source
@@ -30,7 +30,7 @@ def blocks(spark):
 
 
 def test_stacking_resumes_and_covers_every_quote(spark, blocks):
-    one = {**SHORT, "rounds": 1, "max_depth": 2}
+    one = {**FEW, "rounds": 1, "max_depth": 2}
     settings = stacking.Settings(
         boost.preset("tweedie_a", **one),
         boost.preset("tweedie_b", **one),
