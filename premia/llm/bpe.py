@@ -57,6 +57,8 @@ class Vocabulary:
                 self.tokens[i] = bytes(map(to_byte.__getitem__, token))
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
+        self.fragments = Lexicon(self.merge_fragments, FRAGMENTS)
+        self.known = Lexicon(self.learn, REMEMBERED)
         if not merges:
             return
         plain = [self.tokens[i] for token, i in ids.items() if token not in self.special]
@@ -77,8 +79,6 @@ class Vocabulary:
         self.merges_to = np.array([merge[x] for x in self.left_right.tolist()], np.int64)
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.fragments = Lexicon(self.merge_fragments, FRAGMENTS)
-        self.known = Lexicon(self.learn, REMEMBERED)
 
     def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What pairs of ids merge to, or NONE; an id of -1 is no id."""
@@ -223,6 +223,11 @@ class Vocabulary:
         settle()
         return [b"".join(x) for x in out]
 
+    def forget(self) -> None:
+        """Give back what was remembered; the tables of the vocabulary stay for later tasks of the worker."""
+        self.known.forget()
+        self.fragments.forget()
+
     def decode(self, ids: bytes) -> str:
         token = self.tokens.__getitem__
         return b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -241,14 +246,18 @@ def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> Da
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"{give} {kind}"])
 
     def apply(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                made = work(sent.value, part.column(part.schema.get_field_index(take)).to_pylist())
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                out = pa.array(made, pa.large_binary() if kind == "binary" else pa.large_string())
-                out = out.cast(pa.binary() if kind == "binary" else pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, out], [*kept, give])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    made = work(sent.value, part.column(part.schema.get_field_index(take)).to_pylist())
+                    columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                    out = pa.array(made, pa.large_binary() if kind == "binary" else pa.large_string())
+                    out = out.cast(pa.binary() if kind == "binary" else pa.string())
+                    yield pa.RecordBatch.from_arrays([*columns, out], [*kept, give])
+        finally:
+            for vocabulary in [v for v in sent.value.values() if isinstance(v, Vocabulary)]:
+                vocabulary.forget()
 
     return df.select(*(F.col(f"`{c}`") for c in [*kept, take])).mapInArrow(apply, schema)
 

@@ -72,9 +72,9 @@ class Lexicon(dict):
 
     def __init__(self, find: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int, most_bytes: int = 64 << 20):
         self.find, self.most, self.most_bytes = find, most, most_bytes
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.clear()
         self.new, self.size, self.found = [], 0, 0
         # Ids one after another, and by number where those of a key start and how many there are.
@@ -89,7 +89,7 @@ class Lexicon(dict):
     def of(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``keys``, one after another, and how many each has."""
         if len(self) > self.most or self.size > self.most_bytes:
-            self._forget()
+            self.forget()
         numbers = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         if self.new:
             new, self.new = self.new, []
