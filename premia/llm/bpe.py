@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm.common import Lexicon
+from premia.llm.common import Lexicon, give_back
 
 # The words a byte-level vocabulary is applied to, in this order of preference.
 WORDS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -258,6 +258,7 @@ def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> Da
         finally:
             for vocabulary in [v for v in sent.value.values() if isinstance(v, Vocabulary)]:
                 vocabulary.forget()
+            give_back()
 
     return df.select(*(F.col(f"`{c}`") for c in [*kept, take])).mapInArrow(apply, schema)
 

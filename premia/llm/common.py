@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from premia.session import apply_settings, write_table
 
 __all__ = [
-    "LOWER", "Lexicon", "Stretches", "WordHashes", "column", "join_texts", "minimisers", "mixed", "printed", "read", "rows",
+    "LOWER", "Lexicon", "Stretches", "WordHashes", "column", "give_back", "join_texts", "minimisers", "mixed", "printed", "read", "rows",
     "settings", "write_table",
 ]
 
@@ -54,6 +55,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and others of its executor need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def longer(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """``values`` with ``more`` after the used ones; its room doubles when it is full."""
     if used + len(more) > len(values):
