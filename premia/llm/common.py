@@ -166,11 +166,16 @@ def column(values, kind: pa.DataType) -> pa.Array:
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values, a slice of a batch at a time."""
+    """Rows of Arrow batches as tuples of Python values, a slice of a batch at a time.
+
+    What earlier tasks of the worker, and at the end this one, have freed goes back to the system.
+    """
+    give_back()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    give_back()
 
 
 def join_texts(texts: DataFrame, per_document: DataFrame, size: int, how: str, on=("doc_id", "print")) -> DataFrame:
