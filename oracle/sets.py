@@ -236,6 +236,29 @@ SQL["segment_bias"] = sql(
     f"{r4('sum(pred_a) / sum(y)')} AS bias_ratio FROM oof "
     "GROUP BY ROLLUP (insurer, coverage_x_age_bucket)"
 )
+_segments = ("coverage", "payment_frequency", "usage", "province", "municipality", "vehicle_maker", "contractor_age_bucket")
+_numbers = (
+    "contractor_age", "claim_free_years", "vehicle_age", "vehicle_power", "vehicle_value_new",
+    "postal_code_address_density", "vehicle_planned_annual_mileage", "municipality_crimes_per_1000",
+)
+_labels = [f"coalesce(CAST(f.{c} AS VARCHAR), '_MISSING_')" for c in _segments] + [
+    f"CASE WHEN f.{c} IS NULL THEN '_MISSING_' ELSE 'b' || CAST(len(list_filter(list_distinct(cut_{c}), "
+    f"lambda e: e < f.{c})) AS VARCHAR) END"
+    for c in _numbers
+]
+_cuts = ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS cut_{c}" for c in _numbers)
+_each = " UNION ALL ".join(
+    f"SELECT o.insurer, '{c}' AS segment, {label} AS value, o.pred_a, o.y FROM oof o "
+    "JOIN feats f ON f.quote_id = o.quote_id CROSS JOIN cuts"
+    for c, label in zip((*_segments, *_numbers), _labels)
+)
+SQL["demographic_bias"] = sql(
+    f"SELECT s.insurer, s.segment, s.value, count(*) AS n, {r4('avg(pred_a - y)')} AS mean_error, "
+    f"{r4('avg(abs(pred_a - y))')} AS mae, {r4('sum(pred_a) / sum(y)')} AS bias_ratio FROM ("
+    "SELECT unnest(['ALL', insurer]) AS insurer, segment, value, pred_a, y FROM ("
+    f"WITH cuts AS (SELECT {_cuts} FROM feats WHERE block = 'block1') {_each} "
+    "UNION ALL SELECT insurer, 'ALL', 'ALL', pred_a, y FROM oof)) s GROUP BY ALL"
+)
 SQL["cross_insurer_mae"] = sql(
     f"SELECT m.insurer AS model, a.insurer AS insurer, {r4('avg(abs(m.pred_a - a.price))')} AS mae "
     "FROM scored m JOIN scored a ON a.quote_id = m.quote_id WHERE m.block = 'block1' "

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.operators.quantiles import exact_quantiles
+from premia.operators.quantiles import column_quantiles, exact_quantiles
 from premia.operators.stack import blend_grid
-from premia.roles import INSURERS, price_col
+from premia.roles import INSURERS, MISSING, price_col
+
+# Shares at which numeric segment columns are cut.
+QUARTERS = (0.25, 0.5, 0.75)
 
 
 def abs_error(pred: str = "pred", target: str = "y") -> Column:
@@ -118,6 +121,68 @@ def segment_bias(preds: DataFrame, segment: str, pred: str = "pred", target: str
     )
 
 
+def segment_edges(rows: DataFrame, columns, probs=QUARTERS) -> dict[str, tuple[float, ...]]:
+    """Distinct inner edges of numeric columns, fitted by counting; columns without a value have none."""
+    found = column_quantiles(rows, columns, probs)
+    return {c: tuple(sorted(set(found[c].values))) if c in found else () for c in columns}
+
+
+def segment_label(column: str, edges: tuple[float, ...] | None = None) -> Column:
+    """The segment of a row as text: a category, or the right-closed bin ``b0``, ``b1``, ... of a number."""
+    value = F.col(column)
+    if edges is None:
+        return F.coalesce(value.cast("string"), F.lit(MISSING))
+    above = [(value.cast("double") > e).cast("int") for e in edges]
+    place = sum(above, F.lit(0)).cast("string")
+    return F.when(value.isNull() | F.isnan(value.cast("double")), MISSING).otherwise(F.concat(F.lit("b"), place))
+
+
+def bias_by_segments(
+    preds: DataFrame, categories=(), edges=None, pred: str = "pred", target: str = "y"
+) -> DataFrame:
+    """Bias per insurer and value of every segment column, with totals, in one aggregation.
+
+    ``edges`` maps numeric segment columns to their fitted edges (``segment_edges``); ``categories`` are
+    taken as they are. Returns ``insurer``, ``segment`` (the column), ``value``, ``n``, ``mean_error``,
+    ``mae`` and ``bias_ratio``. Totals have ``ALL`` as insurer, or as segment and value. Grouping sets copy
+    a row once per set inside the task and are summed there, so what is shuffled grows with the number of
+    insurers and values, not with the rows; a column of very many values should be left out or binned first.
+    Rows without a target or a prediction do not count; nulls and NaN are a value of their own, ``_MISSING_``.
+    """
+    edges = edges or {}
+    names = [*categories, *edges]
+    error = F.col(pred) - F.col(target)
+    labels = [segment_label(c, edges.get(c)).alias(f"_s{k}") for k, c in enumerate(names)]
+    rows = preds.where(F.col(target).isNotNull() & F.col(pred).isNotNull()).select(
+        F.col("insurer").alias("_insurer"),
+        *labels,
+        error.alias("_error"),
+        F.col(pred).alias("_pred"),
+        F.col(target).alias("_target"),
+    )
+    own = [f"_s{k}" for k in range(len(names))]
+    sets = [[], ["_insurer"], *([s] for s in own), *(["_insurer", s] for s in own)]
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], "_insurer", *own).agg(
+        F.count("*").alias("n"),
+        F.avg("_error").alias("mean_error"),
+        F.avg(F.abs("_error")).alias("mae"),
+        F.try_divide(F.sum("_pred"), F.sum("_target")).alias("bias_ratio"),
+        F.grouping("_insurer").alias("_all"),
+        *[F.grouping(s).alias(f"{s}_all") for s in own],
+    )
+    segment = F.coalesce(*[F.when(F.col(f"{s}_all") == 0, F.lit(c)) for s, c in zip(own, names)], F.lit("ALL"))
+    value = F.coalesce(*[F.when(F.col(f"{s}_all") == 0, F.col(s)) for s in own], F.lit("ALL"))
+    return grouped.select(
+        F.when(F.col("_all") == 1, "ALL").otherwise(F.col("_insurer")).alias("insurer"),
+        segment.alias("segment"),
+        value.alias("value"),
+        "n",
+        "mean_error",
+        "mae",
+        "bias_ratio",
+    ).where("n > 0")
+
+
 def cross_insurer_mae(wide: DataFrame, insurers=INSURERS, pred=None) -> DataFrame:
     """Error of the model of ``i`` against the prices of ``j``: rows ``(model, insurer, mae)``.
 

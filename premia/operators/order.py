@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from premia.functions.numbers import by_key
-from premia.operators.quantiles import exact_quantiles
+from premia.operators.quantiles import BINS, exact_quantiles
 from premia.roles import N_FOLDS, ROLES, SEED
 from premia.session import small_side, write_table
 
@@ -89,13 +90,68 @@ def recency_weight(quoted: DataFrame, order_by=ROLES.order_key) -> DataFrame:
     return counted.withColumn("weight", 0.5 + 0.5 * (F.col("_idx") / span)).drop("_idx", "_n")
 
 
-def _before(order_by, boundary) -> Column:
-    """Lexicographic ``key < boundary``."""
-    first, *rest = order_by
-    column, value = F.col(first), F.lit(boundary[first])
+def _whole(column: str, kind: T.DataType) -> Column | None:
+    """The column as a 64-bit integer of the same order; None where it has no such form."""
+    c = F.col(column)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        second = F.extract(F.lit("SECOND"), c) * 1_000_000
+        minute = (F.unix_date(c.cast("date")).cast("long") * 24 + F.hour(c)) * 60 + F.minute(c)
+        return minute * 60_000_000 + second.cast("long")
+    return None
+
+
+def value_at(numbers: DataFrame, column: str, rank: int, bins: int = BINS) -> tuple[int | None, int]:
+    """The value at a 0-based rank of an integer column, nulls first, and how many rows are below it.
+
+    The interval that holds the rank is split into bins whose rows are counted, pre-aggregated before the
+    shuffle, until one value is left: at most six passes for 64 bits. The driver gets the counts of the bins.
+    """
+    c = F.col(column)
+    ends = numbers.agg(F.count(F.when(c.isNull(), 1)).alias("nulls"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+    below, low, high = ends["nulls"], ends["low"], ends["high"]
+    if rank < below:
+        return None, 0
+    while low < high:
+        width = (high - low) // bins + 1
+        counted = numbers.where(c.between(low, high)).groupBy(F.expr(f"`{column}` div {width}").alias("bin"))
+        found = counted.agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).collect()
+        for r in sorted(found, key=lambda r: r["low"]):
+            if rank < below + r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low, below
+
+
+def key_at(df: DataFrame, order_by, rank: int) -> dict[str, int | None] | None:
+    """The key at a 0-based rank, each column as an integer; None where a column has no such form.
+
+    Rows are neither sorted nor moved: the first column is searched by counting, the next among the rows
+    that share its value, and so on.
+    """
+    numbers = {k: _whole(k, df.schema[k].dataType) for k in order_by}
+    if any(v is None for v in numbers.values()):
+        return None
+    held, key = df.select(*[v.alias(k) for k, v in numbers.items()]), {}
+    for column in order_by:
+        key[column], below = value_at(held, column, rank)
+        held, rank = held.where(F.col(column).eqNullSafe(F.lit(key[column]))), rank - below
+    return key
+
+
+def _before(columns, values) -> Column:
+    """Lexicographic ``columns < values``, nulls first."""
+    (column, *rest), (value, *others) = columns, values
+    less = F.lit(False) if value is None else F.coalesce(column < F.lit(value), F.lit(True))
     if not rest:
-        return column < value
-    return (column < value) | ((column == value) & _before(rest, boundary))
+        return less
+    return less | (column.eqNullSafe(F.lit(value)) & _before(rest, others))
 
 
 def temporal_split(
@@ -103,15 +159,23 @@ def temporal_split(
 ) -> DataFrame:
     """Tag the first ``int(n * share)`` rows ``train`` and the rest ``valid``.
 
-    Only the key columns are ordered; the wide rows are compared with one boundary key.
+    The key at the cut is found by counting and every row is compared with it where it lies. Keys that hold
+    other than whole numbers, dates and times are ranked instead, the key columns alone. Nulls come first;
+    rows that share the key at the cut are all ``valid``.
     """
-    keys = df.select(*order_by)
-    n = keys.count()
+    n = df.count()
     cut = int(n * train_share)
     if cut >= n:
         return df.withColumn(name, F.lit("train"))
-    boundary = row_index(keys, order_by, name="_idx").where(F.col("_idx") == cut).first()
-    return df.withColumn(name, F.when(_before(order_by, boundary), "train").otherwise("valid"))
+    boundary = key_at(df, order_by, cut)
+    if boundary is None:
+        ranked = row_index(df.select(*order_by), order_by, name="_idx")
+        boundary = ranked.where(F.col("_idx") == cut).first().asDict()
+        columns = [F.col(c) for c in order_by]
+    else:
+        columns = [_whole(c, df.schema[c].dataType) for c in order_by]
+    before = _before(columns, [boundary[c] for c in order_by])
+    return df.withColumn(name, F.when(before, "train").otherwise("valid"))
 
 
 def decile_edges(quoted: DataFrame, target: str = "y") -> dict[str, tuple[float, ...]]:

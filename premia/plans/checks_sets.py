@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from premia.functions.numbers import floor_price
 from premia.operators import encode, evaluate, order, stack, stats, submit
+from premia.operators.features import engineer_features
 from premia.operators.longform import quoted_rows, to_long, to_wide
 from premia.plans import standin
 from premia.plans.checks_rows import numeric_columns
@@ -348,6 +349,26 @@ def segment_bias(spark, sf_dir):
     return rounded(bias, "mean_error", "mae", "bias_ratio")
 
 
+# Demographic and vehicle columns of the bias report: categories, and numbers cut at their fitted quartiles.
+SEGMENTS = ("coverage", "payment_frequency", "usage", "province", "municipality", "vehicle_maker", "contractor_age_bucket")
+NUMERIC_SEGMENTS = (
+    "contractor_age", "claim_free_years", "vehicle_age", "vehicle_power", "vehicle_value_new",
+    "postal_code_address_density", "vehicle_planned_annual_mileage", "municipality_crimes_per_1000",
+)
+
+
+@query("demographic_bias")
+def demographic_bias(spark, sf_dir):
+    """Bias of the out-of-fold predictions in fifteen segments at once."""
+    columns = [c for c in (*SEGMENTS, *NUMERIC_SEGMENTS) if c != "vehicle_maker"]
+    rows = engineer_features(standin.training_block(spark, sf_dir)).select("quote_id", *columns)
+    rows = write_table(rows, "segments")
+    preds = _oof(spark, sf_dir).select("quote_id", "insurer", "vehicle_maker", "y", "pred_a").join(rows, "quote_id")
+    edges = evaluate.segment_edges(rows, NUMERIC_SEGMENTS)
+    bias = evaluate.bias_by_segments(preds, SEGMENTS, edges, "pred_a")
+    return rounded(bias, "mean_error", "mae", "bias_ratio")
+
+
 @query("cross_insurer_mae")
 def cross_insurer_mae(spark, sf_dir):
     rows, _, models = _models(spark, sf_dir)

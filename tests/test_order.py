@@ -138,3 +138,50 @@ def test_fold_split(spark, quoted):
     train, valid = order.fold_split(folded, 2)
     assert train.where("fold = 2").isEmpty() and valid.where("fold <> 2").isEmpty()
     assert train.count() + valid.count() == 3000
+
+
+def split_by_sorting(frame, keys, share):
+    ordered = frame.sort_values(list(keys), na_position="first").reset_index(drop=True)
+    return set(ordered["id"][: int(len(ordered) * share)])
+
+
+def test_temporal_split_counts_instead_of_sorting(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 500
+    frame = pd.DataFrame(
+        {
+            # A third of all rows share one time; ids reach both ends of 64 bits.
+            "at": pd.Timestamp("1969-12-31 23:59:59.999990") + pd.to_timedelta(np.where(rng.random(n) < 0.33, 9, rng.integers(0, 40, n)), "us"),
+            "id": rng.choice(np.array([-(2**63), 2**63 - 1, *rng.integers(-(2**62), 2**62, n - 2)]), n, replace=False),
+        }
+    )
+    df = spark.createDataFrame(frame)
+    df = df.withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("day", F.col("at").cast("date"))
+    monkeypatch.setattr(order, "row_index", None)
+    for share in (0.0, 0.1, 0.5, 0.8, 0.999):
+        got = order.temporal_split(df, ("at", "id"), share)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["id"] for r in got.where("split = 'train'").collect()} == split_by_sorting(frame, ("at", "id"), share)
+    got = order.temporal_split(df.withColumn("at", F.col("at").cast("timestamp")), ("day", "at", "id"), 0.4)
+    assert {r["id"] for r in got.where("split = 'train'").collect()} == split_by_sorting(frame, ("at", "id"), 0.4)
+
+
+def test_temporal_split_with_nulls_and_other_keys(spark):
+    rows = [(None, 3), (None, 1), (5, 2), (4, 9), (7, 0), (7, 8)]
+    df = spark.createDataFrame(rows, "a int, id long")
+    for k, want in enumerate([set(), {1}, {1, 3}, {1, 3, 9}, {1, 2, 3, 9}, {0, 1, 2, 3, 9}]):
+        got = order.temporal_split(df, ("a", "id"), (k + 0.5) / 6)
+        assert {r["id"] for r in got.where("split = 'train'").collect()} == want
+    names = df.select(F.concat(F.lit("n"), "id").alias("name"), "id")
+    got = order.temporal_split(names, ("name",), 0.5)
+    assert {r["id"] for r in got.where("split = 'train'").collect()} == {0, 1, 2}
+    assert order.temporal_split(df.limit(0), ("a", "id")).count() == 0
+
+
+def test_value_at_every_rank(spark):
+    values = [None, None, -9, -1, -1, 0, 0, 0, 3, 8, 8, 1 << 62]
+    numbers = spark.createDataFrame([(v,) for v in values], "v long")
+    for rank, value in enumerate(values):
+        below = sum(1 for v in values if v is None) if value is not None else 0
+        below += sum(1 for v in values if v is not None and value is not None and v < value)
+        assert order.value_at(numbers, "v", rank, bins=4) == (value, below)

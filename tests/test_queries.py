@@ -31,6 +31,7 @@ CROSS_SECTION = (
     "training_summary",
     "actual_vs_predicted",
     "segment_bias",
+    "demographic_bias",
     "cross_insurer_mae",
     "replace_subset",
     "validate_submission",

@@ -181,3 +181,58 @@ def test_head_and_profile(spark, tmp_path):
     assert [r["Unnamed: 0"] for r in text] == ["0", "1"]
     got = {r["name"]: r["non_null"] for r in blocks.profile(df).collect()}
     assert got == {"quote_ts": 3, "quote_id": 3, "c": 2}
+
+
+def segment_rows(spark, copies=1):
+    rng = np.random.default_rng(3)
+    n = 600
+    frame = pd.DataFrame(
+        {
+            "insurer": rng.choice(["A", "B", "C"], n, p=[0.6, 0.3, 0.1]),
+            "kind": rng.choice(["x", "y", None], n),
+            "age": np.where(rng.random(n) < 0.1, np.nan, rng.integers(18, 30, n)),
+            "y": np.where(rng.random(n) < 0.1, np.nan, rng.gamma(3, 100, n)),
+        }
+    )
+    frame["pred"] = frame["y"].fillna(5) * 1.1 + rng.normal(0, 5, n)
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False)] * copies
+    return spark.createDataFrame(rows, "insurer string, kind string, age double, y double, pred double"), frame
+
+
+def test_bias_of_many_segments_matches_pandas(spark):
+    df, frame = segment_rows(spark)
+    edges = evaluate.segment_edges(df, ["age"])
+    assert edges["age"] == tuple(sorted(set(frame["age"].dropna().quantile([0.25, 0.5, 0.75]))))
+    got = evaluate.bias_by_segments(df, ["kind"], edges).toPandas().set_index(["insurer", "segment", "value"])
+    frame = frame[frame["y"].notna()].copy()
+    frame["kind"] = frame["kind"].fillna("_MISSING_")
+    place = np.searchsorted(edges["age"], frame["age"], "left")
+    frame["age"] = np.where(frame["age"].isna(), "_MISSING_", "b" + pd.Series(place, frame.index).astype(str))
+    want = {("ALL", "ALL", "ALL"): frame, **{(i, "ALL", "ALL"): p for i, p in frame.groupby("insurer")}}
+    for segment in ("kind", "age"):
+        want |= {("ALL", segment, v): p for v, p in frame.groupby(segment)}
+        want |= {(i, segment, v): p for (i, v), p in frame.groupby(["insurer", segment])}
+    assert set(got.index) == set(want)
+    for key, part in want.items():
+        error = part["pred"] - part["y"]
+        assert got.loc[key, "n"] == len(part)
+        assert got.loc[key, "mean_error"] == pytest.approx(error.mean())
+        assert got.loc[key, "mae"] == pytest.approx(error.abs().mean())
+        assert got.loc[key, "bias_ratio"] == pytest.approx(part["pred"].sum() / part["y"].sum())
+
+
+def test_bias_of_many_segments_is_one_shuffle(spark):
+    df, _ = segment_rows(spark)
+    plan = evaluate.bias_by_segments(df, ["kind"], {"age": (20.0, 25.0)})._jdf.queryExecution()
+    assert plan.sparkPlan().toString().count("Expand") == 1
+    assert plan.executedPlan().toString().count("Exchange") == 1
+
+
+def test_bias_without_rows_or_values(spark):
+    df, _ = segment_rows(spark)
+    none = df.limit(0)
+    assert evaluate.segment_edges(none, ["age"]) == {"age": ()}
+    assert evaluate.bias_by_segments(none, ["kind"], {"age": ()}).isEmpty()
+    bare = df.withColumn("age", F.lit(None).cast("double"))
+    got = evaluate.bias_by_segments(bare, (), evaluate.segment_edges(bare, ["age"]))
+    assert {r["value"] for r in got.collect()} == {"ALL", "_MISSING_"}
