@@ -1,5 +1,6 @@
 import collections
 import itertools
+import random
 
 import brute
 import pytest
@@ -228,3 +229,39 @@ def test_alike_sets_beside_the_border_meet_at_80_percent(spark):
     table = spark.createDataFrame([(1, " ".join(words[:52])), (2, " ".join(words))], "doc_id long, text string")
     assert {r.component_id for r in minhash.near_duplicates(table, percent=80).collect()} == {1}
     assert {r.component_id for r in minhash.near_duplicates(table).collect()} == {1, 2}
+
+
+def test_passages_that_neighbours_leave_open(spark):
+    """Documents share 40 words; only some share the five before and the five after them too."""
+    shared, rows = prose_words(7, 40), []
+    before = [prose_words(100 + k, 5) for k in range(30)]
+    after = [prose_words(200 + k, 5) for k in range(30)]
+    pairs = [(i, j) for i in range(30) for j in range(30)]
+    pairs += pairs[::45]
+    for n, (i, j) in enumerate(pairs):
+        rows.append((n, " ".join([*prose_words(1000 + n, 20), *before[i], *shared, *after[j], *prose_words(5000 + n, 20)])))
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffixes.repeated_passages(documents).collect()
+    covered = {(r.doc_id, k) for r in found for k in range(r.start, r.start + r.n_words)}
+    expected = brute.repeated_words(rows)
+    assert len({i for i, _ in expected}) == 2 * len(pairs[::45][:20])
+    assert covered == expected
+    texts = {i: t.split() for i, t in rows}
+    for r in found:
+        assert texts[r.doc_id][r.start : r.start + 50] == texts[r.other_doc_id][r.other_start : r.other_start + 50]
+
+
+def prose_words(seed, n):
+    from conftest import prose
+
+    return prose(seed, n, 10**6)
+
+
+def test_passages_of_random_mixtures(spark):
+    """Few words in many combinations, so that keys have many contexts which agree in part."""
+    rng = random.Random(4)
+    pieces = [prose_words(k, n) for k, n in enumerate([3, 4, 6, 9, 12, 25, 30])]
+    rows = [(i, " ".join(w for _ in range(12) for w in rng.choice(pieces))) for i in range(150)]
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    covered = {(r.doc_id, k) for r in found for k in range(r.start, r.start + r.n_words)}
+    assert covered == brute.repeated_words(rows)
