@@ -4,10 +4,16 @@ A graph of near neighbours starts from buckets of random hyperplanes and is refi
 neighbours of a node are compared with each other, and each keeps the nearest it has met. A list whose
 last entry is still a link is saturated and may grow. When rounds bring no new connections, links are
 counted exactly inside each connected group, in blocks, and the recall is audited on a sample against all.
+
+A pair without common neighbours meets in the first tables only. Their number follows from the hyperplanes
+that tell vectors of a label apart, so that a pair at the threshold is met with the same probability however
+large the label is. The audit grows until it has seen enough links, and new tables are added until it passes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,13 +24,16 @@ from premia.llm.components import components
 
 # Neighbours a node keeps, and how many when all of them are links; they say where to look next, not what is linked.
 NEAREST, MOST = 6, 64
-# Random tables to start from, and vectors a bucket should hold.
-TABLES, BUCKET = 6, 16
+# Vectors a bucket of a random table should hold, least number of tables, and the probability with which a
+# pair at the threshold shares a bucket of one of them.
+BUCKET, TABLES, MET = 16, 6, 0.999
 # Members compared with each other in one place.
 TOGETHER = 64
-# Vectors of a block when links are counted, and vectors of the audit.
-BLOCK, AUDITED = 256, 256
-RECALL, ROUNDS, RESTARTS = 0.99, 8, 4
+# Vectors of a block when links are counted.
+BLOCK = 256
+# Vectors of the first audit and of the largest, and links an audit should see.
+AUDITED, MOST_AUDITED, LINKS = 256, 1 << 15, 200
+RECALL, ROUNDS, RESTARTS = 0.99, 8, 12
 
 
 def unit(vectors) -> np.ndarray:
@@ -48,9 +57,14 @@ def classes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, write_table(classes, "vector-classes")
 
 
-def hyperplane_buckets(classes: DataFrame, sizes: DataFrame, first: int) -> DataFrame:
-    """``pivot`` and ``node``: buckets of each of TABLES random tables, large ones dealt into several."""
-    tables = range(first, first + TABLES)
+def tables_for(bits: int, share: float) -> int:
+    """Tables of ``bits`` random hyperplanes in which a pair of cosine ``share`` meets with probability MET."""
+    together = (1 - math.acos(min(max(share, -1.0), 1.0)) / math.pi) ** bits
+    return TABLES if together >= MET else max(TABLES, math.ceil(math.log(1 - MET) / math.log1p(-together)))
+
+
+def hyperplane_buckets(classes: DataFrame, sizes: DataFrame, start: int, share: float) -> DataFrame:
+    """``pivot`` and ``node``: buckets of the random tables of a start, large ones dealt into several."""
 
     def work(batches):
         for batch in batches:
@@ -60,7 +74,8 @@ def hyperplane_buckets(classes: DataFrame, sizes: DataFrame, first: int) -> Data
             for (space, bits, dims), found in alike.items():
                 vectors = unit([v for _, v in found])
                 nodes = np.array([n for n, _ in found], np.int64)
-                for table in tables:
+                tables = tables_for(bits, share)
+                for table in range(start * tables, (start + 1) * tables):
                     planes = np.random.default_rng([table, dims]).standard_normal((dims, max(bits, 1)))
                     signs = (vectors @ planes > 0) if bits else np.zeros((len(found), 1), bool)
                     code = np.full(len(found), np.uint64(space % 2**64) ^ np.uint64(table))
@@ -167,31 +182,62 @@ def counted_links(classes: DataFrame, groups: DataFrame, share: float) -> DataFr
     return pairs.mapInArrow(work, "node long, n_links long, smallest long")
 
 
-def audit(classes: DataFrame, found: DataFrame, share: float) -> float:
-    """Share of the links of a bounded sample of vectors, compared with all others, that were found."""
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "space", "embedding").collect()
-    if not sample:
-        return 1.0
-    spaces: dict[int, list] = {}
-    for r in sample:
-        spaces.setdefault(r["space"], []).append((r["node"], list(r["embedding"])))
+def audited(classes: DataFrame, found: DataFrame, share: float, most: int) -> tuple[int, int, int]:
+    """Of a sample of at most ``most`` vectors, compared with all others: how many, their links, and those found."""
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "space", "embedding").collect()
+    spaces: dict[int, tuple] = {}
+    for space in {r["space"] for r in sample}:
+        own = [r for r in sample if r["space"] == space]
+        spaces[space] = (np.array([r["node"] for r in own], np.int64), unit([r["embedding"] for r in own]))
+    sent = classes.sparkSession.sparkContext.broadcast(spaces)
 
     def work(batches):
+        true = {space: np.zeros(len(nodes), np.int64) for space, (nodes, _) in sent.value.items()}
         for batch in batches:
-            true = dict.fromkeys((n for s in spaces.values() for n, _ in s), 0)
             by_space: dict[int, list] = {}
-            for node, space, copies, vector in rows([batch], "node", "space", "copies", "embedding"):
-                if space in spaces:
-                    by_space.setdefault(space, []).append((node, copies, vector))
+            for row in rows([batch], "node", "space", "copies", "embedding"):
+                if row[1] in true:
+                    by_space.setdefault(row[1], []).append(row)
             for space, others in by_space.items():
-                link = unit([v for _, v in spaces[space]]) @ unit([v for *_, v in others]).T >= share
-                for (node, _), row in zip(spaces[space], link, strict=True):
-                    true[node] += int(sum(c for (n, c, _), hit in zip(others, row, strict=True) if hit and n != node))
-            yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64())], ["node", "links"])
+                nodes, x = sent.value[space]
+                y = unit([o[3] for o in others])
+                for k in range(0, len(others), BLOCK):
+                    part = others[k : k + BLOCK]
+                    link = x @ y[k : k + BLOCK].T >= share
+                    link &= nodes[:, None] != np.array([o[0] for o in part])[None, :]
+                    true[space] += link @ np.array([o[2] for o in part])
+        for space, links in true.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[space][0]), pa.array(links)], ["node", "links"])
 
     true = classes.mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    both = true.join(found.select("node", "n_links"), "node", "left").agg(F.sum("links"), F.sum(F.coalesce("n_links", F.lit(0)))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    both = true.join(found.select("node", "n_links"), "node", "left")
+    links, met = both.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("n_links"), F.lit(0))).first()
+    return len(sample), links, met
+
+
+def audit(classes: DataFrame, found: DataFrame, share: float) -> float:
+    """Share of the links of a bounded sample of vectors, compared with all others, that were found."""
+    _, links, met = audited(classes, found, share, AUDITED)
+    return met / links if links else 1.0
+
+
+def passes(classes: DataFrame, found: DataFrame, share: float, start: int) -> bool:
+    """Whether enough links were found, by an audit that grows until it has seen enough of them.
+
+    An audit that covers all vectors settles the matter. One that is as large as it may get and has still
+    seen few links passes only after a second set of tables, when a pair at the threshold is missed with
+    probability (1 - MET) squared.
+    """
+    most = AUDITED
+    while True:
+        sample, links, met = audited(classes, found, share, most)
+        if met < RECALL * links:
+            return False
+        if links >= LINKS or sample < most:
+            return True
+        if most >= MOST_AUDITED:
+            return start > 0
+        most = min(4 * most, MOST_AUDITED)
 
 
 def near_vectors(embeddings: DataFrame, share: float = 0.93) -> DataFrame:
@@ -202,14 +248,15 @@ def near_vectors(embeddings: DataFrame, share: float = 0.93) -> DataFrame:
     are null, empty, zero or hold null or non-finite components link with nothing, vectors of different
     length neither. Equal vectors are one class and are not expanded into pairs. Rows that share a
     ``vec_id`` count once, with the smallest label and vector; rows with a null id give one row without
-    links. Other columns are ignored; an empty table gives an empty result.
+    links. Other columns are ignored; an empty table gives an empty result. A result whose audit stays below
+    RECALL after RESTARTS sets of tables is an error, not an answer.
     """
     vectors, classes = classes_of(embeddings)
     sizes = classes.groupBy("space").agg(F.greatest(F.ceil(F.log2(F.count("*") / BUCKET)), F.lit(0)).cast("int").alias("bits"))
     sizes = write_table(sizes, "spaces")
     edges, groups, newest = None, None, 0
     for start in range(RESTARTS):
-        met = compared(hyperplane_buckets(classes, sizes, start * TABLES), classes, share)
+        met = compared(hyperplane_buckets(classes, sizes, start, share), classes, share)
         state = None
         for _ in range(ROUNDS):
             newest += 1
@@ -230,8 +277,10 @@ def near_vectors(embeddings: DataFrame, share: float = 0.93) -> DataFrame:
             met = compared(neighbourhoods(edges, newest), classes, share)
         counts = counted_links(classes, groups, share).groupBy("node").agg(F.sum("n_links").alias("n_links"))
         counts = write_table(counts, "link-counts")
-        if audit(classes, counts.join(classes.select("node"), "node"), share) >= RECALL:
+        if passes(classes, counts, share, start):
             break
+    else:
+        raise RuntimeError(f"recall stayed below {RECALL} after {RESTARTS} sets of tables")
     of_class = classes.join(counts, "node", "left").join(groups, "node", "left").select(
         F.col("label").alias("of_label"), F.col("embedding").alias("of_embedding"), "node",
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

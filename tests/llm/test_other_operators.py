@@ -160,3 +160,42 @@ def test_licence_lines_without_a_telling_term_stay_below():
     idf = {"a": 1.0, "b": 2.0, "c": 0.5}
     assert licences.telling_terms([idf], 0.7) == ["b"]
     assert licences.telling_terms([idf], 0.1) == ["a", "b", "c"]
+
+
+def test_isolated_pairs_are_met(spark):
+    """Pairs without common neighbours among very many vectors of one label."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(100):
+        across = rng.standard_normal(64)
+        across -= across @ x[k] * x[k]
+        x[5900 + k] = 0.935 * x[k] + math.sqrt(1 - 0.935**2) * across / np.linalg.norm(across)
+    rows = [(i, 0, v) for i, v in enumerate(x.tolist())]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in found if r.n_links}
+    assert linked == {i: (1, k) for k in range(100) for i in (k, 5900 + k)}
+
+
+def test_tables_follow_the_size_of_a_label():
+    together = 1 - math.acos(0.93) / math.pi
+    for bits in range(0, 30):
+        tables = embeddings.tables_for(bits, 0.93)
+        assert (1 - together**bits) ** tables <= 1 - embeddings.MET + 1e-12
+    assert embeddings.tables_for(0, 0.93) == embeddings.TABLES < embeddings.tables_for(10, 0.93) < embeddings.tables_for(20, 0.93)
+
+
+def test_audit_without_links_does_not_pass(spark, monkeypatch):
+    eye = np.eye(40).tolist()
+    table = spark.createDataFrame([(i, 0, v) for i, v in enumerate(eye)], "vec_id long, label int, embedding array<double>")
+    _, classes = embeddings.classes_of(table)
+    none = spark.createDataFrame([], "node long, n_links long")
+    assert embeddings.passes(classes, none, 0.93, 0)  # all vectors were compared
+    monkeypatch.setattr(embeddings, "AUDITED", 4)
+    monkeypatch.setattr(embeddings, "MOST_AUDITED", 16)
+    assert not embeddings.passes(classes, none, 0.93, 0)
+    assert embeddings.passes(classes, none, 0.93, 1)
+    pair = table.union(spark.createDataFrame([(40, 0, eye[3])], table.schema).selectExpr("vec_id", "label", "transform(embedding, x -> x + 0.001D)"))
+    _, classes = embeddings.classes_of(pair)
+    monkeypatch.setattr(embeddings, "MOST_AUDITED", 64)
+    assert not embeddings.passes(classes, none, 0.93, 1)
