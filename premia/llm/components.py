@@ -13,8 +13,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``links`` has the columns ``a`` and ``b``. Nulls and links of a node with itself are ignored, repeated
     links count once, an empty table has no nodes. Neighbours are never gathered: each step takes the
-    smallest neighbour by a pre-aggregated minimum and joins it back to the links, so a node with very many
-    links is a skewed join, which adaptive execution splits. The links are written once per round.
+    smallest neighbour by a pre-aggregated minimum and joins it back to the links. The minima are written
+    before, so that both sides of the join are read anew: adaptive execution splits the partition of a node
+    with very many links, which it cannot where one side is an aggregate in the same stage.
     """
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     table = write_table(ordered.distinct(), "links")
@@ -22,11 +23,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large star: larger neighbours of a node move to the smallest of its neighbourhood.
         both = table.union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = write_table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = write_table(large.where("u > v").distinct(), "large")
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         table = write_table(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         new = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
