@@ -60,9 +60,8 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
-    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", digest, "text"), bpe_file())
-    decoded = bpe.decode_ids(encoded, bpe_file())
-    return decoded.select(
+    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", digest, "text"), bpe_file(), decoded="decoded")
+    return encoded.select(
         "doc_id",
         "lang",
         "source",

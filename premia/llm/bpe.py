@@ -238,12 +238,14 @@ def content_of(path: str) -> str:
         return file.read()
 
 
-def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> DataFrame:
-    """``doc_id`` and the columns kept beside it, with ``give`` made from ``take`` in tasks."""
-    kept = [c for c in df.columns if c not in (take, give)]
+def _with(df: DataFrame, path: str, take: str, give: dict[str, str], work) -> DataFrame:
+    """``df`` without ``take``, with the columns ``give`` (names and types) made from it in tasks."""
+    kept = [c for c in df.columns if c != take and c not in give]
     # The vocabulary file has a fixed size; each worker builds its tables from it once.
     sent = df.sparkSession.sparkContext.broadcast({"content": content_of(path)})
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"{give} {kind}"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` {k}" for c, k in give.items())])
+    large = {"binary": pa.large_binary(), "string": pa.large_string()}
+    small = {"binary": pa.binary(), "string": pa.string()}
 
     def apply(batches):
         try:
@@ -252,9 +254,8 @@ def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> Da
                     part = batch.slice(start, 1024)
                     made = work(sent.value, part.column(part.schema.get_field_index(take)).to_pylist())
                     columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                    out = pa.array(made, pa.large_binary() if kind == "binary" else pa.large_string())
-                    out = out.cast(pa.binary() if kind == "binary" else pa.string())
-                    yield pa.RecordBatch.from_arrays([*columns, out], [*kept, give])
+                    out = [pa.array(m, large[k]).cast(small[k]) for m, k in zip(made, give.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, *out], [*kept, *give])
         finally:
             for vocabulary in [v for v in sent.value.values() if isinstance(v, Vocabulary)]:
                 vocabulary.forget()
@@ -263,21 +264,23 @@ def _with(df: DataFrame, path: str, take: str, give: str, kind: str, work) -> Da
     return df.select(*(F.col(f"`{c}`") for c in [*kept, take])).mapInArrow(apply, schema)
 
 
-def encode_texts(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_texts(documents: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
     """``documents`` without ``text``, with ``ids``: little-endian unsigned 32-bit token ids.
 
     Whole texts are encoded, special tokens inside them included. A null text counts as empty and
     gives no ids. Rows are independent: repeated rows and keys stay, an empty table stays empty,
-    other columns pass through (one named ``ids`` is replaced).
+    other columns pass through (one named ``ids`` is replaced). If ``decoded`` is named, that column holds
+    what the ids decode to, as ``decode_ids`` gives it; a task then has one worker and one vocabulary for both.
     """
 
     def work(state, texts):
         vocabulary = state.setdefault("encoder", None)
         if vocabulary is None:
             vocabulary = state["encoder"] = Vocabulary(state["content"])
-        return vocabulary.encode([t or "" for t in texts])
+        ids = vocabulary.encode([t or "" for t in texts])
+        return [ids, [vocabulary.decode(x) for x in ids]] if decoded else [ids]
 
-    return _with(documents, path, text, "ids", "binary", work)
+    return _with(documents, path, text, {"ids": "binary"} | ({decoded: "string"} if decoded else {}), work)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -291,10 +294,10 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
         vocabulary = state.setdefault("decoder", None)
         if vocabulary is None:
             vocabulary = state["decoder"] = Vocabulary(state["content"], merges=False)
-        return [vocabulary.decode(x or b"") for x in many]
+        return [[vocabulary.decode(x or b"") for x in many]]
 
     taken = "_ids"
     while taken in encoded.columns:
         taken += "_"
     source = encoded.withColumn(taken, F.col(ids))
-    return _with(source if keep_ids else source.drop(ids), path, taken, text, "string", work)
+    return _with(source if keep_ids else source.drop(ids), path, taken, {text: "string"}, work)

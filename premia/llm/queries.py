@@ -159,12 +159,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, and digests of the ids and of the decoded text."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded_digests(bpe.encode_texts(documents, bpe_file()))
-
-
-def encoded_digests(encoded: DataFrame) -> DataFrame:
-    decoded = bpe.decode_ids(encoded, bpe_file())
-    return decoded.select(
+    return bpe.encode_texts(documents, bpe_file(), decoded="decoded").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

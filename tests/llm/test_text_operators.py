@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from premia.llm import bpe, decontaminate, minhash, substrings, suffixes, toxicity
+import corpus_pipeline
+from premia.llm import all_queries, bpe, decontaminate, minhash, substrings, suffixes, toxicity
 from premia.llm.components import components
 from premia.llm.queries import bpe_file
 
@@ -80,6 +81,17 @@ def test_bpe_passes_other_columns_through(spark):
     assert bpe.decode_ids(bpe.encode_texts(table.limit(0), bpe_file()), bpe_file()).count() == 0
 
 
+def test_bpe_encodes_and_decodes_in_one_step(spark, documents):
+    both = bpe.encode_texts(documents.select("doc_id", "text", "score"), bpe_file(), decoded="decoded")
+    apart = bpe.decode_ids(bpe.encode_texts(documents.select("doc_id", "text", "score"), bpe_file()), bpe_file())
+    assert sorted(both.select(*apart.columns).collect(), key=str) == sorted(apart.collect(), key=str)
+    table = documents.select("doc_id", "lang", "source", "text")
+    tokens = dict(corpus_pipeline.STAGES)["tokens"](spark, table, "")
+    query = all_queries()["op10_bpe"](spark, "/root/testdata/sf0.001")
+    # A task has one worker with one vocabulary: a second step would have a second worker beside it.
+    assert [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in (both, tokens, query)] == [1, 1, 1]
+
+
 def test_substrings(documents, odd_texts, no_documents):
     found = substrings.remove_repeats(documents, carry=("lang",)).collect()
     assert {k: v[:3] for k, v in by_id(found).items()} == brute.without_repeats(odd_texts)
