@@ -229,41 +229,40 @@ def open_windows(table: DataFrame, least: DataFrame, most: DataFrame, length: in
     A suffix is open between the bounds of the two orders. Every suffix of a key with an open one gives the
     hashes of its windows with as many words before the position as some open one of the key has; windows
     of more than one document repeat. Hashes are counted by their smallest and largest document, so a key
-    of very many suffixes is neither gathered nor paired.
+    of very many suffixes is neither gathered nor paired. Only windows between the bounds of their own suffix
+    are looked up among those that repeat: the neighbours have covered the others.
     """
     half = length // 2
     reach = length - half
-    bounds = least.select(*OPEN[:4], F.col("bound").alias("least"), F.lit(None).cast("int").alias("most")).union(
-        most.select(*OPEN[:4], F.lit(None).cast("int"), F.col("bound"))
+    suffix = OPEN[:4]
+    bounds = least.select(*suffix, F.col("bound").alias("least"), F.lit(None).cast("int").alias("most")).union(
+        most.select(*suffix, F.lit(None).cast("int"), F.col("bound"))
     )
-    spans = bounds.groupBy(*OPEN[:4]).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <= most")
-    spans = write_table(spans.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-keys")
+    spans = bounds.groupBy(*suffix).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <= most")
+    spans = write_table(spans, "open-suffixes")
+    keys = write_table(spans.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")), "open-keys")
 
     def work(batches):
         for batch in batches:
-            windows, docs, marks, places, lefts = [], [], [], [], []
-            for key, doc, mark, at, after, before, low, high in rows([batch], *SUFFIX, "least", "most"):
+            out = [[] for _ in range(6)]
+            for key, doc, mark, at, after, before, low, high, first, last in rows([batch], *SUFFIX, "low", "high", "least", "most"):
                 # As many words before and after as there are.
                 for j in range(max(low, reach - len(after) // 4), min(high, len(before) // 4) + 1):
                     code = xxhash.xxh3_64_intdigest(before[: 4 * j] + after[: 4 * (reach - j)], seed=(key + j) % 2**64)
-                    windows.append(code)
-                    docs.append(doc)
-                    marks.append(mark)
-                    places.append(at)
-                    lefts.append(j)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column(np.array(windows, np.uint64), pa.int64()), pa.array(docs, pa.int64()), pa.array(marks, pa.int32()),
-                    pa.array(places, pa.list_(pa.int32())), pa.array(lefts, pa.int32()),
-                ],
-                ["window", "doc_id", "print", "at", "left"],
-            )
-
-    made = table.join(spans, "key").mapInArrow(work, "window long, doc_id long, print int, at array<int>, left int")
+                    own = (mark, at, j) if first is not None and first <= j <= last else (None, None, None)
+                    for values, value in zip(out, (code, doc, at[0] - j, *own), strict=True):
+                        values.append(value)
+            windows = column(np.array(out[0], np.uint64), pa.int64())
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
+            names = ["window", "doc_id", "start", "print", "at", "left"]
+            yield pa.RecordBatch.from_arrays([windows, *(pa.array(v, k) for v, k in zip(out[1:], kinds, strict=True))], names)
+
+    candidates = table.join(keys, "key").withColumn("first", F.col("at")[0]).join(spans, suffix, "left")
+    made = candidates.mapInArrow(work, "window long, doc_id long, start int, print int, at array<int>, left int")
     made = write_table(made, "open-windows")
-    place = F.struct("doc_id", (F.col("at")[0] - F.col("left")).alias("start"))
+    place = F.struct("doc_id", "start")
     several = made.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.doc_id < high.doc_id")
-    joined = made.join(write_table(several, "shared-windows"), "window")
+    joined = made.where("left is not null").drop("start").join(write_table(several, "shared-windows"), "window")
     other = F.when(F.col("low.doc_id") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
     return joined.withColumn("other", other).select(
         "doc_id", "print", "at", "left", (F.lit(length) - F.col("left")).cast("int").alias("right"),

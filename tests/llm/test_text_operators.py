@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from premia.llm import all_queries, bpe, decontaminate, minhash, substrings, suffixes, toxicity
+from premia.llm.common import write_table
 from premia.llm.components import components
 from premia.llm.queries import bpe_file
 
@@ -277,3 +278,21 @@ def test_passages_of_random_mixtures(spark):
     found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     covered = {(r.doc_id, k) for r in found for k in range(r.start, r.start + r.n_words)}
     assert covered == brute.repeated_words(rows)
+
+
+def test_only_windows_that_neighbours_leave_open_are_looked_up(spark):
+    rng = random.Random(5)
+    pieces = [prose_words(k, n) for k, n in enumerate([3, 4, 6, 9, 12, 25, 30])]
+    rows = [(i, 0, " ".join(w for _ in range(12) for w in rng.choice(pieces))) for i in range(120)]
+    texts = spark.createDataFrame(rows, "doc_id long, print int, text string")
+    keys = suffixes.suffix_keys(texts, 50).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    table = write_table(suffixes.suffixes(texts.join(keys, "doc_id"), 50), "suffixes")
+    _, least = suffixes.neighbour_matches(table, 50, ["after", "before"])
+    _, most = suffixes.neighbour_matches(table, 50, ["before", "after"])
+    lowest = {(r.doc_id, r.first): r.bound for r in least.collect()}
+    highest = {(r.doc_id, r.first): r.bound for r in most.collect()}
+    found = suffixes.open_windows(table, least, most, 50).collect()
+    assert found
+    for r in found:
+        place = r.doc_id, r.at[0]
+        assert place in lowest and place in highest and lowest[place] <= r.left <= highest[place]
